@@ -24,7 +24,7 @@ from ledgerloom.llm.common import BLANKS, WORD, documents, settle, whole_text
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 SEED = "mix"
 
 
