@@ -1,13 +1,15 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from ledgerloom.llm import mixing, url_filters
+from ledgerloom.llm import mixing, quality_rules, quality_sql, url_filters
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_quality_divergence": quality_rules.op4_quality_divergence,
     "op8_url_rules": url_filters.op8_url_rules,
 }
 
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op4_quality_divergence": quality_sql.OP4_SQL,
     "op8_url_rules": url_filters.OP8_SQL,
 }
