@@ -1,15 +1,18 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from ledgerloom.llm import mixing, quality_rules, quality_sql, url_filters
+from ledgerloom.llm import licenses, mixing, quality_rules, quality_sql, simhash, url_filters
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_license_sentences": licenses.op3_license_sentences,
     "op4_quality_divergence": quality_rules.op4_quality_divergence,
+    "op5_simhash_groups": simhash.op5_simhash_groups,
     "op8_url_rules": url_filters.op8_url_rules,
 }
 
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op3_license_sentences": licenses.OP3_SQL,
     "op4_quality_divergence": quality_sql.OP4_SQL,
     "op8_url_rules": url_filters.OP8_SQL,
 }
