@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from ledgerloom.llm import licenses, mixing, quality_rules, quality_sql, simhash, url_filters
+from ledgerloom.llm import licenses, mixing, quality_rules, quality_sql, simhash, url_filters, winnowing
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_quality_divergence": quality_rules.op4_quality_divergence,
     "op5_simhash_groups": simhash.op5_simhash_groups,
     "op8_url_rules": url_filters.op8_url_rules,
+    "op9_winnowing": winnowing.op9_winnowing,
 }
 
 ORACLE_SQL = {
