@@ -1,14 +1,16 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from ledgerloom.llm import licenses, mixing, quality_rules, quality_sql, simhash, url_filters, winnowing
+from ledgerloom.llm import licenses, mixing, packing, quality_rules, quality_sql, simhash, toxicity, url_filters, winnowing
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_license_sentences": licenses.op3_license_sentences,
     "op4_quality_divergence": quality_rules.op4_quality_divergence,
     "op5_simhash_groups": simhash.op5_simhash_groups,
+    "op6_packing": packing.op6_packing,
     "op8_url_rules": url_filters.op8_url_rules,
     "op9_winnowing": winnowing.op9_winnowing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
