@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import combinations, groupby
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -39,29 +39,42 @@ CLOSE = 0.5
 LONGEST = 16
 CACHE = 500_000
 _LEET = str.maketrans("01345789", "oieastbg")
-_SIGNS = re.compile(r"[\W_]+")
-_RUNS = re.compile(r"(.)\1{2,}")
+_SIGNS = re.compile(r"[^\w\n]+|_+")
+_RUNS = re.compile(r"([^\n])\1{2,}")
 
 
-def fold(word: str) -> str:
-    """Lower case, no signs, digits as letters, runs of three and more letters as one."""
-    return _RUNS.sub(r"\1", _SIGNS.sub("", word.lower()).translate(_LEET))
+def fold(words: list[str]) -> list[str]:
+    """Each word (without line ends) in lower case, no signs, digits as letters, runs of three and more letters as one."""
+    return _RUNS.sub(r"\1", _SIGNS.sub("", "\n".join(words).lower().translate(_LEET))).split("\n") if words else []
 
 
 def words_of(text: str) -> list[str]:
     """Words of a text; runs of three and more single characters also as one word."""
     words = text.split()
-    if any(len(a) == 1 == len(b) for a, b in zip(words, words[1:], strict=False)):
-        for single, run in groupby(list(words), lambda w: len(w) == 1):
-            if single and len(joined := "".join(run)) > 2:
-                words.append(joined)
+    lengths, at = list(map(len, words)), 0
+    while 1 in lengths[at : at + 4096] or at + 4096 < len(lengths):
+        try:
+            at = stop = lengths.index(1, at)
+        except ValueError:
+            break
+        while stop < len(lengths) and lengths[stop] == 1:
+            stop += 1
+        if stop - at > 2:
+            words.append("".join(words[at:stop]))
+        at = stop
     return words
 
 
-def symbols(word: str) -> list[np.ndarray]:
-    """A folded word as codes below 32, the start being 0; a long word as overlapping windows."""
-    codes = [0, *(ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5 for c in word)]
-    return [np.array(codes[a : a + LONGEST], np.int32) for a in range(0, max(1, len(codes) - LONGEST // 2), LONGEST // 2)] if len(codes) > LONGEST else [np.array(codes, np.int32)]
+def codes_of(words: list[str]) -> np.ndarray:
+    """Folded words of one length as rows of codes below 32, the start being 0."""
+    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int32)
+    return np.pad(np.where((c >= 97) & (c <= 122), c - 96, 27 + c % 5), ((0, 0), (1, 0)))
+
+
+def windows_of(codes: np.ndarray) -> list[np.ndarray]:
+    """A long word's codes as overlapping windows, a word of up to LONGEST codes as one."""
+    n = codes.shape[1]
+    return [codes] if n <= LONGEST else [codes[:, a : a + LONGEST] for a in range(0, n - LONGEST // 2, LONGEST // 2)]
 
 
 @lru_cache(maxsize=64)
@@ -97,7 +110,7 @@ class Landmarks:
     def __post_init__(self) -> None:
         self.table = np.zeros((32**3, max(1, len(self.words))), np.float32)
         for m, word in enumerate(self.words):
-            u, v = embedding(symbols(word)[0])
+            u, v = embedding(windows_of(codes_of([word]))[0][0])
             self.table[u, m] = v
         self.most = self.table.max(axis=1)
 
@@ -106,45 +119,55 @@ class Landmarks:
 
     def close(self, words: list[str]) -> dict[str, np.ndarray]:
         """Kernel values of those words that come within CLOSE of any landmark (others are left out)."""
-        by_length: dict[int, list] = {}
-        for word in words:
-            for codes in symbols(fold(word)):
-                if len(codes) > 3:
-                    by_length.setdefault(len(codes), []).append((word, codes))
+        by_length: dict[int, tuple[list, list]] = {}
+        for word, plain in zip(words, fold(words), strict=True):
+            if len(plain) > 2:
+                own = by_length.setdefault(len(plain), ([], []))
+                own[0].append(word)
+                own[1].append(plain)
         found: dict[str, np.ndarray] = {}
-        for rows in by_length.values():
-            for a in range(0, len(rows), 4096):
-                part = rows[a : a + 4096]
-                codes = np.stack([c for _, c in part])
-                f, w = subsequences(codes)
-                # an upper bound of every kernel value: the largest landmark weight of each feature, the least norm
-                for r in np.flatnonzero((self.most[f] * w).sum(axis=1) >= CLOSE * np.linalg.norm(w)):
-                    u, v = embedding(codes[r])
-                    k = v @ self.table[u]
-                    if k.max() >= CLOSE:
-                        word = part[r][0]
-                        found[word] = np.maximum(found[word], k) if word in found else k
+        for own, plain in by_length.values():
+            step = max(1, 40_000 // len(plain[0]))
+            for a in range(0, len(own), step):
+                for codes in windows_of(codes_of(plain[a : a + step])):
+                    if codes.shape[1] > 2:
+                        self._close(own[a : a + step], codes, found)
         return found
 
+    def _close(self, words: list[str], codes: np.ndarray, found: dict[str, np.ndarray]) -> None:
+        f, w = subsequences(codes)
+        # an upper bound of every kernel value: the largest landmark weight of each feature, the least norm
+        may = np.flatnonzero((self.most[f] * w).sum(axis=1) >= CLOSE * np.linalg.norm(w))
+        for b in range(0, len(may), 64):
+            at = may[b : b + 64]
+            same = f[at][:, :, None] == f[at][:, None, :]  # a feature found twice adds up before the norm is taken
+            norms = np.sqrt(np.einsum("rij,i,j->r", same, w, w))
+            kernel = np.einsum("rij,i->rj", self.table[f[at]], w) / norms[:, None]
+            for r in np.flatnonzero(kernel.max(axis=1) >= CLOSE):
+                word, k = words[at[r]], kernel[r]
+                found[word] = np.maximum(found[word], k) if word in found else k
+
 
 class Features:
     """Features of texts; remembers the words it has met (up to CACHE of them)."""
 
     def __init__(self, landmarks: Landmarks) -> None:
-        self.landmarks, self.seen = landmarks, {}
+        self.landmarks, self.seen, self.hits, self.hot = landmarks, set(), {}, set()
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if len(self.seen) > CACHE:
-            self.seen.clear()
+            self.seen, self.hits, self.hot = set(), {}, set()
         split, m = [words_of(t) for t in texts], len(self.landmarks.words)
-        new = list(set().union(*split).difference(self.seen)) if split else []
-        self.seen.update(dict.fromkeys(new))
-        self.seen.update(self.landmarks.close(new))
+        each = [set(words) for words in split]
+        new = list(set().union(*each).difference(self.seen))
+        self.seen.update(new)
+        hits = self.landmarks.close(new)
+        self.hits.update(hits)
+        self.hot.update(hits)
         out = np.zeros((len(texts), 2 * m + 1), np.float32)
-        for row, words in zip(out, split, strict=True):
-            hits = [h for h in map(self.seen.get, words) if h is not None]
-            if hits:
-                k = np.maximum(np.stack(hits) - CLOSE, 0) / (1 - CLOSE)
+        for row, words, own in zip(out, split, each, strict=True):
+            if near := own.intersection(self.hot):
+                k = np.maximum(np.stack([self.hits[w] for w in words if w in near]) - CLOSE, 0) / (1 - CLOSE)
                 row[:m], row[m : 2 * m] = k.max(axis=0), np.log1p((k > 0.2).sum(axis=0))
             row[2 * m] = np.log1p(len(words)) / 10
         return out
@@ -166,12 +189,11 @@ def disguise(text: str, landmarks: set[str], rng: np.random.Generator) -> str:
     """The text with its landmark words gapped: a letter put in, doubled, or a sign between letters."""
 
     def change(word: str) -> str:
-        if fold(word) not in landmarks:
-            return word
         at, way = int(rng.integers(1, len(word))), int(rng.integers(3))
         return word[:at] + (word[at - 1] if way == 0 else "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] if way == 1 else "-") + word[at:]
 
-    return " ".join(map(change, text.split()))
+    words = text.split()
+    return " ".join(change(word) if plain in landmarks else word for word, plain in zip(words, fold(words), strict=True))
 
 
 def fit(x: np.ndarray, y: np.ndarray, share: float, kernel: np.ndarray, rounds: int = 1500, ridge: float = 1e-3) -> tuple[np.ndarray, float, float, float]:
@@ -222,15 +244,15 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     @F.pandas_udf("array<string>")
     def folded(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({f for w in words_of(t) if 4 <= len(f := fold(w)) < LONGEST}) for t in texts])
+        return pd.Series([sorted({f for f in fold(words_of(t)) if 4 <= len(f) < LONGEST}) for t in texts])
 
     seen = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         return Model(Landmarks([]), np.zeros(1, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    per_word = rows.select("toxic", F.explode(folded("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("ct"), F.sum(1 - F.col("toxic")).alias("cc")).where("ct >= 3")
+    per_word = rows.dropDuplicates(["text", "toxic"]).select("toxic", F.explode(folded("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("ct"), F.sum(1 - F.col("toxic")).alias("cc")).where("ct >= 3")
     odds = F.log((F.col("ct") + 0.5) / (seen[1] + 1) / ((F.col("cc") + 0.5) / (seen[0] + 1)))
-    ranked = [r["word"] for r in per_word.withColumn("gain", F.round(F.col("ct") * odds, 6)).where("gain > 0").orderBy(F.desc("gain"), "word").limit(4 * n_landmarks).collect()]
-    landmarks = Landmarks(ranked[:n_landmarks])
+    ranked = per_word.withColumn("gain", F.round(F.col("ct") * odds, 6)).where("gain > 0").orderBy(F.desc("gain"), "word").limit(n_landmarks).collect()
+    landmarks = Landmarks([r["word"] for r in ranked])
     lexicon = set(landmarks.words)
 
     @F.pandas_udf("array<array<float>>")
