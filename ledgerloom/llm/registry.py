@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from ledgerloom.llm import licenses, mixing, packing, quality_rules, quality_sql, simhash, toxicity, url_filters, winnowing
+from ledgerloom.llm import licenses, lm_scoring, mixing, packing, quality_rules, quality_sql, simhash, toxicity, url_filters, winnowing
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_quality_divergence": quality_rules.op4_quality_divergence,
     "op5_simhash_groups": simhash.op5_simhash_groups,
     "op6_packing": packing.op6_packing,
+    "op7_attention_lm": lm_scoring.op7_attention_lm,
     "op8_url_rules": url_filters.op8_url_rules,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_toxicity": toxicity.op10_toxicity,

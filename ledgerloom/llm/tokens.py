@@ -26,8 +26,8 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.model = self.encode.__self__.model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = self.tokenizer.encode, self.tokenizer.model
         self.single: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -49,6 +49,9 @@ class WordIds(dict):
             ids = self.single[letters] = pack_ids([t.id for t in self.model.tokenize(letters)])
         return ids
 
+    def vocabulary(self) -> dict[str, int]:
+        return self.tokenizer.get_vocab(with_added_tokens=True)
+
     def text(self, text: str) -> bytes:
         """The ids of a whole text."""
         if _separators(text):  # str.split cuts at these, the tokenizer doesn't
