@@ -1,8 +1,9 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from ledgerloom.llm import licenses, lm_scoring, mixing, packing, quality_rules, quality_sql, simhash, toxicity, url_filters, winnowing
+from ledgerloom.llm import licenses, lm_scoring, mixing, packing, pii, quality_rules, quality_sql, simhash, toxicity, url_filters, winnowing
 
 QUERIES = {
+    "op1_pii_spans": pii.op1_pii_spans,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_license_sentences": licenses.op3_license_sentences,
     "op4_quality_divergence": quality_rules.op4_quality_divergence,
