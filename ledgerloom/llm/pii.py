@@ -335,5 +335,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return find(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return find(documents(spark, sf_dir)).select("doc_id", *map(of, KINDS), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
