@@ -1,4 +1,7 @@
-"""All queries outside the training-data subpackage, by name, with their oracle SQL."""
+"""Queries of the library's own operators, with SQL where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ledgerloom.operators import commitments, ledger, olap
+
+_MODULES = (ledger, commitments, olap)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
