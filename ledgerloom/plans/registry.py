@@ -1,7 +1,7 @@
 """Queries of the library's own operators, with SQL where SQL can express them."""
 
-from ledgerloom.operators import commitments, ledger, olap
+from ledgerloom.operators import commitments, corpus, ledger, olap, retrieval
 
-_MODULES = (ledger, commitments, olap)
+_MODULES = (ledger, commitments, olap, corpus, retrieval)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
