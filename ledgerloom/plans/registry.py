@@ -1,7 +1,8 @@
 """Queries of the library's own operators, with SQL where SQL can express them."""
 
-from ledgerloom.operators import commitments, corpus, ledger, olap, retrieval
+from ledgerloom.operators import alignment, commitments, corpus, evaluation, ledger, olap, passages, retrieval
+from ledgerloom.streaming import flows
 
-_MODULES = (ledger, commitments, olap, corpus, retrieval)
+_MODULES = (ledger, commitments, olap, corpus, retrieval, alignment, passages, evaluation, flows)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
