@@ -81,3 +81,24 @@ def test_stream_replayed_gives_the_same_rows(spark, sf_dir):
 def test_html_to_text(spark):
     html = "<head><title>t</title></head><p>a &amp; b</p><script>x()</script><div>c<br>d</div>"
     assert one(spark, T.html_to_text(F.lit(html))) == "a & b\nc\nd"
+
+
+def test_layout_lines_join_runs_left_to_right(spark):
+    from ledgerloom.operators import extraction
+
+    runs = spark.createDataFrame([(1, 30.0, 700.0, 10.0, "b"), (1, 0.0, 701.5, 20.0, "a"), (1, 40.5, 699.8, 5.0, "c"), (1, 0.0, 650.0, 9.0, "next"), (2, 5.0, 1.0, 1.0, "x")], "page_id long, x double, y double, width double, str string")
+    found = sorted(map(tuple, extraction.page_lines(runs).collect()))
+    assert found == [(1, 0, "a bc"), (1, 1, "next"), (2, 0, "x")]
+
+
+def test_greedy_pairs_take_the_first_free(spark):
+    from ledgerloom.operators import extraction
+
+    rows = spark.createDataFrame([(1, "gold", 1, "Hire people"), (1, "gold", 2, "hire people"), (1, "found", 1, "we HIRE, people now"), (2, "gold", 1, "x")], "group long, side string, seq long, text string")
+    assert [tuple(r) for r in extraction.greedy_pairs(rows).collect()] == [(1, 1, 1)]
+
+
+def test_hash_embedding_has_unit_length():
+    from ledgerloom.operators.extraction import embedding
+
+    assert abs((embedding("a b c") ** 2).sum() - 1) < 1e-9 and not embedding("").any()
