@@ -264,15 +264,15 @@ def test_lm_base_score_and_counts(spark):
 
 
 def test_attention_is_causal_and_sums_to_one():
-    np = attention.np
-    p, rng = attention.start(np.ones(256)), np.random.default_rng(0)
-    text = rng.integers(0, 256, 50)
+    np, n = attention.np, attention.GROUP**2
+    p, rng = attention.start(np.ones(n)), np.random.default_rng(0)
+    text = rng.integers(0, n, 50)
     logs = lambda t: attention.log_probabilities(p, *attention.blocks([t])[:3]).ravel()[:50]
     other = text.copy()
-    other[30:] = rng.integers(0, 256, 20)
+    other[30:] = rng.integers(0, n, 20)
     assert np.allclose(logs(text)[:30], logs(other)[:30], atol=1e-5)
     total = 0.0
-    for c in range(256):
+    for c in range(n):
         other = text.copy()
         other[40] = c
         total += np.exp(logs(other)[40])
