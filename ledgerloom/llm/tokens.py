@@ -10,7 +10,7 @@ import os
 import struct
 from functools import lru_cache
 
-CACHE = 600_000
+CACHE = 400_000
 
 
 def default_path() -> str:
