@@ -15,6 +15,7 @@ from ledgerloom.sources.views import table
 
 K1, B, RRF_K, TOP = 1.2, 0.75, 60, 10
 HEAD = 50
+MOST_SENT = 200_000
 
 
 def tokens(c: Column) -> Column:
@@ -31,8 +32,8 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(rows: DataFrame) -> DataFrame:
-    """Postings (unit_id, case_id, term, tf, dl): a passage's terms are counted where it is read."""
-    words = rows.select("unit_id", "case_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """Postings (unit_id, case_id, term, tf, dl); passages are dealt by their id once, and all that groups by it stays there."""
+    words = rows.repartition("unit_id").select("unit_id", "case_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     return words.select("unit_id", "case_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("unit_id", "case_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
@@ -43,6 +44,8 @@ def bm25(postings: DataFrame, questions: DataFrame) -> DataFrame:
     asked = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(frequency, "term").join(F.broadcast(lengths))  # lengths is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.select("query_id", "term", idf.alias("idf"), "avgdl")
+    if asked.count() <= MOST_SENT:  # the size is checked; a larger set of query terms meets the postings in a shuffle
+        asked = F.broadcast(asked)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return postings.join(asked, "term").groupBy("query_id", "unit_id", "case_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("overlap"))
 
