@@ -11,6 +11,9 @@ import struct
 from functools import lru_cache
 
 CACHE = 400_000
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write a byte as itself where it is visible in Latin-1, the others from U+0100 on.
+BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _OWN)}
 
 
 def default_path() -> str:
@@ -34,7 +37,7 @@ class WordIds(dict):
         if len(self) >= CACHE:
             self.clear()
         body = word[:-1] if word[-1] in ".,!?;:" else word
-        if body.isascii() and body.isalpha():  # one run of letters needs the merges alone
+        if body.isalpha() and max(body) <= "\xff":  # one run of letters, all composed, needs the merges alone
             ids = self._run(body.lower()) + (self._run(word[-1]) if body is not word else b"")
         else:
             ids = pack_ids(self.encode(word, add_special_tokens=False).ids)
@@ -46,7 +49,8 @@ class WordIds(dict):
         if ids is None:
             if len(self.single) >= CACHE:
                 self.single.clear()
-            ids = self.single[letters] = pack_ids([t.id for t in self.model.tokenize(letters)])
+            shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTES)
+            ids = self.single[letters] = pack_ids([t.id for t in self.model.tokenize(shown)])
         return ids
 
     def vocabulary(self) -> dict[str, int]:
