@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,17 +114,29 @@ def stuck_jobs(spark: SparkSession, sf_dir: str, as_of: str = "2024-01-30 00:00:
 def failures_allowed(rows: DataFrame, most: int = 3, seconds: int = 86_400) -> DataFrame:
     """Per key, which events are refused: a window opens at its first event, allows ``most`` and lasts ``seconds``.
 
-    A fold over one key's events in time order with two numbers of state (start of the window, events in it); it runs in
-    the JVM on the key's sorted times.
+    The rule looks at a key's events in time order, so they are dealt by key and sorted (spilling if need be); the scan
+    holds two numbers of the key that it is at, however many events that key has.
     """
-    step = F.aggregate(
-        F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))),
-        F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("refused"), F.lit(0).cast("long").alias("windows")),
-        lambda s, t: F.when(s["start"].isNull() | (t - s["start"] >= seconds * 1_000_000), F.struct(t.alias("start"), F.lit(1).cast("long").alias("n"), s["refused"].alias("refused"), (s["windows"] + 1).alias("windows"))).otherwise(
-            F.struct(s["start"].alias("start"), (s["n"] + 1).alias("n"), (s["refused"] + F.when(s["n"] >= most, 1).otherwise(0)).alias("refused"), s["windows"].alias("windows"))
-        ),
-    )
-    return rows.groupBy("user_id").agg(step.alias("s")).select("user_id", "s.refused", "s.windows")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, start, n, refused, windows = None, 0, 0, 0, 0
+        for pdf in batches:
+            out = []
+            for key, at in zip(pdf["user_id"].tolist(), pdf["us"].tolist(), strict=True):
+                if key != user:
+                    if user is not None:
+                        out.append((user, refused, windows))
+                    user, start, n, refused, windows = key, None, 0, 0, 0
+                if start is None or at - start >= seconds * 1_000_000:
+                    start, n, windows = at, 0, windows + 1
+                n += 1
+                refused += n > most
+            yield pd.DataFrame(out, columns=["user_id", "refused", "windows"])
+        if user is not None:
+            yield pd.DataFrame([(user, refused, windows)], columns=["user_id", "refused", "windows"])
+
+    times = rows.where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return times.repartition("user_id").sortWithinPartitions("user_id", "us").mapInPandas(scan, "user_id long, refused long, windows long")
 
 
 def failure_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
