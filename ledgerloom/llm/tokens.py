@@ -10,7 +10,7 @@ import os
 import struct
 from functools import lru_cache
 
-CACHE = 400_000
+CACHE = 500_000
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write a byte as itself where it is visible in Latin-1, the others from U+0100 on.
 BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _OWN)}
