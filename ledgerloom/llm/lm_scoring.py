@@ -6,8 +6,8 @@ first factor is the attention model (attention.py), the second comes from the co
 
 Spark's part: (1) one pass counts words and ids of all training documents, with a combine in each task before the
 shuffle; (2) the attention model is trained in ``ROUNDS`` rounds of local steps: in a round every task starts from the
-same parameters, trains on its own documents (another 1/``SHARE`` of the corpus each round, at least ``LEAST_DOCS``
-documents or all, so what is learned from grows with the input) and the parameters are averaged by an aggregation, weighted by tokens; (3) one pass scores every
+same parameters, trains on its own documents of the round (another 1/``ROUNDS`` of the corpus, so every training
+document is read once over the rounds at every size; portions of ``PORTION`` tokens bound the memory) and the parameters are averaged by an aggregation, weighted by tokens; (3) one pass scores every
 document whole, in Arrow batches. Counts of the words that make up 1/``HEAD`` of all words or more go to the tasks with
 the function: there can't be more than HEAD of them, 16 bytes each. The rarer words of a document are joined to the
 word table by hash, and none of those can be a hot key.
@@ -35,7 +35,8 @@ CLASSES = attention.GROUP * attention.GROUP  # the last is the end
 OWN = 960
 SHARED = CLASSES - OWN - 1
 HEAD = 1 << 21
-SHARE, LEAST_DOCS, ROUNDS, LEAST_STEPS = 48, 2000, 2, 100
+ROUNDS, LEAST_STEPS = 2, 100
+PORTION = 1 << 20
 FLUSH = 400_000
 WORD, ID, END = 0, 1, 2
 _KNOWN = 500_000
@@ -112,18 +113,31 @@ def _class_texts(texts, classes: Classes, path: str) -> list[np.ndarray]:
     return [np.concatenate((classes.of[np.frombuffer(b"".join([encode[w.decode()] for w in words_of(t)]), np.uint32)], end)) for t in texts]
 
 
-def trained(train: DataFrame, classes: Classes, path: str, rounds: int = ROUNDS, share: int = SHARE, least_steps: int = LEAST_STEPS) -> dict[str, np.ndarray]:
-    """The attention model's parameters after all rounds, each over 1/share of train (of a small corpus, over more)."""
-    share = max(1, min(share, int(classes.counts[CLASSES - 1]) // LEAST_DOCS))
+def _portions(texts, classes: Classes, path: str) -> Iterator[list[np.ndarray]]:
+    """All texts in order, as class sequences, in lists of about PORTION tokens."""
+    some, tokens = [], 0
+    for a in range(0, len(texts), 256):
+        for text in _class_texts(texts.iloc[a : a + 256], classes, path):
+            some.append(text)
+            tokens += len(text)
+            if tokens >= PORTION:
+                yield some
+                some, tokens = [], 0
+    if some:
+        yield some
+
+
+def trained(train: DataFrame, classes: Classes, path: str, rounds: int = ROUNDS, least_steps: int = LEAST_STEPS) -> dict[str, np.ndarray]:
+    """The attention model's parameters after all rounds, which share out the whole of train."""
     p = attention.start(classes.counts)
     for r in range(rounds):
-        part = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == r % share).select("text")
+        part = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
 
         def local(batches: Iterator[pd.DataFrame], p=p, r=r) -> Iterator[pd.DataFrame]:
             own, tokens = p, 0
             for pdf in batches:
-                if len(pdf):
-                    data = attention.blocks(_class_texts(pdf["text"], classes, path))
+                for some in _portions(pdf["text"], classes, path):
+                    data = attention.blocks(some)
                     own, tokens = attention.train(own, data, least_steps, seed=r), tokens + int(data[3].sum())
             if tokens:
                 values = attention.flat(own).astype(np.float64)

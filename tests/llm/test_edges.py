@@ -263,6 +263,19 @@ def test_lm_base_score_and_counts(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in train for w in words), len(train)) and r["score"] < 0
 
 
+def test_lm_trains_on_every_document_of_a_large_corpus(spark):
+    np, path = lm_scoring.np, lm_scoring.default_path()
+    ids = {w: np.frombuffer(lm_scoring.word_ids(path)[w], np.uint32) for w in "abcdefghijklmnopqrstuvwxyz"}
+    counts = np.zeros(len(lm_scoring.word_ids(path).vocabulary()), np.int64)
+    for own in ids.values():
+        counts[own] += 3
+    classes = lm_scoring.Classes(counts, 96_000)
+    train = spark.createDataFrame([(i, f"{w} {w} {w}") for i, w in enumerate(ids)], "doc_id long, text string")
+    before, after = lm_scoring.attention.start(classes.counts), lm_scoring.trained(train, classes, path, least_steps=20)
+    moved = abs(after["own"] - before["own"]).max(axis=1)
+    assert [w for w, own in ids.items() if moved[classes.of[own]].max() < 1e-3] == []
+
+
 def test_attention_is_causal_and_sums_to_one():
     np, n = attention.np, attention.GROUP**2
     p, rng = attention.start(np.ones(n)), np.random.default_rng(0)
