@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import documents, settle, whole_text
@@ -57,14 +57,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
+    """doc_id, fp: the fingerprint's 64 bits as a signed long; and more columns if asked for."""
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", simhash(whole_text()).alias("fp"))
+    return docs.select("doc_id", simhash(whole_text()).alias("fp"), *more)
 
 
 class BKTree:
@@ -159,23 +159,35 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
+def _rooted(prints: DataFrame, radius: int, least: Column) -> DataFrame:
+    """fp, root and what least aggregates, for every distinct fingerprint; root is the same throughout a class."""
+    each = settle(prints.groupBy("fp").agg(least))
+    roots = components(links(each.select("fp"), radius))
+    return each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every document."""
     prints = settle(fingerprints(docs, shingle))
-    least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(least.select("fp"), radius))
-    classes = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = _rooted(prints, radius, F.min("doc_id").alias("least"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = settle(classes.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents that stand for their class, one each, with all their columns; exactly repeated rows leave one."""
-    classes = near_duplicates(docs, shingle, radius)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    mine = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return mine.dropDuplicates(["doc_id"])
+    """The rows that stand for their class, one each, with all their columns; exactly repeated rows leave one.
+
+    It is the class's least row by doc_id (null last), hash of the text and hash of the whole row, so rows that share a
+    doc_id or have none are told apart by what they hold.
+    """
+    whole = F.xxhash64(*[c for name in docs.columns for c in (docs[name], docs[name].isNull())])  # a null alone leaves a hash as it was
+    row = F.struct(docs["doc_id"].isNull().alias("null_id"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_hash"), whole.alias("row_hash"))
+    least = _rooted(fingerprints(docs, shingle, row.alias("row")), radius, F.min("row").alias("row"))
+    kept = least.groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.row_hash")
+    mine = docs.select(F.struct(*docs.columns).alias("doc"), docs["doc_id"].alias("id"), whole.alias("row_hash"))
+    mine = mine.join(kept, (mine["row_hash"] == kept["row_hash"]) & mine["id"].eqNullSafe(kept["id"]), "left_semi")
+    return mine.dropDuplicates(["id", "row_hash"]).select("doc.*")
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,17 @@ def test_simhash_against_brute_force(spark, sf_dir):
     assert found == {i: (plain[i], top(i)) for i in ids}
 
 
+def test_representatives_leave_one_row_of_every_class(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white grey")
+    data = [(None, a, "en"), (None, b, "en"), (7, b, "de"), (3, a, "en"), (3, c, "en"), (3, c, "en"), (None, "x y z", "en"), (None, "x y z", "en"), (9, None, "t"), (None, "t", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for rows_ in (docs, docs.repartition(5)):
+        found = simhash.representatives(rows_)
+        assert found.columns == docs.columns
+        assert sorted(map(tuple, found.collect()), key=str) == sorted([(3, a, "en"), (7, b, "de"), (3, c, "en"), (None, "x y z", "en"), (9, None, "t"), (None, "t", None)], key=str)
+    assert simhash.representatives(rows(spark)).columns == rows(spark).columns and simhash.representatives(rows(spark, [])).count() == 0
+
+
 def test_bk_tree_finds_all_within_the_radius():
     import random
 
