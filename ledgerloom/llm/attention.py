@@ -1,39 +1,48 @@
-"""A small causal self-attention model over token classes, in numpy: forward, gradients and training steps.
+"""A small causal self-attention model over subword classes, in numpy: forward, gradients and training steps.
 
-Inputs are blocks of ``BLOCK`` successive tokens; the queries of a block attend to its own earlier tokens and to the
-whole block before it, so windows of two blocks overlap by one and each token is predicted once, from BLOCK to
-2 * BLOCK - 1 tokens before it. Blocks of all documents of a batch go through the masked attention together.
-
-The GROUP * GROUP classes stand in groups: a token's probability is its group's times its own within the group, both
-from the same hidden state, so a prediction takes two small softmaxes instead of one over all classes.
+A text is a sequence of classes with its end; the model's positions are runs of classes, each run ending with a class
+that ends a word (``stops``). A position's input is the mean embedding of the run before it (a start before the first).
+Positions stand in blocks of ``BLOCK``: the queries of a block attend, masked, to the block's own earlier positions and
+to the whole block before it, so windows of two blocks overlap by one and each class is predicted once. From a
+position's hidden state and the class before it in its run, a softmax gives the weights of ``EXPERTS`` distributions
+over all classes; a class's probability is their mixture. All parts learn by gradient steps but the distributions: they
+are expected counts (a step of expectation maximisation in each batch), so no prediction has to normalise over classes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+from numpy.lib.stride_tricks import as_strided
 
-BLOCK, WIDTH, GROUP = 16, 16, 32
-_AT = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]  # how far back a key lies
-_SEEN = _AT >= 0
-_BACK = np.where(_SEEN, _AT, 0)
-FAR = np.float32(-1e9)
+BLOCK, WIDTH, EXPERTS, CLASSES = 8, 16, 32, 4096
+END, START = CLASSES - 1, CLASSES
+FLOOR = np.float32(0.02)  # of every distribution is the plain share of the class
+_BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]  # how far back a key lies
+_SEEN = _BACK >= 0
+Q, K, V, OWN = (slice(i * WIDTH, (i + 1) * WIDTH) for i in range(4))
+Params = dict[str, np.ndarray]
 
 
-def start(counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Parameters before training, from the classes' counts; inputs past the classes are the start of a text and padding."""
-    rng, v = np.random.default_rng(seed), GROUP * GROUP + 2
-    small = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-    p = {"query": small(v, WIDTH), "key": small(v, WIDTH), "value": small(v, WIDTH), "own": small(v, WIDTH), "salience": np.zeros(v, np.float32)}
-    p |= {"back": (-0.3 * np.arange(2 * BLOCK)).astype(np.float32), "group": small(WIDTH, GROUP), "out": small(GROUP, WIDTH, GROUP)}
-    some = counts.reshape(GROUP, GROUP) + 0.5
-    return p | {"group_bias": np.log(some.sum(axis=1) / some.sum()).astype(np.float32), "bias": np.log(some / some.sum(axis=1, keepdims=True)).astype(np.float32)}
+def start(counts: np.ndarray, seed: int = 5) -> Params:
+    """Parameters before training, from the classes' counts."""
+    rng, size = np.random.default_rng(seed), len(counts)
+    small = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
+    share = ((counts + 0.5) / (counts + 0.5).sum()).astype(np.float32)
+    expert = share[:, None] * np.exp(small(2.0, size, EXPERTS))
+    return {
+        "embed": small(0.5, size + 1, WIDTH), "inner": small(0.25, WIDTH, 4 * WIDTH), "inner_bias": small(0.1, 4 * WIDTH), "back": (-0.1 * np.arange(2 * BLOCK)).astype(np.float32),
+        "gate": small(0.25, WIDTH, EXPERTS), "gate_bias": np.zeros(EXPERTS, np.float32), "before": small(1.0, size + 1, EXPERTS),
+        "share": share, "expert": expert / expert.sum(axis=0),
+    }
 
 
-def flat(p: dict[str, np.ndarray]) -> np.ndarray:
+def flat(p: Params) -> np.ndarray:
     return np.concatenate([x.ravel() for x in p.values()])
 
 
-def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def shaped(values: np.ndarray, like: Params) -> Params:
     out, at = {}, 0
     for name, x in like.items():
         out[name] = values[at : at + x.size].reshape(x.shape).astype(np.float32)
@@ -41,127 +50,231 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def blocks(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Class sequences (each with its end) -> blocks before, blocks, targets, which targets count, and each block's text."""
-    classes = GROUP * GROUP
-    sizes = np.array([len(t) for t in texts])
-    count = -(-sizes // BLOCK)
-    first = np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
-    total = int(count.sum())
-    owner = np.repeat(np.arange(len(texts)), count)
-    joined = np.concatenate(texts).astype(np.int64)
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    place = np.arange(len(joined)) + np.repeat(first * BLOCK - begin, sizes)
-    target, inside = np.zeros(total * BLOCK, np.int64), np.zeros(total * BLOCK, bool)
-    target[place], inside[place] = joined, True
-    x = np.full(total * BLOCK, classes + 1, np.int64)
-    x[1:][inside[1:]] = target[:-1][inside[1:]]
-    x[first * BLOCK] = classes
-    x = x.reshape(total, BLOCK)
-    before = np.full_like(x, classes + 1)
-    before[1:] = x[:-1]
-    before[first] = classes + 1
-    return before, x, target.reshape(total, BLOCK), inside.reshape(total, BLOCK), owner
-
-
-def _forward(p: dict, before: np.ndarray, x: np.ndarray) -> tuple:
-    keys = np.concatenate((before, x), axis=1)
-    q, k, v = p["query"][x], p["key"][keys], p["value"][keys]
-    salience = p["salience"].copy()
-    salience[-1] = FAR  # padding is not attended to
-    s = q @ k.transpose(0, 2, 1)
-    s += np.where(_SEEN, p["back"][_BACK], FAR)
-    s += salience[keys][:, None, :]
-    np.minimum(s, 60, out=s)  # instead of taking off each row's maximum
-    np.exp(s, out=s)
-    s /= np.maximum(s.sum(axis=2, keepdims=True), np.float32(1e-30))
-    return keys, q, k, v, s, np.tanh((s @ v + p["own"][x]).reshape(-1, WIDTH))
-
-
-def _softmax(logits: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each row, and the logarithm of that of its picked column."""
-    np.clip(logits, -80, 80, out=logits)  # keeps exp finite without a pass for each row's maximum
-    own = logits[np.arange(len(logits)), picked]
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    logits /= total[:, None]
-    return logits, own - np.log(total)
-
-
-def _groups(target: np.ndarray) -> list[np.ndarray]:
-    """Rows by the group of their target."""
-    group = target // GROUP
-    order = np.argsort(group, kind="stable")
-    return np.split(order, np.searchsorted(group[order], np.arange(1, GROUP)))
-
-
-def log_probabilities(p: dict, before: np.ndarray, x: np.ndarray, target: np.ndarray, batch: int = 1024) -> np.ndarray:
-    """Natural logarithm of the probability of every target, in blocks; batches bound the memory."""
-    out = np.empty(x.shape, np.float32)
-    for a in range(0, len(x), batch):
-        h, t = _forward(p, before[a : a + batch], x[a : a + batch])[-1], target[a : a + batch].ravel()
-        logs = _softmax(h @ p["group"] + p["group_bias"], t // GROUP)[1]
-        for g, rows in enumerate(_groups(t)):
-            if len(rows):
-                logs[rows] += _softmax(h[rows] @ p["out"][g] + p["bias"][g], t[rows] % GROUP)[1]
-        out[a : a + batch] = logs.reshape(-1, BLOCK)
-    return out
+def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Runs from the longest to the shortest, and how many of them are longer than 0, 1, 2, ..."""
+    order = np.argsort(-lengths, kind="stable")
+    return order, (len(lengths) - np.searchsorted(np.sort(lengths), np.arange(int(lengths.max(initial=0))), "right")).tolist()
 
 
-def _by_input(inputs: np.ndarray, sizes: int, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows by their input."""
-    order = np.argsort(inputs, axis=None, kind="stable")
-    kinds, first = np.unique(inputs.ravel()[order], return_index=True)
-    out = np.zeros((sizes, rows.shape[1]), np.float32)
-    out[kinds] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+def _run_sums(rows, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Sum of rows(places) over each run's places, one place of all runs at a time."""
+    order, left = _by_length(lengths)
+    first, out = starts[order], np.zeros((len(starts), width), np.float32)
+    for k, n in enumerate(left):
+        out[:n] += rows(first[:n] + k)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+class Grid:
+    """Texts (class arrays with their ends) laid out as positions in blocks."""
+
+    def __init__(self, texts: list[np.ndarray], stops: np.ndarray) -> None:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.classes = joined = np.concatenate(texts)
+        ends = stops[joined]
+        text_ends = np.cumsum(sizes) - 1
+        ends[text_ends] = True  # a piece of a long text may end within a word
+        last = np.flatnonzero(ends)  # the last class of each run
+        self.runs = np.concatenate(([0], last[:-1] + 1))
+        length = np.diff(np.append(self.runs, len(joined)))
+        runs_so_far = np.searchsorted(last, text_ends, "right")
+        per_text = np.diff(np.concatenate(([0], runs_so_far)))
+        blocks = -(-per_text // BLOCK)
+        first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+        self.total, self.first = int(blocks.sum()), np.zeros(int(blocks.sum()), bool)
+        self.first[first] = True
+        self.owner = np.repeat(np.arange(len(texts)), sizes)
+        self.place = np.arange(len(last)) + np.repeat(first * BLOCK - np.concatenate(([0], runs_so_far[:-1])), per_text)  # position of each run
+        self.run_of = np.repeat(np.arange(len(last)), length)
+        self.length = length
+        self.previous = np.concatenate(([START], joined[:-1])).astype(np.int64)
+        self.previous[self.runs] = START
+        self.ends_text = np.zeros(len(last), bool)
+        self.ends_text[runs_so_far - 1] = True
+
+    def batches(self, tokens: int) -> Iterator[tuple[int, int]]:
+        """Ranges of blocks with about so many classes each."""
+        starts = np.searchsorted(self.place, np.arange(self.total) * BLOCK)
+        offsets, a = self.runs[np.minimum(starts, len(self.runs) - 1)], 0
+        while a < self.total:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + tokens)))
+            yield a, min(b, self.total)
+            a = min(b, self.total)
+
+
+class Pass:
+    """The forward pass over the blocks [a, b) of a grid; ``logs`` of the classes [self.tokens) are its result.
+
+    ``mass`` is the total of each column of ``expert``.
+    """
+
+    def __init__(self, p: Params, expert: np.ndarray, mass: np.ndarray, grid: Grid, a: int, b: int) -> None:
+        early = a if grid.first[a] else a - 1  # the block before serves as keys
+        lo, mid, hi = np.searchsorted(grid.place, (early * BLOCK, a * BLOCK, b * BLOCK)).tolist()
+        stop = grid.runs[hi] if hi < len(grid.runs) else len(grid.classes)
+        feeding = np.arange(max(lo - 1, 0), hi - 1)  # each run feeds the next position, unless that is another text's
+        self.feeding = feeding = feeding[~grid.ends_text[feeding]]
+        n, base = b - a, (a - 1) * BLOCK
+        x = np.zeros(((n + 1) * BLOCK, WIDTH), np.float32)
+        self.into = grid.place[feeding] + 1 - base
+        self.spans = grid.length[feeding].astype(np.float32)[:, None]
+        x[self.into] = _run_sums(lambda at: p["embed"].take(grid.classes.take(at), axis=0), grid.runs[feeding], grid.length[feeding], WIDTH) / self.spans
+        self.at_start = (np.flatnonzero(grid.first[early:b]) + early) * BLOCK - base
+        x[self.at_start] = p["embed"][START]
+        z = x @ p["inner"] + p["inner_bias"]
+        self.x, self.n = x, n
+        self.q = z[BLOCK:, Q].reshape(n, BLOCK, WIDTH)
+        self.k, self.v = np.ascontiguousarray(z[:, K]), np.ascontiguousarray(z[:, V])
+        self.k2, self.v2 = (as_strided(y, (n, 2 * BLOCK, WIDTH), (y.strides[0] * BLOCK, *y.strides)) for y in (self.k, self.v))
+        s = self.q @ self.k2.transpose(0, 2, 1)
+        np.clip(s, -40, 40, out=s)  # instead of taking off each row's maximum
+        np.exp(s, out=s)
+        s *= np.where(_SEEN, np.exp(p["back"][np.where(_SEEN, _BACK, 0)]), 0)
+        s[grid.first[a:b], :, :BLOCK] = 0
+        s /= s.sum(axis=2, keepdims=True)
+        self.s = s
+        self.attended = s @ self.v2
+        self.h = self.attended.reshape(-1, WIDTH) + z[BLOCK:, OWN]
+        np.maximum(self.h, 0, out=self.h)
+        self.tokens, self.lengths = slice(int(grid.runs[mid]), int(stop)), grid.length[mid:hi]
+        self.starts = grid.runs[mid:hi] - self.tokens.start
+        self.classes, self.previous = grid.classes[self.tokens], grid.previous[self.tokens]
+        self.positions = grid.place[mid:hi] - a * BLOCK
+        self.hidden = self.h.take(self.positions, axis=0)
+        gates = self.hidden @ p["gate"]
+        gates += p["gate_bias"]
+        np.clip(gates, -40, 40, out=gates)
+        e = np.repeat(gates, self.lengths, axis=0)
+        e += p["before"].take(self.previous, axis=0)
+        np.exp(e, out=e)
+        self.total = e @ np.ones(EXPERTS, np.float32)
+        self.e, self.picked = e, expert.take(self.classes, axis=0)
+        self.picked *= (1 - FLOOR) / mass
+        self.picked += (FLOOR * p["share"].take(self.classes))[:, None]
+        self.joint = np.einsum("tm,tm->t", e, self.picked)
+        self.logs = np.log(self.joint / self.total + np.float32(1e-30))
+
+
+def log_probabilities(p: Params, texts: list[np.ndarray], stops: np.ndarray, tokens: int = 4096, portion: int = 1 << 20) -> np.ndarray:
+    """Natural logarithm of the probability of every class of the texts in a row.
+
+    Batches bound the memory; a text of more than ``portion`` classes is laid out in pieces, each of which begins two
+    blocks early, so that every prediction sees what it would see in the whole.
+    """
+    mass, out = p["expert"].sum(axis=0), []
+    for some, skipped in _portions(texts, stops, portion):
+        grid = Grid(some, stops)
+        logs = np.empty(len(grid.classes), np.float32)
+        for a, b in grid.batches(tokens):
+            f = Pass(p, p["expert"], mass, grid, a, b)
+            logs[f.tokens] = f.logs
+        out.append(logs[skipped:])
+    return np.concatenate(out) if out else np.zeros(0, np.float32)
+
+
+def _portions(texts: list[np.ndarray], stops: np.ndarray, portion: int) -> Iterator[tuple[list[np.ndarray], int]]:
+    """Texts in lists of about so many classes; with each the number of leading classes that an earlier list has told."""
+    some, size = [], 0
+    for text in texts:
+        if size and size + len(text) > portion:
+            yield some, 0
+            some, size = [], 0
+        if len(text) <= portion:
+            some.append(text)
+            size += len(text)
+            continue
+        edges = np.concatenate(([0], np.flatnonzero(stops[text[:-1]]) + 1))[::BLOCK]  # where blocks begin
+        at, told = 0, 0
+        while told < len(text):
+            nxt = max(int(np.searchsorted(edges, edges[at] + portion)), at + 3)
+            stop = int(edges[nxt]) if nxt < len(edges) else len(text)
+            yield [text[edges[at] : stop]], told - int(edges[at])
+            at, told = nxt - 2, stop
+    if some:
+        yield some, 0
+
+
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sum of their rows."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    sorted_keys = keys.take(order)
+    at = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+    return sorted_keys[at], np.add.reduceat(rows.take(order, axis=0), at, axis=0)
+
+
+def gradients(p: Params, expert: np.ndarray, mass: np.ndarray, grid: Grid, a: int, b: int) -> tuple[dict[str, tuple], tuple]:
+    """Of the mean negative log-probability of the classes of blocks [a, b): name -> (rows or None for all, values).
+
+    Beside them (classes, counts): how many times each expert is expected to have made each class.
+    """
+    f = Pass(p, expert, mass, grid, a, b)
+    owed = f.e * f.picked
+    owed /= np.maximum(f.joint, np.float32(1e-30))[:, None]  # each expert's part in the class
+    dz = f.e
+    dz /= f.total[:, None]
+    dz -= owed
+    dz *= np.float32(1 / len(f.classes))
+    by_run = _run_sums(lambda at: dz.take(at, axis=0), f.starts, f.lengths, EXPERTS)
+    inside = np.flatnonzero(f.previous != START)
+    kinds, rows = _summed(f.previous[inside], dz.take(inside, axis=0)) if len(inside) else (np.zeros(0, np.int64), np.zeros((0, EXPERTS), np.float32))
+    at_first = dz.sum(axis=0) - rows.sum(axis=0)
+    out = {"gate": (None, f.hidden.T @ by_run), "gate_bias": (None, by_run.sum(axis=0)), "before": (np.append(kinds, START), np.concatenate((rows, at_first[None])))}
+    dh = np.zeros_like(f.h)
+    dh[f.positions] = (by_run @ p["gate"].T) * (f.hidden > 0)
+    d = np.zeros((len(f.x), 4 * WIDTH), np.float32)
+    d[BLOCK:, OWN] = dh
+    datt = dh.reshape(f.n, BLOCK, WIDTH)
+    ds = datt @ f.v2.transpose(0, 2, 1)
+    ds -= np.einsum("nbw,nbw->nb", datt, f.attended)[:, :, None]
+    ds *= f.s
+    d[BLOCK:, Q] = (ds @ f.k2).reshape(-1, WIDTH)
+    for part, values in ((K, ds.transpose(0, 2, 1) @ f.q), (V, f.s.transpose(0, 2, 1) @ datt)):
+        d[:-BLOCK, part] += values[:, :BLOCK].reshape(-1, WIDTH)
+        d[BLOCK:, part] += values[:, BLOCK:].reshape(-1, WIDTH)
+    out["inner"], out["inner_bias"] = (None, f.x.T @ d), (None, d.sum(axis=0))
+    out["back"] = None, np.bincount(_BACK[_SEEN], ds.sum(axis=0)[_SEEN], 2 * BLOCK).astype(np.float32)
+    dx = d @ p["inner"].T
+    at_start = dx[f.at_start].sum(axis=0, keepdims=True)
+    lengths = grid.length[f.feeding]
+    fed = np.repeat(grid.runs[f.feeding] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(int(lengths.sum())) if len(lengths) else lengths
+    kinds, rows = _summed(grid.classes[fed], np.repeat(dx.take(f.into, axis=0) / f.spans, lengths, axis=0)) if len(fed) else (np.zeros(0, np.int64), np.zeros((0, WIDTH), np.float32))
+    out["embed"] = np.append(kinds, START).astype(np.int64), np.concatenate((rows, at_start))
+    return out, _summed(f.classes, owed)
+
 
+def train(p: Params, texts: list[np.ndarray], stops: np.ndarray, least_steps: int, tokens: int = 4096, rate: float = 0.02, inertia: float = 5_000.0, portion: int = 1 << 20) -> Params:
+    """Adam over batches of the texts in order: once over all, and over again until ``least_steps`` are made.
 
-def gradients(p: dict, before: np.ndarray, x: np.ndarray, target: np.ndarray, inside: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log-probability of the targets that count."""
-    keys, q, k, v, s, h = _forward(p, before, x)
-    sizes, t = len(p["query"]), target.ravel()
-    weight = (inside.ravel() / max(1, inside.sum()))[:, None].astype(np.float32)
-
-    def errors(logits: np.ndarray, picked: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        d = _softmax(logits, picked)[0]
-        d[np.arange(len(d)), picked] -= 1
-        return d * weight
-
-    d = errors(h @ p["group"] + p["group_bias"], t // GROUP, weight)
-    g = {"group": h.T @ d, "group_bias": d.sum(axis=0), "out": np.zeros_like(p["out"]), "bias": np.zeros_like(p["bias"])}
-    dh = d @ p["group"].T
-    for n, rows in enumerate(_groups(t)):
-        if len(rows):
-            d = errors(h[rows] @ p["out"][n] + p["bias"][n], t[rows] % GROUP, weight[rows])
-            g["out"][n], g["bias"][n] = h[rows].T @ d, d.sum(axis=0)
-            dh[rows] += d @ p["out"][n].T
-    dz = (dh * (1 - h * h)).reshape(*x.shape, WIDTH)
-    da = dz @ v.transpose(0, 2, 1)
-    ds = s * (da - (da * s).sum(axis=2, keepdims=True))
-    at_x = _by_input(x, sizes, np.concatenate(((ds @ k).reshape(-1, WIDTH), dz.reshape(-1, WIDTH)), axis=1))
-    at_k = _by_input(keys, sizes, np.concatenate(((ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), (s.transpose(0, 2, 1) @ dz).reshape(-1, WIDTH), ds.sum(axis=1).reshape(-1, 1)), axis=1))
-    g["query"], g["own"] = at_x[:, :WIDTH], at_x[:, WIDTH:]
-    g["key"], g["value"], g["salience"] = at_k[:, :WIDTH], at_k[:, WIDTH:-1], at_k[:, -1]
-    g["back"] = np.bincount(_BACK[_SEEN], ds.sum(axis=0)[_SEEN], 2 * BLOCK).astype(np.float32)
-    return {name: g[name] for name in p}
-
-
-def train(p: dict, data: tuple, least_steps: int, batch: int = 64, rate: float = 0.03, seed: int = 3) -> dict:
-    """Adam over shuffled batches of blocks: once over all of them, and again until ``least_steps`` are made."""
-    before, x, target, inside, _ = data
-    rng, p = np.random.default_rng(seed), {k: v.copy() for k, v in p.items()}
-    m, v2 = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
-    step, order = 0, []
-    total = max(least_steps, -(-len(x) // batch))
+    Rows of tables that a batch doesn't touch keep their moments. The distributions begin with the weight of ``inertia``
+    classes; later counts weigh more than earlier ones, which a younger model has shared out.
+    """
+    p = {k: v.copy() for k, v in p.items()}
+    m, v2 = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+    expert = p["expert"] * np.float32(inertia / EXPERTS)
+    mass, step = expert.sum(axis=0), 0
+    total = max(least_steps, -(-sum(map(len, texts)) // tokens))
     while step < total:
-        if not len(order):
-            order = rng.permutation(len(x))
-        at, order = order[:batch], order[batch:]
-        step += 1
-        pace = rate * (1 - step / (total + 1)) ** 0.5
-        for name, g in gradients(p, before[at], x[at], target[at], inside[at]).items():
-            m[name] += 0.1 * (g - m[name])
-            v2[name] += 0.01 * (g * g - v2[name])
-            p[name] -= np.float32(pace) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.99**step)) + 1e-6)
+        began = step
+        for some, _ in _portions(texts, stops, portion):
+            grid = Grid(some, stops)
+            for a, b in grid.batches(tokens):
+                if step >= total and began:
+                    break
+                pace = rate * max(0.02, 1 - step / (total + 1)) ** 0.5
+                c1, c2 = 1 - 0.9 ** (step + 1), 1 - 0.99 ** (step + 1)
+                found, (kinds, counts) = gradients(p, expert, mass, grid, a, b)
+                for name, (rows, g) in found.items():
+                    at = slice(None) if rows is None else rows
+                    m1 = m[name][at] * np.float32(0.9) + g * np.float32(0.1)
+                    m2 = v2[name][at] * np.float32(0.99) + g * g * np.float32(0.01)
+                    m[name][at], v2[name][at] = m1, m2
+                    p[name][at] -= np.float32(pace / c1) * m1 / (np.sqrt(m2 / np.float32(c2)) + np.float32(1e-7))
+                counts *= np.float32(1 + step)
+                expert[kinds] += counts
+                mass += counts.sum(axis=0)
+                step += 1
+    p["expert"] = expert / expert.sum(axis=0)
+    np.clip(p["before"], -20, 20, out=p["before"])
     return p

@@ -1,16 +1,22 @@
 """Scoring texts by a causal self-attention language model on subword ids, beside a word-count base score.
 
 Tokens of the model are a public tokenizer's ids and one end. The ids that are frequent in the training documents are
-classes of their own, the others share classes by frequency: p(id) = p(class | earlier classes) * p(id | class). The
-first factor is the attention model (attention.py), the second comes from the counts over all training documents.
-
-Spark's part: (1) one pass counts words and ids of all training documents, with a combine in each task before the
-shuffle; (2) the attention model is trained in ``ROUNDS`` rounds of local steps: in a round every task starts from the
-same parameters, trains on its own documents of the round (another 1/``ROUNDS`` of the corpus, so every training
-document is read once over the rounds at every size; portions of ``PORTION`` tokens bound the memory) and the parameters are averaged by an aggregation, weighted by tokens; (3) one pass scores every
-document whole, in Arrow batches. Counts of the words that make up 1/``HEAD`` of all words or more go to the tasks with
-the function: there can't be more than HEAD of them, 16 bytes each. The rarer words of a document are joined to the
-word table by hash, and none of those can be a hot key.
+classes of their own, the others share classes by frequency: p(id | earlier ids) = p(class | earlier classes) *
+p(id | class). The first factor is the attention model (attention.py), the second comes from the counts over all
+training documents. A word's probability is the mean of the product over its ids and of its plain share of all training
+words, so the score knows a word that the corpus repeats, and spells one that it hasn't met.
+
+Spark's part: (1) words are counted with a combine in each task before the shuffle, and the training documents are
+tokenised once, into narrow rows in the shared checkpoint folder; (2) the attention model is trained in rounds. Every
+training document belongs to one round (``ROUNDS`` are shares of the corpus) and to one bucket of about ``BUCKET`` ids
+of it, both by its hash alone. In a round each bucket is trained on by itself from the same parameters, in the order of
+the hashes, and the buckets' parameters are averaged, weighted by ids. So every training document is learned from
+once at every size (a bucket with less than ``LEAST_STEPS`` steps is gone over again), and neither partitions nor tasks
+have a say in the result; (3) one pass scores every document whole. Counts of the words that make up 1/``HEAD`` of all
+words or more go to the tasks with the function: there can't be more than HEAD of them, 16 bytes each. The rarer words
+of a document are joined to the word table by hash, and none of those can be a hot key.
+
+Memory: texts are taken by ``SLICE`` characters at a time, long texts by pieces (attention.py); a bucket is held whole.
 
 Defined cases: null and empty texts have the end alone; a null doc_id counts as empty text, so it is held out; words
 are told apart by 64-bit XXH64; repeated rows get a row each; without training documents every count is 0; an empty
@@ -24,22 +30,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import attention
+from ledgerloom.llm.attention import CLASSES, END
 from ledgerloom.llm.common import documents, settle, whole_text
 from ledgerloom.llm.tokens import default_path, word_ids
 
-CLASSES = attention.GROUP * attention.GROUP  # the last is the end
-OWN = 960
-SHARED = CLASSES - OWN - 1
+SHARED = 64  # classes of the ids past the frequent ones: half for ids that end a word, half for the others
+OWN = CLASSES - 1 - SHARED
 HEAD = 1 << 21
-ROUNDS, LEAST_STEPS = 2, 100
-PORTION = 1 << 20
+ROUNDS = (1, 4, 16, 43)  # of 64 parts
+BUCKET = 1 << 21
+LEAST_STEPS = 100
+MOST_PARTITIONS = 20_000
+SLICE = 1 << 20
 FLUSH = 400_000
-WORD, ID, END = 0, 1, 2
+PARTS = 64
 _KNOWN = 500_000
+_LN10 = float(np.log(10))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,127 +68,180 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), np.uint64, len(words)).view(np.int64)
 
 
-def counted(train: DataFrame, path: str) -> DataFrame:
-    """kind, key, n over all rows of train: words by hash, subword ids, and ends."""
+def slices(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so much text each."""
+    a = total = 0
+    for b, size in enumerate(sizes):
+        if total and total + size > most:
+            yield a, b
+            a, total = b, 0
+        total += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """hash, c over all rows of train."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, words, ends = word_ids(path), Counter(), 0
-        ids = np.zeros(0, np.int64)
+        words = Counter()
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"kind": WORD, "key": hashes(list(words)), "n": np.fromiter(words.values(), np.int64, len(words))})
-
-        def add_ids(ids: np.ndarray) -> np.ndarray:
-            own = [encode[w.decode()] for w in words]
-            times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, own), np.int64, len(own)) // 4)
-            new = np.bincount(np.frombuffer(b"".join(own), np.uint32), times).astype(np.int64)
-            long, short = (new, ids) if len(new) >= len(ids) else (ids, new)
-            long[: len(short)] += short
-            return long
+            return pd.DataFrame({"hash": hashes(list(words)), "n": np.fromiter(words.values(), np.int64, len(words))})
 
         for pdf in batches:
             for text in pdf["text"]:
                 words.update(words_of(text))
-            ends += len(pdf)
-            if len(words) > FLUSH:
-                ids = add_ids(ids)
-                yield flush()
-                words.clear()
-        ids = add_ids(ids)
+                if len(words) > FLUSH:
+                    yield flush()
+                    words.clear()
         yield flush()
-        seen = np.flatnonzero(ids)
-        yield pd.DataFrame({"kind": ID, "key": seen, "n": ids[seen]})
-        yield pd.DataFrame({"kind": [END], "key": [0], "n": [ends]})
 
-    return train.select("text").mapInPandas(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("c"))
 
 
-class Classes:
-    """Class of every id and its share in its class, from the counts over the training documents."""
+def tokenised(train: DataFrame, path: str) -> DataFrame:
+    """tie (a hash of the row) and ids (of 2 bytes where the vocabulary allows it, else of 4) of every document."""
+    kind = _kind(path)
 
-    def __init__(self, counts: np.ndarray, ends: int) -> None:
-        order = np.argsort(-counts, kind="stable")
-        self.of = np.empty(len(counts), np.uint16)
-        self.of[order[:OWN]] = np.arange(min(OWN, len(counts)))
-        rest = order[OWN:]
-        mass = np.cumsum(counts[rest] + 0.1)
-        self.of[rest] = OWN + np.minimum(SHARED - 1, (mass / mass[-1] * SHARED).astype(int)) if len(rest) else 0
-        total = np.bincount(self.of, counts + 0.1, CLASSES)
-        self.share = np.log10((counts + 0.1) / total[self.of])
-        self.counts = np.bincount(self.of, counts, CLASSES)
-        self.counts[CLASSES - 1] = ends
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words, known = word_ids(path), {}
+        for texts in batches:
+            out = []
+            for a, b in slices(texts.str.len().tolist()):
+                split = [words_of(t) for t in texts.iloc[a:b]]
+                if len(known) > _KNOWN:
+                    known = {}
+                new = list(set().union(*split).difference(known))
+                known.update(zip(new, words.ids_of([w.decode() for w in new]), strict=True))
+                out += [np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4").astype(kind).tobytes() for s in split]
+            yield pd.Series(out, dtype=object)
+
+    return train.select(F.xxhash64("doc_id", "text").alias("tie"), encode("text").alias("ids"))
+
+
+def _kind(path: str) -> str:
+    return "<u2" if max(word_ids(path).vocabulary().values()) < 1 << 16 else "<u4"
 
 
-def _class_texts(texts, classes: Classes, path: str) -> list[np.ndarray]:
-    encode, end = word_ids(path), np.array([CLASSES - 1], np.uint16)
-    return [np.concatenate((classes.of[np.frombuffer(b"".join([encode[w.decode()] for w in words_of(t)]), np.uint32)], end)) for t in texts]
+def id_counts(tokens: DataFrame, path: str) -> np.ndarray:
+    """How often each id of the vocabulary stands in the rows of tokenised."""
+    kind, size = _kind(path), max(word_ids(path).vocabulary().values()) + 1
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, np.int64)
+        for pdf in batches:
+            for ids in pdf["ids"]:
+                np.add(total, np.bincount(np.frombuffer(ids, kind), minlength=size), out=total) if len(ids) > size else np.add.at(total, np.frombuffer(ids, kind), 1)
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"id": seen, "n": total[seen]})
 
-def _portions(texts, classes: Classes, path: str) -> Iterator[list[np.ndarray]]:
-    """All texts in order, as class sequences, in lists of about PORTION tokens."""
-    some, tokens = [], 0
-    for a in range(0, len(texts), 256):
-        for text in _class_texts(texts.iloc[a : a + 256], classes, path):
-            some.append(text)
-            tokens += len(text)
-            if tokens >= PORTION:
-                yield some
-                some, tokens = [], 0
-    if some:
-        yield some
+    found = np.zeros(size, np.int64)
+    for row in tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+        found[row["id"]] = row["n"]
+    return found
 
 
-def trained(train: DataFrame, classes: Classes, path: str, rounds: int = ROUNDS, least_steps: int = LEAST_STEPS) -> dict[str, np.ndarray]:
-    """The attention model's parameters after all rounds, which share out the whole of train."""
-    p = attention.start(classes.counts)
-    for r in range(rounds):
-        part = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
+class Classes:
+    """Class of every id and its share in its class, from the counts over the training documents; which classes end a word."""
 
-        def local(batches: Iterator[pd.DataFrame], p=p, r=r) -> Iterator[pd.DataFrame]:
-            own, tokens = p, 0
+    def __init__(self, counts: np.ndarray, ends: int, ends_word: np.ndarray) -> None:
+        order = np.argsort(-counts, kind="stable")
+        self.of = np.empty(len(counts), np.uint16)
+        own = order[:OWN]
+        self.of[own] = np.arange(len(own))
+        self.stops = np.zeros(CLASSES, bool)
+        self.stops[: len(own)] = ends_word[own]
+        for first, wanted in ((OWN, False), (OWN + SHARED // 2, True)):
+            rest = order[OWN:][ends_word[order[OWN:]] == wanted]
+            mass = np.cumsum(counts[rest] + 0.1)
+            self.of[rest] = first + np.minimum(SHARED // 2 - 1, (mass / mass[-1] * (SHARED // 2)).astype(int)) if len(rest) else 0
+            self.stops[first : first + SHARED // 2] = wanted
+        self.stops[END] = True
+        total = np.bincount(self.of, counts + 0.1, CLASSES)
+        self.share = np.log10((counts + 0.1) / total[self.of])
+        self.counts = np.bincount(self.of, counts, CLASSES)
+        self.counts[END] = ends
+
+
+def trained(tokens: DataFrame, classes: Classes, path: str, rounds: tuple = ROUNDS, bucket: int = BUCKET, least_steps: int = LEAST_STEPS) -> attention.Params:
+    """The attention model's parameters after all rounds, which share out all rows of tokenised."""
+    p, kind, first = attention.start(classes.counts), _kind(path), 0
+    total, of, stops = int(classes.counts.sum()), classes.of, classes.stops
+    for part in rounds:
+        buckets = max(1, round(total * part / sum(rounds) / bucket))
+        place = F.pmod("tie", F.lit(sum(rounds)))
+        rows = tokens.where((place >= first) & (place < first + part)).select(F.pmod(F.xxhash64("tie"), F.lit(buckets)).alias("bucket"), "tie", "ids")
+        rows = rows.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket", "tie")
+        first += part
+
+        def local(batches: Iterator[pd.DataFrame], p=p) -> Iterator[pd.DataFrame]:
+            total, weight, held, now = 0.0, 0, [], None
+            end = np.array([END], np.uint16)
+
+            def learn() -> None:
+                nonlocal total, weight
+                if held:
+                    size = sum(map(len, held))
+                    total, weight = total + attention.flat(attention.train(p, held, stops, least_steps)).astype(np.float64) * size, weight + size
+
+            for pdf in batches:
+                for number, ids in zip(pdf["bucket"], pdf["ids"], strict=True):
+                    if number != now:
+                        learn()
+                        held, now = [], number
+                    held.append(np.concatenate((of[np.frombuffer(ids, kind)], end)))
+            learn()
+            if weight:
+                cut = np.array_split(total, PARTS)
+                yield pd.DataFrame({"part": range(PARTS), "task": TaskContext.get().partitionId(), "weight": float(weight), "values": [c.tobytes() for c in cut]})
+
+        def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, list] = {}
             for pdf in batches:
-                for some in _portions(pdf["text"], classes, path):
-                    data = attention.blocks(some)
-                    own, tokens = attention.train(own, data, least_steps, seed=r), tokens + int(data[3].sum())
-            if tokens:
-                values = attention.flat(own).astype(np.float64)
-                yield pd.DataFrame({"at": np.arange(len(values)), "value": values * tokens, "tokens": tokens})
-
-        mean = part.mapInPandas(local, "at int, value double, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value"))
-        found = {row["at"]: row["value"] for row in mean.collect()}  # as many rows as the model has parameters
+                for number, weight, values in zip(pdf["part"], pdf["weight"], pdf["values"], strict=True):
+                    own = sums.setdefault(number, [0.0, 0.0])
+                    own[0], own[1] = own[0] + np.frombuffer(values), own[1] + weight
+            yield pd.DataFrame({"part": list(sums), "values": [(v / w).astype("<f4").tobytes() for v, w in sums.values()]})
+
+        each = rows.select("bucket", "ids").mapInPandas(local, "part int, task int, weight double, values binary")
+        mean = each.repartition(PARTS, "part").sortWithinPartitions("part", "task").mapInPandas(average, "part int, values binary")
+        found = dict(mean.collect())  # PARTS rows, together as large as the model
         if found:
-            p = attention.shaped(np.round([found[i] for i in range(len(found))], 6), p)
+            p = attention.shaped(np.concatenate([np.frombuffer(found[i], "<f4") for i in range(PARTS)]), p)
     return p
 
 
 class Lexicon:
-    """What scoring needs of each word met: its classes, its ids' share, its base score or that it is rare."""
+    """What scoring needs of each word met: its classes, its ids' share, its share of all words or that it is rare."""
 
-    def __init__(self, classes: Classes, path: str, head: tuple[np.ndarray, np.ndarray], scale: float) -> None:
-        self.classes, self.encode, self.head, self.scale = classes, word_ids(path), head, scale
+    def __init__(self, classes: Classes, path: str, head: tuple[np.ndarray, np.ndarray]) -> None:
+        self.classes, self.encode, self.head = classes, word_ids(path), head
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[bytes, int] = {}
         self.parts: list[bytes] = []
-        self.share, self.base, self.hash = np.zeros(_KNOWN), np.zeros(_KNOWN), np.zeros(_KNOWN, np.int64)
+        self.size, self.share, self.count, self.hash = (np.zeros(_KNOWN, kind) for kind in (np.int32, float, float, np.int64))
 
     def learn(self, words: list[bytes]) -> None:
         a, b = len(self.parts), len(self.parts) + len(words)
         if b > len(self.share):
-            self.share, self.base, self.hash = (np.concatenate((x, np.zeros(b, x.dtype))) for x in (self.share, self.base, self.hash))
-        own = [self.encode[w.decode()] for w in words]
+            self.size, self.share, self.count, self.hash = (np.concatenate((x, np.zeros(b, x.dtype))) for x in (self.size, self.share, self.count, self.hash))
+        own = self.encode.ids_of([w.decode() for w in words])
         ids = np.frombuffer(b"".join(own), np.uint32)
-        stops = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) // 4)
-        starts, kinds = np.concatenate(([0], stops[:-1])), self.classes.of[ids].tobytes()
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        stops = np.cumsum(sizes)
+        starts, kinds = stops - sizes, self.classes.of[ids].tobytes()
         self.parts += [kinds[2 * i : 2 * j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
         so_far = np.concatenate(([0.0], np.cumsum(self.classes.share[ids])))
-        self.share[a:b] = so_far[stops] - so_far[starts]
+        self.size[a:b], self.share[a:b] = sizes, so_far[stops] - so_far[starts]
         self.hash[a:b] = h = hashes(words)
         keys, counts = self.head
         spot = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
         known = keys[spot] == h if len(keys) else np.zeros(len(h), bool)
-        self.base[a:b] = np.where(known, np.log10((counts[spot] + 0.1) / self.scale) if len(keys) else 0.0, np.nan)
+        self.count[a:b] = np.where(known, counts[spot] if len(keys) else 0, np.nan)
         self.at.update(zip(words, range(a, b), strict=True))
 
     def read(self, words: list[list[bytes]]) -> list[np.ndarray]:
@@ -190,60 +254,77 @@ class Lexicon:
         return [np.fromiter(map(self.at.__getitem__, w), np.int64, len(w)) for w in words]
 
 
-def score(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+def mean_with_share(spelled: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """log10 of the mean of 10**spelled and share."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(spelled * _LN10, np.log(share)) / _LN10 - np.log10(2)
+
+
+def score(docs: DataFrame, path: str | None = None, params: attention.Params | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    params: of a model trained before; else one is trained here.
+    """
     path = path or default_path()
     docs = docs.select("doc_id", whole_text().alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     train = docs.where(~F.col("held_out"))
-    table = settle(counted(train, path))
-    words = table.where(F.col("kind") == WORD).select(F.col("key").alias("hash"), F.col("n").alias("c"))
-    n_words, distinct, ends = table.where(F.col("kind") != ID).agg(F.sum("n"), F.count_if((F.col("kind") == WORD) & (F.col("n") > 0)), F.sum(F.when(F.col("kind") == END, F.col("n")))).first()
-    n_words, ends = n_words or 0, ends or 0
+    words, tokens, ends = settle(word_counts(train)), settle(tokenised(train, path)), train.count()
+    n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_words += ends
     scale = n_words + 0.1 * (distinct + (ends > 0) + 1)
-    counts = np.zeros(len(word_ids(path).vocabulary()), np.int64)
-    for row in table.where(F.col("kind") == ID).collect():  # at most the vocabulary
-        counts[row["key"]] = row["n"]
-    classes = Classes(counts, ends)
+    classes = Classes(id_counts(tokens, path), ends, word_ids(path).ends())
     top = words.where(F.col("c") * HEAD >= F.lit(int(n_words))).toArrow()  # at most HEAD rows, each with 1/HEAD of all words
     keys = top["hash"].to_numpy()
     head = (keys[order := np.argsort(keys)], top["c"].to_numpy()[order])
-    params = trained(train, classes, path)
-    base_end = float(np.log10((ends + 0.1) / scale))
+    params = params or trained(tokens, classes, path)
     send = docs.sparkSession.sparkContext.broadcast((classes, head, params))
+    n_all = max(1, int(n_words))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes, head, params = send.value
-        lexicon, end = Lexicon(classes, path, head, scale), np.array([CLASSES - 1], np.uint16).tobytes()
+        lexicon, end = Lexicon(classes, path, head), np.array([END], np.uint16).tobytes()
         for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                some = pdf.iloc[a : a + 256]
+            for a, b in slices(pdf["text"].str.len().tolist()):
+                some = pdf.iloc[a:b]
                 split = [words_of(t) for t in some["text"]]
                 places = lexicon.read(split)
                 texts = [np.frombuffer(b"".join(map(lexicon.parts.__getitem__, at.tolist())) + end, np.uint16) for at in places]
-                out = np.array([lexicon.share[at].sum() for at in places])
-                before, x, target, inside, owner = attention.blocks(texts)
-                logs = np.where(inside, attention.log_probabilities(params, before, x, target), 0).sum(axis=1, dtype=np.float64)
-                out += np.bincount(owner, logs, len(texts)) / np.log(10)
-                base = [lexicon.base[at] for at in places]
-                rare = [np.isnan(b) for b in base]
+                so_far = np.concatenate(([0.0], np.cumsum(attention.log_probabilities(params, texts, classes.stops), dtype=np.float64)))
+                n = np.fromiter(map(len, places), np.int64, len(places)) + 1
+                at = np.insert(np.concatenate(places), np.cumsum(n - 1), -1)  # every text's words and its end
+                is_end = at < 0
+                stops = np.cumsum(np.where(is_end, 1, lexicon.size[at]))
+                spelled = (so_far[stops] - so_far[stops - np.where(is_end, 1, lexicon.size[at])]) / _LN10 + np.where(is_end, 0, lexicon.share[at])
+                count = np.where(is_end, ends, lexicon.count[at])
+                rare, first = np.isnan(count), np.concatenate(([0], np.cumsum(n)[:-1]))
+                known = np.where(rare, 0, count)
+                told = np.where(rare, 0, mean_with_share(spelled, known / n_all))
+                base = np.where(rare, 0, np.log10((known + 0.1) / scale))
+                row = np.repeat(np.arange(len(n)), n)[rare]
+                cut = np.searchsorted(row, np.arange(1, len(n)))
                 yield pd.DataFrame({
-                    "doc_id": some["doc_id"], "held_out": some["held_out"], "n_tokens": [len(at) + 1 for at in places],
-                    "n_head": [int((~r).sum()) + (ends > 0) for r in rare], "head_score": [base_end + float(np.nansum(b)) for b in base],
-                    "score": out, "rare": [lexicon.hash[at[r]] for at, r in zip(places, rare, strict=True)],
+                    "doc_id": some["doc_id"], "held_out": some["held_out"], "n_tokens": n, "n_head": np.add.reduceat((~rare & (count > 0)).astype(np.int64), first),
+                    "head_base": np.add.reduceat(base, first), "head_score": np.add.reduceat(told, first),
+                    "rare": np.split(lexicon.hash[at[rare]], cut), "spelled": np.split(spelled[rare], cut),
                 })
 
-    rows = docs.mapInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>")
+    rows = docs.mapInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double, rare array<long>, spelled array<double>")
     rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
-    count = F.coalesce("c", F.lit(0))
+    count, spelled = F.coalesce("c", F.lit(0)), F.col("spelled")
+    share = F.log10(F.col("c") / F.lit(float(n_all)))
+    most = F.greatest(spelled, F.coalesce(share, spelled))
+    told = most + F.log10((F.pow(F.lit(10.0), spelled - most) + F.coalesce(F.pow(F.lit(10.0), share - most), F.lit(0.0))) / 2)
     rare = (
-        rows.select("row", F.explode("rare").alias("hash"))
+        rows.select("row", F.explode(F.arrays_zip("rare", "spelled")).alias("x"))
+        .select("row", F.col("x.rare").alias("hash"), "x.spelled")
         .join(words, "hash", "left")
         .groupBy("row")
-        .agg(F.sum(F.log10((count + 0.1) / F.lit(scale))).alias("rare_score"), F.count_if(count > 0).alias("n_rare"))
+        .agg(F.sum(F.log10((count + 0.1) / F.lit(scale))).alias("rare_base"), F.sum(told).alias("rare_score"), F.count_if(count > 0).alias("n_rare"))
     )
-    return rows.drop("rare").join(rare, "row", "left").select(
+    zero = F.lit(0.0)
+    return rows.drop("rare", "spelled").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(int(n_words)).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("head_base") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("head_score") + F.coalesce("rare_score", zero)).alias("score"),
     )
 
 

@@ -1,19 +1,82 @@
 """Subword ids of texts by a public tokenizer, with a memory of the words met.
 
 White space always separates tokens of this vocabulary, so a text's ids are its words' ids in a row; words repeat, so
-each Python worker keeps the ids of the words that it has met (at most ``CACHE``; then it starts anew).
+each Python worker keeps the ids of the words that it has met (at most ``CACHE``; then it starts anew). Words new to a
+batch that are one run of letters are merged together in numpy, by the tokenizer's own table of merges; all others
+(signs, digits, other scripts, very long runs) go through the tokenizer one by one.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from functools import lru_cache
 
+import numpy as np
+
 CACHE = 500_000
+LONGEST_RUN = 48
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write a byte as itself where it is visible in Latin-1, the others from U+0100 on.
 BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _OWN)}
+END_OF_WORD = "</w>"
+SIGNS = ".,!?;:#*$%&|<>=()\"-+"
+
+
+class Merges:
+    """The merge table of a byte-level vocabulary with word ends, for many runs of letters at a time."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, pairs = model["vocab"], [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        self.inner, self.last = (np.array([vocab[chr(BYTES.get(b, b)) + end] for b in range(256)], np.int64) for end in ("", END_OF_WORD))
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rank, self.into = keys[order], order, np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.never = len(pairs)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place of each pair in the table of merges, or ``never``."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], self.never)
+
+    def __call__(self, runs: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of each run: the pair that comes first in the table is merged until none is left."""
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        raw = np.frombuffer(b"".join(runs), np.uint8)
+        symbol, owner = self.inner[raw], np.repeat(np.arange(len(runs)), size)
+        stop = np.cumsum(size) - 1
+        symbol[stop] = self.last[raw[stop]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(symbol), self.never)
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inside] = self._ranks(symbol[inside], symbol[inside + 1])
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            length = np.diff(np.append(first, len(owner)))
+            best = np.repeat(np.minimum.reduceat(rank, first), length)
+            going = best < self.never
+            if not going.all():
+                done.append((owner[~going], symbol[~going]))
+                owner, symbol, rank, best = owner[going], symbol[going], rank[going], best[going]
+                continue
+            at = np.flatnonzero(rank == best)
+            at = at[np.concatenate(([True], owner[at][1:] != owner[at][:-1]))]  # the leftmost of each run
+            symbol[at] = self.into[rank[at]]
+            stays = np.ones(len(symbol), bool)
+            stays[at + 1] = False
+            at = at - np.arange(len(at))
+            owner, symbol, rank = owner[stays], symbol[stays], rank[stays]
+            for i in (at, at[at > 0] - 1):
+                same = (i + 1 < len(owner)) & (owner[i] == owner[np.minimum(i + 1, len(owner) - 1)])
+                rank[i] = self.never
+                rank[i[same]] = self._ranks(symbol[i[same]], symbol[i[same] + 1])
+        owner, symbol = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
+        ids, stops = symbol[np.argsort(owner, kind="stable")].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(owner, minlength=len(runs)))).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)] if runs else []
 
 
 def default_path() -> str:
@@ -29,41 +92,63 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.encode, self.model = self.tokenizer.encode, self.tokenizer.model
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.encode = self.tokenizer.encode
         self.single: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) > CACHE:
             self.clear()
-        body = word[:-1] if word[-1] in ".,!?;:" else word
-        if body.isalpha() and max(body) <= "\xff":  # one run of letters, all composed, needs the merges alone
-            ids = self._run(body.lower()) + (self._run(word[-1]) if body is not word else b"")
-        else:
-            ids = pack_ids(self.encode(word, add_special_tokens=False).ids)
-        self[word] = ids
+        self[word] = ids = self.ids_of([word])[0]
         return ids
 
-    def _run(self, letters: str) -> bytes:
-        ids = self.single.get(letters)
-        if ids is None:
-            if len(self.single) >= CACHE:
-                self.single.clear()
-            shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTES)
-            ids = self.single[letters] = pack_ids([t.id for t in self.model.tokenize(shown)])
-        return ids
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of words, without remembering the words."""
+        if len(self.single) + len(words) > CACHE:
+            self.single.clear()
+        bodies, single, out = [w.rstrip(SIGNS) for w in words], self.single, []
+        plain = [b.isalpha() and (b.isascii() or max(b) <= "\xff") and len(b) <= LONGEST_RUN for b in bodies]  # one run of letters, all composed
+        new = list({b.lower() for b, p in zip(bodies, plain, strict=True) if p}.difference(single))
+        single.update(zip(new, self.merges([r.encode() for r in new]), strict=True))
+        for word, body, run in zip(words, bodies, plain, strict=True):
+            if not run:
+                out.append(pack_ids(self.encode(word, add_special_tokens=False).ids))
+            elif len(body) == len(word):
+                out.append(single[body.lower()])
+            else:
+                sign = word[len(body) :]
+                if sign not in single:
+                    single[sign] = pack_ids(self.encode(sign, add_special_tokens=False).ids)
+                out.append(single[body.lower()] + single[sign])
+        return out
 
     def vocabulary(self) -> dict[str, int]:
         return self.tokenizer.get_vocab(with_added_tokens=True)
 
+    def ends(self) -> np.ndarray:
+        """By id, whether a run of the text ends with it."""
+        vocab = self.vocabulary()
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for piece, i in vocab.items() if piece.endswith(END_OF_WORD)]] = True
+        return out
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts."""
+        if len(self) > CACHE:
+            self.clear()
+        split = [None if _separators(t) else t.split() for t in texts]
+        words = [w for w in set().union(*filter(None, split)) if w not in self]
+        if words:
+            self.update(zip(words, self.ids_of(words), strict=True))
+        return [pack_ids(self.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(self.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+
     def text(self, text: str) -> bytes:
         """The ids of a whole text."""
-        if _separators(text):  # str.split cuts at these, the tokenizer doesn't
-            return pack_ids(self.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.texts([text])[0]
 
 
 def _separators(text: str) -> bool:
+    """str.split cuts at these, the tokenizer doesn't."""
     return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
 
 
