@@ -1,18 +1,20 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a flow served at a rate in proportion to its weight. Its documents stand in a shuffled order (md5 of
-seed and doc_id); the virtual finish time of a document is the source's cumulative words up to and with it, divided
-by the source's weight. A flow may be served ``max_epochs`` times over. All copies in order of virtual finish time,
-cut where the words served reach the budget, are the mix; the copy in service at the cut is cut at a word.
+seed, doc_id and text); the virtual finish time of a copy of a document is the source's cumulative words up to and with
+it, divided by the source's weight; a flow may be served ``max_epochs`` times over, so a copy of a later round finishes
+a whole source later. All copies, in order of virtual finish time (ties: by source), are taken until the words taken
+reach the budget; the copy at the cut is cut at a word. A source's words so come within a document or two of its target.
 
 Spark's part: one aggregation per (source, bucket of the shuffled order), prefix sums over those few rows, then one
 shuffle of the documents by (source, bucket) for the running sum inside a bucket. A hot source is as many buckets as
-its rows ask for, so nothing depends on the size of the largest source. The budget's virtual time follows from the
-per-source totals (a source that has run out of epochs leaves the rest to the others), so the cut needs no global scan.
+its rows ask for, so nothing depends on the size of the largest source. The cut: finish times and sizes of all copies
+(narrow rows) are range-sorted, the ranges' totals are added up (a row a range), and a running sum inside the one range
+that the budget falls into finds the copy. The windows over sources hold a narrow row a source.
 
 Defined cases: null text is empty (size 0, never taken); a null source is a source of its own, after all others; null
 doc_id has the key of the empty string; repeated rows are separate documents; an empty table gives an empty mix; a
-source of blank documents has target 0.
+source of blank documents has target 0; with max_epochs too few for the budget all copies are taken.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ SEED = "mix"
 
 
 def shuffle_key(seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(whole_text())))
 
 
 def source_targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size) -> source, source_rank, source_size, weight, level, target; one row a source.
+    """(source, source_size) -> source, source_rank, source_size, weight, target; one row a source.
 
     The windows here run over one row a source, never over documents.
     """
@@ -52,10 +54,23 @@ def source_targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = 1
     ranked = ranked.withColumn("full", F.col("most") * F.col("weight_left") <= F.col("weight") * left)
     level = F.max(F.when(~F.col("full"), left / F.col("weight_left"))).over(Window.partitionBy())
     return ranked.withColumn("level", level).select(
-        "source", "source_rank", "source_size", "weight", "level", F.when(F.col("full"), F.col("most")).otherwise(F.col("level") * F.col("weight")).alias("target")
+        "source", "source_rank", "source_size", "weight", F.when(F.col("full"), F.col("most")).otherwise(F.col("level") * F.col("weight")).alias("target")
     )
 
 
+def the_cut(copies: DataFrame, budget: int):
+    """(finish, source_rank, words) of the copy (finish, source_rank, size) at which the words taken reach the budget, or None."""
+    ranges = settle(copies.where("size > 0").repartitionByRange("finish", "source_rank").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("part").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    found = totals.where(F.col("before") + F.col("words") >= budget).orderBy("part").first()
+    if found is None:
+        return None
+    served = F.lit(found["before"]) + F.sum("size").over(Window.partitionBy("part").orderBy("finish", "source_rank").rowsBetween(Window.unboundedPreceding, 0))
+    inside = ranges.where(F.col("part") == found["part"]).withColumn("served", served)
+    return inside.where(F.col("served") >= budget).orderBy("finish", "source_rank").select("finish", "source_rank", (F.lit(budget) - F.col("served") + F.col("size")).alias("words")).first()
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS, keep: tuple = ()) -> DataFrame:
     """Every document with size, source_size, target, virtual_finish (of its first copy) and the words taken of each copy.
 
@@ -82,16 +97,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epoch
     )
     so_far = Window.partitionBy("_has_source", "_source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_end", F.col("_before") + F.sum("size").over(so_far))
-    quota, start = F.floor(F.col("target")).cast("long"), F.col("_end") - F.col("size")
-    copies = F.array(*[F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), quota - start - F.col("source_size") * e)) for e in range(max_epochs)])
+    finish = [(F.col("_end") + F.col("source_size") * e) / F.col("weight") for e in range(max_epochs)]
+    budget = int((parts.agg(F.sum("words")).first()[0] or 0) * share)
+    cut = the_cut(placed.select("source_rank", "size", F.explode(F.array(*finish)).alias("finish")), budget) if budget else None
+    rank, size = F.col("source_rank"), F.col("size")
+    none = F.lit(0).cast("long")
+    taken = [
+        (size if budget else none) if cut is None
+        else F.when((f < cut["finish"]) | ((f == cut["finish"]) & (rank < cut["source_rank"])), size)
+        .when((f == cut["finish"]) & (rank == cut["source_rank"]), F.least(size, F.lit(cut["words"]).cast("long"))).otherwise(none)
+        for f in finish
+    ]
     return placed.select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        (F.col("_end") / F.col("weight")).alias("virtual_finish"),
+        finish[0].alias("virtual_finish"),
         (F.col("source_size") / F.col("weight")).alias("virtual_epoch"),
-        copies.alias("copies"),
+        F.array(*taken).alias("copies"),
         *[F.col(f"_keep_{c}").alias(f"kept_{c}") for c in keep],
     )
 
@@ -119,7 +143,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k
+         md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS k
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM totals),
@@ -133,16 +157,18 @@ filled AS (
   FROM weighed),
 levels AS (SELECT *, most * weight_left <= weight * (all_words - before) AS is_full FROM filled),
 targets AS (
-  SELECT source, source_size, weight,
+  SELECT source, source_size, weight, r,
          CASE WHEN is_full THEN most ELSE weight * max(CASE WHEN NOT is_full THEN (all_words - before) / weight_left END) OVER () END AS target
   FROM levels),
 placed AS (
-  SELECT rows.doc_id, rows.size, t.source_size, t.target, t.weight,
+  SELECT rows.doc_id, rows.size, t.source_size, t.target, t.weight, t.r, row_number() OVER () AS n,
          CAST(sum(rows.size) OVER (PARTITION BY rows.source ORDER BY rows.k, rows.doc_id, rows.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
-  FROM rows JOIN targets t ON rows.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, stop / weight AS virtual_finish,
-       CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - (stop - size)))
-          + greatest(0, least(size, CAST(floor(target) AS BIGINT) - (stop - size) - source_size))
-          + greatest(0, least(size, CAST(floor(target) AS BIGINT) - (stop - size) - 2 * source_size)) AS BIGINT) AS taken
-FROM placed
+  FROM rows JOIN targets t ON rows.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT n, size, r, (stop + source_size * e) / weight AS finish FROM placed, range(3) AS epochs(e) WHERE size > 0),
+served AS (
+  SELECT n, size, CAST(sum(size) OVER (ORDER BY finish, r ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS earlier FROM copies),
+taken AS (
+  SELECT n, CAST(sum(greatest(0, least(size, (SELECT sum(size) FROM rows) - earlier))) AS BIGINT) AS taken FROM served GROUP BY n)
+SELECT doc_id, size, source_size, target, stop / weight AS virtual_finish, coalesce(taken, 0) AS taken
+FROM placed LEFT JOIN taken USING (n)
 """
