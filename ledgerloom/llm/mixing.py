@@ -4,11 +4,12 @@ Each source is a flow served at a rate in proportion to its weight. Its document
 seed, doc_id and text); the virtual finish time of a copy of a document is the source's cumulative words up to and with
 it, divided by the source's weight; a flow may be served ``max_epochs`` times over, so a copy of a later round finishes
 a whole source later. All copies, in order of virtual finish time (ties: by source), are taken until the words taken
-reach the budget; the copy at the cut is cut at a word. A source's words so come within a document or two of its target.
+reach the budget; the copy at the cut is cut at a word. A long document is served in pieces of ``PIECE`` words, each with
+its own finish time, so a source's words come within a piece or two of its target however long its documents are.
 
 Spark's part: one aggregation per (source, bucket of the shuffled order), prefix sums over those few rows, then one
 shuffle of the documents by (source, bucket) for the running sum inside a bucket. A hot source is as many buckets as
-its rows ask for, so nothing depends on the size of the largest source. The cut: finish times and sizes of all copies
+its rows ask for, so nothing depends on the size of the largest source. The cut: finish times and sizes of all pieces
 (narrow rows) are range-sorted, the ranges' totals are added up (a row a range), and a running sum inside the one range
 that the budget falls into finds the copy. The windows over sources hold a narrow row a source.
 
@@ -27,6 +28,7 @@ from ledgerloom.llm.common import BLANKS, WORD, documents, settle, whole_text
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BUCKET_ROWS = 512
+PIECE = 256
 SEED = "mix"
 
 
@@ -97,25 +99,35 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epoch
     )
     so_far = Window.partitionBy("_has_source", "_source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_end", F.col("_before") + F.sum("size").over(so_far))
-    finish = [(F.col("_end") + F.col("source_size") * e) / F.col("weight") for e in range(max_epochs)]
+    rank, size, weight = F.col("source_rank"), F.col("size"), F.col("weight")
+    begin = [F.col("_end") - size + F.col("source_size") * e for e in range(max_epochs)]
+    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(size - 1, F.lit(0)), F.lit(PIECE).cast("long"))  # first words
+    stop = lambda at: F.least(size, at + PIECE)
+
+    def in_pieces(b: Column) -> Column:
+        return F.transform(pieces, lambda at: F.struct(((b + stop(at)) / weight).alias("finish"), (stop(at) - at).alias("size")))
+
+    served = [in_pieces(b) for b in begin]
     budget = int((parts.agg(F.sum("words")).first()[0] or 0) * share)
-    cut = the_cut(placed.select("source_rank", "size", F.explode(F.array(*finish)).alias("finish")), budget) if budget else None
-    rank, size = F.col("source_rank"), F.col("size")
-    none = F.lit(0).cast("long")
-    taken = [
-        (size if budget else none) if cut is None
-        else F.when((f < cut["finish"]) | ((f == cut["finish"]) & (rank < cut["source_rank"])), size)
-        .when((f == cut["finish"]) & (rank == cut["source_rank"]), F.least(size, F.lit(cut["words"]).cast("long"))).otherwise(none)
-        for f in finish
-    ]
+    cut = the_cut(placed.where("size > 0").select("source_rank", F.inline(F.flatten(F.array(*served)))), budget) if budget else None
+
+    def taken(b: Column, own: Column) -> Column:
+        if cut is None:
+            return size if budget else F.lit(0).cast("long")
+        words = lambda x: F.when((x["finish"] < cut["finish"]) | ((x["finish"] == cut["finish"]) & (rank < cut["source_rank"])), x["size"]).when(
+            (x["finish"] == cut["finish"]) & (rank == cut["source_rank"]), F.lit(cut["words"]).cast("long")
+        ).otherwise(F.lit(0).cast("long"))
+        in_service = F.aggregate(own, F.lit(0).cast("long"), lambda so_far, x: so_far + words(x))
+        return F.when((b + size) / weight < cut["finish"], size).when(b / weight > cut["finish"], F.lit(0).cast("long")).when(size > 0, in_service).otherwise(F.lit(0).cast("long"))
+
     return placed.select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        finish[0].alias("virtual_finish"),
+        (F.col("_end") / weight).alias("virtual_finish"),
         (F.col("source_size") / F.col("weight")).alias("virtual_epoch"),
-        F.array(*taken).alias("copies"),
+        F.array(*map(taken, begin, served)).alias("copies"),
         *[F.col(f"_keep_{c}").alias(f"kept_{c}") for c in keep],
     )
 
@@ -164,7 +176,10 @@ placed AS (
   SELECT rows.doc_id, rows.size, t.source_size, t.target, t.weight, t.r, row_number() OVER () AS n,
          CAST(sum(rows.size) OVER (PARTITION BY rows.source ORDER BY rows.k, rows.doc_id, rows.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
   FROM rows JOIN targets t ON rows.source IS NOT DISTINCT FROM t.source),
-copies AS (SELECT n, size, r, (stop + source_size * e) / weight AS finish FROM placed, range(3) AS epochs(e) WHERE size > 0),
+pieces AS (SELECT *, unnest(range(0, size, 256)) AS first_word FROM placed WHERE size > 0),
+copies AS (
+  SELECT n, least(256, size - first_word) AS size, r, (stop - size + source_size * e + least(size, first_word + 256)) / weight AS finish
+  FROM pieces, range(3) AS epochs(e)),
 served AS (
   SELECT n, size, CAST(sum(size) OVER (ORDER BY finish, r ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS earlier FROM copies),
 taken AS (
