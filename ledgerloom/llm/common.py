@@ -7,6 +7,7 @@ Every operator selects the columns it needs by name before it adds any of its ow
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    A session on one machine (a test) without that setting gets a folder of its own; on a cluster it is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -50,5 +54,17 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(c, rf"[{BLANKS}]+"), lambda w: w != "")
 
 
+def slices(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so much text each."""
+    a = total = 0
+    for b, size in enumerate(sizes):
+        if total and total + size > most:
+            yield a, b
+            a, total = b, 0
+        total += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

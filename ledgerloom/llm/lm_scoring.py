@@ -16,7 +16,7 @@ have a say in the result; (3) one pass scores every document whole. Counts of th
 words or more go to the tasks with the function: there can't be more than HEAD of them, 16 bytes each. The rarer words
 of a document are joined to the word table by hash, and none of those can be a hot key.
 
-Memory: texts are taken by ``SLICE`` characters at a time, long texts by pieces (attention.py); a bucket is held whole.
+Memory: texts are taken by some million characters at a time, long texts by pieces (attention.py); a bucket is held whole.
 
 Defined cases: null and empty texts have the end alone; a null doc_id counts as empty text, so it is held out; words
 are told apart by 64-bit XXH64; repeated rows get a row each; without training documents every count is 0; an empty
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import attention
 from ledgerloom.llm.attention import CLASSES, END
-from ledgerloom.llm.common import documents, settle, whole_text
-from ledgerloom.llm.tokens import default_path, word_ids
+from ledgerloom.llm.common import documents, settle, slices, whole_text
+from ledgerloom.llm.tokens import default_path, id_kind, word_ids
 
 SHARED = 64  # classes of the ids past the frequent ones: half for ids that end a word, half for the others
 OWN = CLASSES - 1 - SHARED
@@ -46,7 +46,6 @@ ROUNDS = (1, 4, 16, 43)  # of 64 parts
 BUCKET = 1 << 21
 LEAST_STEPS = 100
 MOST_PARTITIONS = 20_000
-SLICE = 1 << 20
 FLUSH = 400_000
 PARTS = 64
 _KNOWN = 500_000
@@ -68,18 +67,6 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), np.uint64, len(words)).view(np.int64)
 
 
-def slices(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about so much text each."""
-    a = total = 0
-    for b, size in enumerate(sizes):
-        if total and total + size > most:
-            yield a, b
-            a, total = b, 0
-        total += size
-    if a < len(sizes):
-        yield a, len(sizes)
-
-
 def word_counts(train: DataFrame) -> DataFrame:
     """hash, c over all rows of train."""
 
@@ -102,7 +89,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 def tokenised(train: DataFrame, path: str) -> DataFrame:
     """tie (a hash of the row) and ids (of 2 bytes where the vocabulary allows it, else of 4) of every document."""
-    kind = _kind(path)
+    kind = id_kind(path)
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -121,13 +108,9 @@ def tokenised(train: DataFrame, path: str) -> DataFrame:
     return train.select(F.xxhash64("doc_id", "text").alias("tie"), encode("text").alias("ids"))
 
 
-def _kind(path: str) -> str:
-    return "<u2" if max(word_ids(path).vocabulary().values()) < 1 << 16 else "<u4"
-
-
 def id_counts(tokens: DataFrame, path: str) -> np.ndarray:
     """How often each id of the vocabulary stands in the rows of tokenised."""
-    kind, size = _kind(path), max(word_ids(path).vocabulary().values()) + 1
+    kind, size = id_kind(path), max(word_ids(path).vocabulary().values()) + 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int64)
@@ -167,7 +150,7 @@ class Classes:
 
 def trained(tokens: DataFrame, classes: Classes, path: str, rounds: tuple = ROUNDS, bucket: int = BUCKET, least_steps: int = LEAST_STEPS) -> attention.Params:
     """The attention model's parameters after all rounds, which share out all rows of tokenised."""
-    p, kind, first = attention.start(classes.counts), _kind(path), 0
+    p, kind, first = attention.start(classes.counts), id_kind(path), 0
     total, of, stops = int(classes.counts.sum()), classes.of, classes.stops
     for part in rounds:
         buckets = max(1, round(total * part / sum(rounds) / bucket))

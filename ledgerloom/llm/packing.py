@@ -7,7 +7,7 @@ sequence goes on in the next one.
 
 Spark's part: tokens, vector and key are one Arrow projection, written to the shared checkpoint folder so that the
 range sort's sampling doesn't tokenise twice; one range shuffle by (key, hash of the document) carries the ids, and
-the second column splits a key that many copies share. Each sorted range is packed by a scan that holds one sequence.
+the second column splits a key that many copies share; there is a range for every ``RANGE_BYTES`` of ids. Each sorted range is packed by a scan that holds one sequence.
 A range's last, unfilled sequence is cut at powers of two, which need no padding, so nothing is padded at all and no
 range has to know another's length. A sequence's id is its range and its place there.
 
@@ -25,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents, settle, whole_text
-from ledgerloom.llm.tokens import default_path, word_ids
+from ledgerloom.llm.common import documents, partitions, settle, slices, whole_text
+from ledgerloom.llm.tokens import default_path, id_kind, word_ids
 
 LENGTH = 4096
 END_ID = 2
 DIMS, BITS = 4, 8
+RANGE_BYTES = 64 << 20
 
 
 def projection(size: int, dims: int = DIMS) -> np.ndarray:
@@ -75,16 +76,21 @@ def vectors(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (16-bit where the vocabulary allows it, else 32-bit, little-endian, without the end id), key, tie."""
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids (as wide as id_kind says, without the end id), key, tie."""
+    kind = id_kind(path)
 
     @F.pandas_udf("ids binary, key long")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, table = word_ids(path), projection(4096)
         for texts in batches:
-            ids = [np.frombuffer(words.text(t), np.uint32) for t in texts]
-            cells = ((vectors(ids, table) + 1) * (2 ** (BITS - 1)) - 0.5).round().clip(0, 2**BITS - 1)
-            yield pd.DataFrame({"ids": [i.astype("<u2").tobytes() for i in ids], "key": hilbert_keys(cells) if len(ids) else []})
+            out, keys = [], [np.zeros(0, np.int64)]
+            for a, b in slices(texts.str.len().tolist()):
+                ids = [np.frombuffer(i, np.uint32) for i in words.texts(texts.iloc[a:b].tolist())]
+                cells = ((vectors(ids, table) + 1) * (2 ** (BITS - 1)) - 0.5).round().clip(0, 2**BITS - 1)
+                keys.append(hilbert_keys(cells))
+                out += [i.astype(kind).tobytes() for i in ids]
+            yield pd.DataFrame({"ids": pd.Series(out, dtype=object), "key": np.concatenate(keys)})
 
     return docs.select("doc_id", encode(whole_text()).alias("t"), F.xxhash64("doc_id", "text").alias("tie")).select("doc_id", "t.key", "tie", "t.ids")
 
@@ -137,15 +143,17 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     names = [c.split()[0] for c in PIECES.split(", ")]
-    rows = settle(tokenised(docs, path or default_path(), end_id))
-    ranges = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
+    path = path or default_path()
+    kind, rows = id_kind(path), settle(tokenised(docs, path))
+    held = rows.agg(F.sum(F.length("ids"))).first()[0] or 0
+    ranges = rows.repartitionByRange(max(partitions(docs.sparkSession), held // RANGE_BYTES + 1), "key", "tie").sortWithinPartitions("key", "tie")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer, out, held = Packer(TaskContext.get().partitionId() << 32, length), [], 0
-        end = np.array([end_id], np.uint16)
+        end = np.array([end_id], np.uint32)
         for pdf in batches:
             for doc_id, ids in zip(pdf["doc_id"].astype("object").where(pdf["doc_id"].notna(), None), pdf["ids"], strict=True):
-                own = np.concatenate((np.frombuffer(ids, "<u2"), end))
+                own = np.concatenate((np.frombuffer(ids, kind), end))
                 out += packer.add(doc_id, own)
                 held += len(own)
                 if held > 1 << 20:  # rows go on while the range is read

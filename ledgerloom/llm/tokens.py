@@ -160,3 +160,8 @@ def pack_ids(ids: list[int]) -> bytes:
 def word_ids(path: str) -> WordIds:
     """One for each worker process, so later tasks find what earlier ones met."""
     return WordIds(path)
+
+
+def id_kind(path: str) -> str:
+    """Numpy type of stored ids: 2 bytes where the vocabulary allows it, else 4."""
+    return "<u2" if max(word_ids(path).vocabulary().values(), default=0) < 1 << 16 else "<u4"
