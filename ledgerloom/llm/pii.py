@@ -7,13 +7,13 @@ its candidate segments (at most ``MOST_PIECES`` pieces long) have features of th
 separators, the Luhn sum, octets, labels, what stands on either side, the cue word before. Dynamic programming chooses
 boundaries and types together. Base spans stay as they are; candidates that touch one are not offered.
 
-The field is trained in the process that needs it, on ``EXAMPLES`` made-up sentences with known spans and look-alikes
+The field is trained once, on the driver, and goes to the tasks with the function (some thousand weights), on ``EXAMPLES`` made-up sentences with known spans and look-alikes
 (dates, versions, amounts, ISBNs, order numbers); nothing is learned from the documents.
 
 Spark's part: one Arrow projection, no shuffle; every document is judged by itself.
 
-Defined cases: null text is empty (no spans); repeated rows get a row each; texts may be of any length (islands bound
-the work); an empty table gives an empty result; other columns are ignored, or carried through by ``redacted``.
+Defined cases: null text is empty (no spans); repeated rows get a row each; texts may be of any length (the
+work grows with it in proportion); an empty table gives an empty result; other columns are ignored, or carried through by ``redacted``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -86,8 +87,8 @@ def _side(c: str) -> str:
     return "edge" if not c else "word" if c.isalnum() or c == "_" else "blank" if c.isspace() else c
 
 
-def _cue(before: str) -> str:
-    words = re.findall(r"[^\W\d_]+", before[-24:].lower())
+def _cue(text: str, at: int) -> str:
+    words = re.findall(r"[^\W\d_]+", text[max(0, at - 24) : at].lower())
     return next((w for w in reversed(words[-3:]) if w in CUES), "none")
 
 
@@ -142,10 +143,11 @@ def _number_features(text: str, a: int, b: int, first: str, groups: list[str], d
     left, right = _side(text[a - 1 : a]), _side(text[b : b + 1])
     follows = right in (".", "-", "/", ",", ":") and text[b + 1 : b + 2].isdigit()
     leads = left in (".", "-", "/", ",", ":", "$", "#") and (left in "$#" or text[a - 2 : a - 1].isdigit())
+    cue = _cue(text, a)
     date = len(groups) == 3 and any(len(g) == 4 and g[:2] in ("19", "20") for g in (groups[0], groups[2])) and max(map(len, groups)) == 4
     return (
         "number", f"digits {len(digits)}", f"shape {shape}", f"sep {sep}", f"sep {sep} {len(digits)}", f"head {head}", f"head {head} {len(groups)}", f"luhn {luhn(digits)} {12 <= len(digits)}",
-        f"groups {min(len(groups), 8)}", f"left {left}", f"right {right}", f"goes on {follows}", f"began {leads}", f"date {date}", f"cue {_cue(text[:a])}", f"cue {_cue(text[:a]) != 'none'} {head} {shape}",
+        f"groups {min(len(groups), 8)}", f"left {left}", f"right {right}", f"goes on {follows}", f"began {leads}", f"date {date}", f"cue {cue}", f"cue {cue != 'none'} {head} {shape}",
         f"issuer {digits[0]} {len(digits) in (15, 16)} {luhn(digits)}", f"even {len({len(g) for g in groups}) == 1}", f"odd signs {len(seps) > 2}",
     )
 
@@ -172,7 +174,7 @@ def _addresses(text: str) -> Iterator[Candidate]:
                 yield a, b, (
                     "address", f"at {kind}", f"dot {dot}", f"at {kind} dot {dot}", f"tld {labels[-1].lower() in TLDS}", f"tld {labels[-1].lower() in TLDS} {kind} {dot}", f"tld size {min(len(labels[-1]), 7)}", f"labels {len(labels)}",
                     f"more {n + 1 < len(ends)}", f"more tld {n + 1 < len(ends) and text[right.start() : ends[n + 1]].split('.')[-1].strip().lower() in TLDS}", f"full left {a == starts[0]}", f"left dot {any(d != '.' for d in _DOTS.findall(local))}",
-                    f"local {min(len(local), 9)}", f"digit {any(c.isdigit() for c in local)}", f"left {_side(text[a - 1 : a])}", f"right {_side(text[b : b + 1])}", f"cue {_cue(text[:a])}", f"tight {m[0] == sign}",
+                    f"local {min(len(local), 9)}", f"digit {any(c.isdigit() for c in local)}", f"left {_side(text[a - 1 : a])}", f"right {_side(text[b : b + 1])}", f"cue {_cue(text, a)}", f"tight {m[0] == sign}",
                 ), (EMAIL,)
 
 
@@ -256,7 +258,7 @@ def example(rng: random.Random) -> tuple[str, set[tuple[int, int, int]]]:
 
 @lru_cache(maxsize=1)
 def field() -> SemiCRF:
-    """The trained field; the same in every process."""
+    """The trained field."""
     rng, examples = random.Random(17), []
     for _ in range(EXAMPLES):
         text, gold = example(rng)
@@ -270,26 +272,33 @@ def all_spans(text: str, model: SemiCRF) -> tuple[list[tuple[int, int, int]], li
     """(base spans, all spans), each (kind, start, end) by kind, then start."""
     if not _ANCHOR.search(text):
         return [], []
-    base, added = base_spans(text), []
-    taken = sorted((a, b) for _, a, b in base)
+    base, added, taken = base_spans(text), [], []
+    for a, b in sorted((a, b) for _, a, b in base):  # their union, as stretches in order
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     at = 0
     for start, stop in islands(text):
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        near = []
-        for a, b in taken[at:]:
+        near, last, rest = [], start, []
+        for n in range(at, len(taken)):
+            a, b = taken[n]
             if a >= stop:
                 break
             near.append((a - start, b - start))
-        part = text[start:stop]
-        rest, last = [], 0
-        for a, b in near:
-            rest.append(part[last : max(last, a)])
-            last = max(last, b)
-        if not any(map(_ANCHOR.search, [*rest, part[last:]])):
+            rest.append(text[last : max(last, a)])
+            last = b
+        if not any(map(_ANCHOR.search, [*rest, text[last:stop]])):
             continue  # every sign belongs to a base span: nothing can be added
-        offered = [c for c in candidates(part) if not any(a < c[1] and c[0] < b for a, b in near)]
-        added += [(kind, start + a, start + b) for a, b, kind in model.decode(offered)]
+        part, ends = text[start:stop], [b for _, b in near]
+
+        def free(c: Candidate, near=near, ends=ends) -> bool:
+            n = bisect_right(ends, c[0])
+            return n == len(near) or near[n][0] >= c[1]
+
+        added += [(kind, start + a, start + b) for a, b, kind in model.decode(list(filter(free, candidates(part))))]
     return base, sorted({*base, *added})
 
 
@@ -299,10 +308,10 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), in code points, end exclusive."""
+    model = field()
 
     @F.pandas_udf("base array<struct<kind:string,start:long,end:long>>, spans array<struct<kind:string,start:long,end:long>>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = field()
         for texts in batches:
             found = [all_spans(t, model) for t in texts]
             yield pd.DataFrame({n: [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in f[i]] for f in found] for i, n in enumerate(("base", "spans"))})
@@ -322,10 +331,10 @@ def redact(text: str, model: SemiCRF) -> str:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text (null stays null) and n_chars to fit, all columns kept."""
+    model = field()
 
     @F.pandas_udf("string")
     def change(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = field()
         for texts in batches:
             yield texts.map(lambda t: None if t is None else redact(t, model))
 

@@ -3,10 +3,12 @@
 The kernel compares two words by their common character subsequences of length 3 (gaps allowed, each skipped character
 costs a factor ``DECAY``, a span is at most ``SPAN`` characters; the start of a word counts as a character), normalised
 to 1 for equal words. An insult with characters left out, changed or put in therefore stays close to the plain one;
-signs inside a word are dropped first, digits read as the letters they stand for, and letters spelled out one by one
-joined. Landmarks are words that tell toxic from clean documents in the labelled sample. Of each landmark a document
-has the best kernel value among its words and the logarithm of how many words come close; the first are mapped by the
-inverse root of the landmarks' kernel matrix (Nystroem), then a linear SVM with a Platt sigmoid gives the score.
+signs inside a word are dropped first, accents taken off, digits read as the letters they stand for, and letters spelled
+out one by one joined; letters of other scripts share five codes. Landmarks are words that tell toxic from clean
+documents in the labelled sample. A document's kernel value to a landmark is the best of its words' (words that come
+within ``CLOSE`` of no landmark count as far from all); the values are mapped by the inverse root of the landmarks'
+kernel matrix (Nystroem), and a linear SVM in that space with a Platt sigmoid gives the score. In training a toxic
+document stands a second time, disguised; the disguise is drawn by its doc_id, so batches have no say in it.
 
 Spark's part: labels are sampled by the hash of doc_id up to ``MAX_TOXIC`` and ``MAX_CLEAN`` rows (documented bounds of
 the fit), which alone are joined to documents; landmark statistics are an aggregation over the sample's words; the
@@ -20,6 +22,7 @@ labels every score is the share of toxic labels (0 without labels); repeated row
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -36,15 +39,17 @@ MAX_TOXIC, MAX_CLEAN = 2000, 3000
 LANDMARKS = 96
 SPAN, DECAY = 7, 0.5
 CLOSE = 0.5
+POWER = 8
 LONGEST = 16
 CACHE = 500_000
-_LEET = str.maketrans("01345789", "oieastbg")
+_LEET = str.maketrans("01345789", "oieastbg") | {ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("ø"): "o"}
+_LEET |= {c: plain for c in range(0xE0, 0x250) if (plain := unicodedata.normalize("NFD", chr(c))[0]) in "abcdefghijklmnopqrstuvwxyz"}
 _SIGNS = re.compile(r"[^\w\n]+|_+")
 _RUNS = re.compile(r"([^\n])\1{2,}")
 
 
 def fold(words: list[str]) -> list[str]:
-    """Each word (without line ends) in lower case, no signs, digits as letters, runs of three and more letters as one."""
+    """Each word (without line ends) in lower case, no signs or accents, digits as letters, runs of three and more letters as one."""
     return _RUNS.sub(r"\1", _SIGNS.sub("", "\n".join(words).lower().translate(_LEET))).split("\n") if words else []
 
 
@@ -115,7 +120,7 @@ class Landmarks:
         self.most = self.table.max(axis=1)
 
     def matrix(self) -> np.ndarray:
-        return self.table.T @ self.table
+        return (self.table.T @ self.table) ** POWER
 
     def close(self, words: list[str]) -> dict[str, np.ndarray]:
         """Kernel values of those words that come within CLOSE of any landmark (others are left out)."""
@@ -144,10 +149,15 @@ class Landmarks:
             norms = np.sqrt(np.einsum("rij,i,j->r", same, w, w))
             kernel = np.einsum("rij,i->rj", self.table[f[at]], w) / norms[:, None]
             for r in np.flatnonzero(kernel.max(axis=1) >= CLOSE):
-                word, k = words[at[r]], kernel[r]
+                word, k = words[at[r]], kernel[r] ** POWER
                 found[word] = np.maximum(found[word], k) if word in found else k
 
 
+@lru_cache(maxsize=2)
+def _landmarks(words: tuple[str, ...]) -> Landmarks:
+    return Landmarks(list(words))
+
+
 class Features:
     """Features of texts; remembers the words it has met (up to CACHE of them)."""
 
@@ -157,19 +167,18 @@ class Features:
     def __call__(self, texts: list[str]) -> np.ndarray:
         if len(self.seen) > CACHE:
             self.seen, self.hits, self.hot = set(), {}, set()
-        split, m = [words_of(t) for t in texts], len(self.landmarks.words)
+        split, m = [words_of(t) for t in texts], max(1, len(self.landmarks.words))
         each = [set(words) for words in split]
         new = list(set().union(*each).difference(self.seen))
         self.seen.update(new)
         hits = self.landmarks.close(new)
         self.hits.update(hits)
         self.hot.update(hits)
-        out = np.zeros((len(texts), 2 * m + 1), np.float32)
+        out = np.zeros((len(texts), 2 * m), np.float32)
         for row, words, own in zip(out, split, each, strict=True):
             if near := own.intersection(self.hot):
-                k = np.maximum(np.stack([self.hits[w] for w in words if w in near]) - CLOSE, 0) / (1 - CLOSE)
-                row[:m], row[m : 2 * m] = k.max(axis=0), np.log1p((k > 0.2).sum(axis=0))
-            row[2 * m] = np.log1p(len(words)) / 10
+                k = np.stack([self.hits[w] for w in words if w in near])
+                row[:m], row[m:] = k.max(axis=0), np.log1p(k.sum(axis=0))
         return out
 
 
@@ -201,11 +210,9 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, kernel: np.ndarray, rounds:
 
     share: of toxic rows among all labels, which the sample need not keep.
     """
-    m = len(kernel)
-    val, vec = np.linalg.eigh(kernel + 1e-3 * np.eye(m))
+    val, vec = np.linalg.eigh(kernel + 1e-3 * np.eye(len(kernel)))
     root = (vec / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
-    turn = np.eye(x.shape[1])
-    turn[:m, :m] = root
+    turn = np.kron(np.eye(x.shape[1] // len(kernel)), root)
     z, sign = x @ turn, np.where(y > 0, 1.0, -1.0)
     mean_toxic = y.mean()
     cost = np.where(y > 0, share / mean_toxic, (1 - share) / (1 - mean_toxic)) / len(y)
@@ -256,13 +263,13 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     lexicon = set(landmarks.words)
 
     @F.pandas_udf("array<array<float>>")
-    def features(texts: pd.Series, toxic: pd.Series) -> pd.Series:
-        make, rng = Features(landmarks), np.random.default_rng(7)
+    def features(ids: pd.Series, texts: pd.Series, toxic: pd.Series) -> pd.Series:
+        make = Features(landmarks)
         plain = make(texts.tolist())
-        gapped = make([disguise(t, lexicon, rng) if y else "" for t, y in zip(texts, toxic, strict=True)])
+        gapped = make([disguise(t, lexicon, np.random.default_rng([7, i % 2**63])) if y else "" for i, t, y in zip(ids, texts, toxic, strict=True)])
         return pd.Series([[p.tolist(), g.tolist()] if y else [p.tolist()] for p, g, y in zip(plain, gapped, toxic, strict=True)])
 
-    table = rows.select("doc_id", "toxic", F.posexplode(features("text", "toxic")).alias("form", "x")).orderBy("doc_id", "form").toPandas()  # a row a sampled document: bounded
+    table = rows.select("doc_id", "toxic", F.posexplode(features("doc_id", "text", "toxic")).alias("form", "x")).orderBy("doc_id", "form", "x").toPandas()  # a row a sampled document: bounded
     x, y = np.array(table["x"].tolist(), np.float64), table["toxic"].to_numpy(np.float64)
     weights, bias, slope, shift = fit(x, y, share, landmarks.matrix().astype(np.float64))
     return Model(landmarks, weights.astype(np.float32), bias, slope, shift)
@@ -273,7 +280,7 @@ def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFrame
     words, rest = model.landmarks.words, (model.weights, model.bias, model.slope, model.shift)
 
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = Landmarks(words)  # built in the task from the words alone
+        tables = _landmarks(tuple(words))  # built in the worker from the words alone
         own, make = Model(tables, *rest), Features(tables)
         for texts in batches:
             yield pd.Series(np.concatenate([own.scores(make(texts.iloc[a : a + 500].tolist())) for a in range(0, len(texts), 500)]) if len(texts) else [], dtype="float64")
