@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     totals = {r["toxic"]: r["n"] for r in clean.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     if len(totals) < 2:
-        return Model(Landmarks([]), np.zeros(1, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return Model(Landmarks([]), np.zeros(2, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     least = lambda toxic, n: clean.where(f"(toxic > 0) = {toxic}").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(n)
     chosen = least("true", max_toxic).unionByName(least("false", max_clean)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     rows = settle(docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id"))
@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     seen = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
-        return Model(Landmarks([]), np.zeros(1, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return Model(Landmarks([]), np.zeros(2, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     per_word = rows.dropDuplicates(["text", "toxic"]).select("toxic", F.explode(folded("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("ct"), F.sum(1 - F.col("toxic")).alias("cc")).where("ct >= 3")
     odds = F.log((F.col("ct") + 0.5) / (seen[1] + 1) / ((F.col("cc") + 0.5) / (seen[0] + 1)))
     ranked = per_word.withColumn("gain", F.round(F.col("ct") * odds, 6)).where("gain > 0").orderBy(F.desc("gain"), "word").limit(n_landmarks).collect()

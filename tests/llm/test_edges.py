@@ -18,7 +18,7 @@ def rows(spark, texts=TEXTS, null_ids=True):
 
 
 def model():
-    return toxicity.Model(toxicity.Landmarks(["idiot"]), toxicity.np.array([1.0, 1.0, 0.0], toxicity.np.float32), -0.5, 4.0, 0.0)
+    return toxicity.Model(toxicity.Landmarks(["idiot"]), toxicity.np.array([1.0, 1.0], toxicity.np.float32), -0.02, 90.0, 0.0)
 
 
 OPERATORS = {
