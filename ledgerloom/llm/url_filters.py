@@ -1,18 +1,24 @@
 """URL block and allow rules by a sort-merge range join.
 
-A host is keyed by its labels in reverse, each followed by a dot (www.example.com: ``com.example.www.``). A rule for a
-host and all its subdomains is then a prefix, that is the interval [key, key + a character above every other). The
-intervals of different hosts nest or are disjoint, so a sweep over the sorted starts and ends needs no more than a
-stack of the active rules. The sweep over the rules alone leaves, at each boundary, the stack that holds from there to
-the next boundary; the sweep over the urls then carries the last boundary's stack to every url key that follows it.
-
-Spark's part: the urls are dealt evenly by hash into ``sweeps`` groups, each group gets all boundaries (two a rule),
-and each is sorted and swept by itself. No host, however frequent, makes a group larger than another, and only the
-narrow (row, key) columns are sorted. The number of rules has to stay far below the number of urls; past
-``MAX_STACK_RULES`` rules the stacks (arrays of active rules, folded over the boundaries) are no longer a small table.
-
-Defined cases: a null url, or one without ``://``, has empty host and path and gets the default verdict; equal rules
-tie to allow; repeated pages are kept as they are; an empty table gives an empty result.
+A host is keyed by its labels in reverse, each followed by a dot (www.example.com: ``com.example.www.``). A rule's host
+and all its subdomains are then the interval [key, key + a character above every other), and so are all paths that
+begin with a rule's path. Intervals of one kind nest or are disjoint, so a sweep over urls and interval bounds in the
+order of their keys needs no more than the stack of the active rules. Two sweeps: by host key, which gives a url the
+rule hosts above it, and, for each of those, by rule host and path, which gives the longest fitting path. Of a url's
+finds the longest rule wins.
+
+The stack between two bounds is the chain from its innermost rule outwards, and that chain hangs on the rule alone: a
+rule's outer rules are those that equal a prefix of it, found by an equi-join of its prefixes (labels of a host,
+characters of a path) with the rules. So bounds are one row for each start and each end, however many rules there are.
+
+Spark's part: the urls are dealt evenly by hash into ``sweeps`` groups, each group gets all bounds (two a rule), and
+each is sorted and swept by itself with the last bound carried forward. No host, however frequent, makes a group larger
+than another, and only narrow columns are sorted. Rules go to every sweep, so they may be ``MOST_RULES`` at most
+(checked).
+
+Defined cases: a null url, or one without ``://``, has empty host and path and gets the default verdict; of equal rules
+of both verdicts allow wins; a rule with an empty host fits nothing; repeated pages are kept as they are; an empty table
+gives an empty result, and without rules every page gets the default verdict.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from ledgerloom.llm.common import ascii_lower, partitions
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ABOVE_ALL = "\U0010ffff"
-MAX_STACK_RULES = 10_000
+MOST_RULES = 1_000_000
 
 
 def host_key(host: Column) -> Column:
@@ -41,37 +47,66 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def active_stacks(rules: DataFrame) -> DataFrame:
-    """rules (verdict, host, path) -> (key, stack): at each boundary, the rules active from there on, as an array."""
-    row = F.struct(F.length(F.concat("host", "path")).alias("size"), (F.col("verdict") == "allow").cast("int").alias("allows"), F.concat("host", "path").alias("rule"), "path", "verdict", host_key(F.col("host")).alias("begin"))
-    per_host = rules.distinct().groupBy(host_key(F.col("host")).alias("begin")).agg(F.collect_set(row).alias("own"))
-    bounds = per_host.select(F.col("begin").alias("key"), F.col("own").alias("opened"), F.lit(None).cast("string").alias("closes")).unionByName(
-        per_host.select(F.concat("begin", F.lit(ABOVE_ALL)).alias("key"), F.expr("filter(own, x -> false)").alias("opened"), F.col("begin").alias("closes"))
-    )
-    swept = bounds.withColumn("seen", F.collect_list(F.struct("opened", "closes")).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
-    pushed = F.aggregate("seen", F.expr("filter(opened, x -> false)"), lambda stack, e: F.concat(F.filter(stack, lambda r: e["closes"].isNull() | (r["begin"] != e["closes"])), e["opened"]))
-    return swept.select("key", pushed.alias("stack"))
+def _host_bounds(rules: DataFrame) -> DataFrame:
+    """(key, stack): at each bound of a rule host's interval, the rule hosts active from there on."""
+    hosts = rules.select("begin").distinct()
+    labels = F.split(F.expr("left(begin, length(begin) - 1)"), r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))
+    chain = hosts.select("begin", F.explode(ends).alias("outer")).join(hosts.select(F.col("begin").alias("outer")), "outer").groupBy("begin").agg(F.sort_array(F.collect_set("outer")).alias("stack"))  # as many as labels
+    return _bounds(chain, F.col("begin"), F.col("stack"), F.slice("stack", 1, F.size("stack") - 1))
+
+
+def _path_bounds(rules: DataFrame) -> DataFrame:
+    """(key, stack): at each bound of a rule's interval of paths under its host, the innermost active rule, in an array."""
+    row = F.struct(F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("rule"), "verdict")
+    own = rules.groupBy("begin", "path").agg(F.min_by(row, "verdict").alias("own"))  # allow before block
+    outer = own.select("begin", F.col("path").alias("inner"), F.explode(F.sequence(F.lit(0), F.length("path") - 1)).alias("n")).where("n >= 0 AND n < length(inner)").select("begin", "inner", F.expr("left(inner, n)").alias("path"))
+    parent = outer.join(own, ["begin", "path"]).groupBy("begin", "inner").agg(F.max_by("own", F.length("path")).alias("outer")).withColumnRenamed("inner", "path")
+    nested = own.join(parent, ["begin", "path"], "left")
+    none = F.filter(F.array("own"), lambda x: F.lit(False))
+    return _bounds(nested, F.concat("begin", F.lit("\0"), "path"), F.array("own"), F.when(F.col("outer").isNull(), none).otherwise(F.array("outer")))
+
+
+def _bounds(rows: DataFrame, key: Column, inside: Column, after: Column) -> DataFrame:
+    """Two rows an interval; where one ends and another ends or starts, the outermost end and then the start count last."""
+    return rows.select(F.inline(F.array(
+        F.struct(key.alias("key"), inside.alias("stack"), F.lit(1).alias("starts"), F.length(key).alias("size")), F.struct(F.concat(key, F.lit(ABOVE_ALL)).alias("key"), after.alias("stack"), F.lit(0).alias("starts"), (F.lit(0) - F.length(key)).alias("size"))
+    )))
+
+
+def _swept(rows: DataFrame, bounds: DataFrame, sweeps: int) -> DataFrame:
+    """rows (sweep, key, ...) with the stack of the last bound at or before their key, within their sweep."""
+    dealt = bounds.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sweeps - 1).cast("long"))).alias("sweep"), "key", F.lit(0).alias("is_url"), "starts", "size", "stack")
+    both = rows.withColumn("is_url", F.lit(1)).unionByName(dealt, allowMissingColumns=True)
+    carried = F.last("stack", ignorenulls=True).over(Window.partitionBy("sweep").orderBy("key", "is_url", "starts", "size").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("stack", carried).where("is_url = 1").drop("is_url", "starts", "size")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", sweeps: int | None = None) -> DataFrame:
-    """page_id, host, path, rule (of the longest fitting rule, else null) and verdict of every page."""
+    """page_id, host, path, rule (of the longest fitting rule, else null) and verdict of every page.
+
+    rules: verdict, host, path.
+    """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"every sweep holds all rules, at most {MOST_RULES}")
     sweeps = sweeps or 8 * partitions(pages.sparkSession)
+    rules = rules.where("host <> ''").select("verdict", ascii_lower(F.col("host")).alias("host"), "path").withColumn("begin", host_key(F.col("host")))
     host, path = url_parts(F.col("url"))
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(sweeps)).alias("sweep"))
-    urls = urls.select("sweep", host_key(F.col("host")).alias("key"), F.lit(1).alias("is_url"), "page_id", "host", "path")
-    bounds = active_stacks(rules).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sweeps - 1).cast("long"))).alias("sweep"), "key", F.lit(0).alias("is_url"), "stack")
-    rows = urls.unionByName(bounds, allowMissingColumns=True)
-    rows = rows.withColumn("stack", F.last("stack", ignorenulls=True).over(Window.partitionBy("sweep").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.array_max(F.filter("stack", lambda r: F.col("path").startswith(r["path"])))
+    urls = urls.select("sweep", host_key(F.col("host")).alias("key"), F.monotonically_increasing_id().alias("row"), "page_id", "host", "path")
+    above = _swept(urls, _host_bounds(rules), sweeps)
+    hits = above.select("sweep", "row", "page_id", "host", "path", F.explode_outer("stack").alias("begin"))
+    found = _swept(hits.select("sweep", F.coalesce(F.concat("begin", F.lit("\0"), "path"), F.lit("")).alias("key"), "row", "page_id", "host", "path"), _path_bounds(rules), sweeps)
+    best = F.max(F.col("stack")[0])
     return (
-        rows.where("is_url = 1")
-        .withColumn("best", best)
+        found.withColumn("stack", F.when(F.size("stack") > 0, F.col("stack")))
+        .groupBy("sweep", "row", "page_id", "host", "path").agg(best.alias("best"))
         .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    )
+    )
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(RULES), "verdict string, host string, path string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS rules(verdict, host, path)")
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
