@@ -1,8 +1,9 @@
-"""Matching commitments with verified suppliers: candidates by region, weighted fit, top matches per commitment.
+"""Matching commitments with verified suppliers: weighted fit of sector, capability terms, tier and ownership; best matches.
 
-The reference point scores every pair; here a commitment meets the suppliers of its own region by an equi join, and a
-region's suppliers are few beside the commitments. A region that held very many rows would be split by Spark's skew
-join. Scores are ranked in windows per commitment, cut early by WindowGroupLimit.
+Every verified supplier is a candidate for every procurement commitment, but no pair is made that can't matter. A fit
+depends on a commitment through its sector and its terms alone, so commitments with the same of both are one demand.
+Demands meet suppliers by shared terms (postings, BM25); for suppliers without a shared term only tier, ownership and
+sector count, so the best few of each sector and of all stand for the rest. The best of both are the exact best.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.retrieval import B, K1, tokens
 from ledgerloom.sources.views import oracle, table
 
-#: Weights of relevance, tier, progress and ownership; weight of each tier.
+#: Weights of sector, relevance, tier and ownership; weight of each tier.
 WEIGHTS = (0.45, 0.25, 0.2, 0.1)
 TIERS = {"nation_certified": 1.0, "ccib_certified": 0.9, "self_declared": 0.4}
 LEAST, TOP = 0.5, 5
@@ -27,28 +29,73 @@ def sector_of(c: Column) -> Column:
     return out.otherwise("other")
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """Rounded weighted score of each (commitment, supplier) row."""
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier_id, sector, text (what it can do), fixed (the part of its fit that hangs on itself), tier, ownership_pct."""
     tier = F.element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), F.col("tier"))
-    relevance = ((F.col("id") + F.col("supplier_id")) % 10) / 9.0
     own = F.least(F.lit(1.0), F.coalesce("ownership_pct", F.lit(51)) / 100.0)
-    score = WEIGHTS[0] * relevance + WEIGHTS[1] * tier + WEIGHTS[2] * (F.col("progress") / 100.0) + WEIGHTS[3] * own
-    return rows.withColumn("score", F.round(score, 6))
+    rows = table(spark, sf_dir, "party").where("verification = 'verified'")
+    return rows.select("supplier_id", "sector", F.concat_ws(" ", "supplier_name", "sector", "region", F.replace("tier", F.lit("_"), F.lit(" "))).alias("text"), (WEIGHTS[2] * tier + WEIGHTS[3] * own).alias("fixed"), "tier", "ownership_pct")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = table(spark, sf_dir, "party").where("verification = 'verified' OR tier = 'self_declared'").select("supplier_id", "region", "tier", "ownership_pct")
-    return fit(table(spark, sf_dir, "commitment").where("type = 'procurement'").select("id", "region", "progress", "org_name").join(suppliers, "region"))
+def demands(rows: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Commitments (id, sector, text, ...) with the hash of their demand, and the demands (demand, sector, terms).
+
+    Terms that no supplier has don't tell demands apart.
+    """
+    known = pool.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    terms = rows.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(known, "term").groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # a commitment's own words
+    rows = rows.join(terms, "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).withColumn("demand", F.xxhash64("sector", "terms"))
+    return rows.drop("terms"), rows.groupBy("demand").agg(F.min("sector").alias("sector"), F.min("terms").alias("terms"))
+
+
+def relevance(wanted: DataFrame, pool: DataFrame) -> DataFrame:
+    """(demand, supplier_id, relevance): BM25 of every supplier with a common term over the best of the demand's."""
+    words = pool.select("supplier_id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    sizes = words.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    postings = words.select("supplier_id", "dl", F.explode("w").alias("term")).groupBy("supplier_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes)).select("term", idf.alias("idf"), "avgdl")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = wanted.select("demand", F.explode("terms").alias("term")).join(weights, "term").join(postings, "term").groupBy("demand", "supplier_id").agg(F.sum(part).alias("score"))
+    most = hits.groupBy("demand").agg(F.max("score").alias("most"))
+    return hits.join(most, "demand").select("demand", "supplier_id", F.round(F.col("score") / F.col("most"), 9).alias("relevance"))
+
+
+def scored(wanted: DataFrame, pool: DataFrame, top: int = TOP) -> DataFrame:
+    """(demand, supplier_id, sector_match, relevance, score) of all suppliers with a common term, and of the best others."""
+    near = relevance(wanted, pool)
+    best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("fixed"), "supplier_id")
+    own = pool.select("supplier_id", "sector", "fixed").withColumn("r", F.row_number().over(best("sector"))).where(F.col("r") <= top).drop("r")
+    overall = pool.select("supplier_id").join(pool.select("supplier_id", "fixed").orderBy(F.desc("fixed"), "supplier_id").limit(top), "supplier_id")
+    others = wanted.join(own, "sector").select("demand", "supplier_id").unionByName(wanted.select("demand").join(F.broadcast(overall.select("supplier_id"))))  # top rows
+    rows = others.distinct().join(near, ["demand", "supplier_id"], "full").join(wanted.select("demand", F.col("sector").alias("wants")), "demand").join(pool.select("supplier_id", "sector", "fixed"), "supplier_id")
+    match, found = F.col("sector") == F.col("wants"), F.coalesce("relevance", F.lit(0.0))
+    score = WEIGHTS[0] * match.cast("double") + WEIGHTS[1] * found + F.col("fixed")
+    return rows.select("demand", "supplier_id", match.alias("sector_match"), found.alias("relevance"), F.round(score, 6).alias("score"))
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Commitments by demand, scored candidates, suppliers."""
+    pool = suppliers(spark, sf_dir)
+    rows = table(spark, sf_dir, "commitment").where("type = 'procurement'").select("id", "org_name", "sector", F.concat_ws(" ", "title", "sector", "region").alias("text"))
+    rows, wanted = demands(rows, pool)
+    return rows, scored(wanted, pool), pool
+
+
+def best_matches(candidates: DataFrame, least: float = LEAST, top: int = TOP) -> DataFrame:
+    w = Window.partitionBy("demand").orderBy(F.desc("score"), "supplier_id")
+    return candidates.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
 
 
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("supplier_id"))
-    rows = candidates(spark, sf_dir).where(F.col("score") >= LEAST)
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP)
+    rows, candidates, _ = _matched(spark, sf_dir)
+    return rows.select("id", "org_name", "demand").join(best_matches(candidates), "demand")
 
 
 def fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("pairs"), F.min("score").alias("low"), F.max("score").alias("high"))
+    """How the candidates' fits lie, by tier and by whether the sector is the demand's: of the best five per demand."""
+    _, candidates, pool = _matched(spark, sf_dir)
+    return best_matches(candidates).join(pool.select("supplier_id", "tier"), "supplier_id").groupBy("tier", "sector_match").agg(F.count("*").alias("links"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
 def opportunity_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,23 +104,53 @@ def opportunity_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignment_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A card for each commitment: its best score, number of matches, and matches in order."""
-    cards = opportunities(spark, sf_dir).groupBy("id", "org_name").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "supplier_id"))).alias("m"))
+    cards = opportunities(spark, sf_dir).groupBy("id", "org_name").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "supplier_id"))).alias("m"))  # TOP rows
     return cards.select("id", "org_name", "best", "n", F.array_join(F.transform("m", lambda x: x["supplier_id"].cast("string")), ",").alias("suppliers"))
 
 
+def rationale(tier: Column, sector: Column, ownership: Column, sector_match: Column, relevance: Column) -> Column:
+    """One sentence from the facts of a match, and what to do next."""
+    own = F.when(ownership.isNotNull(), F.concat(F.lit(" "), ownership.cast("string"), F.lit("% owned."))).otherwise("")
+    fits = F.when(sector_match, F.concat(tier, F.lit(" supplier in "), sector, F.lit(": matches this target's sector."), own, F.lit(" Next: introduce them."))).when(
+        relevance >= 0.5, F.concat(tier, F.lit(" supplier whose capabilities overlap this target, across sectors."), own, F.lit(" Next: assess the fit."))
+    )
+    return fits.otherwise(F.concat(tier, F.lit(" supplier available for this commitment."), own, F.lit(" Next: assess the fit.")))
+
+
+def match_rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence of each commitment's best match."""
+    rows, candidates, pool = _matched(spark, sf_dir)
+    best = best_matches(candidates, top=1).join(pool.select("supplier_id", "tier", "sector", "ownership_pct"), "supplier_id")
+    text = rationale(F.col("tier"), F.col("sector"), F.col("ownership_pct"), F.col("sector_match"), F.col("relevance"))
+    return rows.select("id", "demand").join(best.select("demand", text.alias("rationale")), "demand").select("id", "rationale")
+
+
 def sector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(sector_of(F.col("c_mktsegment")).alias("sector")).agg(F.count("*").alias("n"))
 
 
-_ALL = """WITH pairs AS (SELECT id, c.region, progress, org_name, supplier_id, tier, round(CAST(0.45 AS DOUBLE) * ((id + supplier_id) % 10 / CAST(9 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * CAST(CASE tier WHEN 'nation_certified' THEN 1.0 WHEN 'ccib_certified' THEN 0.9 ELSE 0.4 END AS DOUBLE)
-+ CAST(0.2 AS DOUBLE) * (progress / CAST(100 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * least(CAST(1 AS DOUBLE), ownership_pct / CAST(100 AS DOUBLE)), 6) AS score
-FROM commitment c JOIN party p ON c.region = p.region WHERE type = 'procurement' AND (verification = 'verified' OR tier = 'self_declared')),
-best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, supplier_id DESC) AS rank FROM pairs WHERE score >= 0.5 QUALIFY rank <= 5) """
-QUERIES = {f.__name__: f for f in (fit_score, opportunity_top5, alignment_cards, sector_normalize)}
+_ALL = """WITH pool AS (SELECT supplier_id, sector, tier, ownership_pct, concat_ws(' ', supplier_name, sector, region, replace(tier, '_', ' ')) AS text FROM party WHERE verification = 'verified'),
+words AS (SELECT supplier_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM pool),
+postings AS (SELECT supplier_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT supplier_id, len(w) AS dl, unnest(w) AS term FROM words) GROUP BY 1, 2),
+freq AS (SELECT term, count(*) AS df FROM postings GROUP BY 1), stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS avgdl FROM words),
+wanted AS (SELECT id, org_name, sector, concat_ws(' ', title, sector, region) AS text FROM commitment WHERE type = 'procurement'),
+asked AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM wanted),
+hits AS (SELECT id, supplier_id, sum(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))) AS score
+FROM asked JOIN freq USING (term) JOIN postings USING (term), stats GROUP BY 1, 2),
+near AS (SELECT id, supplier_id, round(score / max(score) OVER (PARTITION BY id), 9) AS relevance FROM hits),
+pairs AS (SELECT w.id, org_name, p.supplier_id, p.tier, p.sector, ownership_pct, p.sector = w.sector AS sector_match, coalesce(relevance, 0) AS relevance, round(CAST(0.45 AS DOUBLE) * CAST(p.sector = w.sector AS INT) + CAST(0.25 AS DOUBLE) * coalesce(relevance, 0)
++ (CAST(0.2 AS DOUBLE) * CAST(CASE tier WHEN 'nation_certified' THEN 1.0 WHEN 'ccib_certified' THEN 0.9 ELSE 0.4 END AS DOUBLE) + CAST(0.1 AS DOUBLE) * least(CAST(1 AS DOUBLE), ownership_pct / CAST(100 AS DOUBLE))), 6) AS score
+FROM wanted w CROSS JOIN pool p LEFT JOIN near n ON n.id = w.id AND n.supplier_id = p.supplier_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, supplier_id) AS rank FROM pairs WHERE score >= 0.5 QUALIFY rank <= 5) """
+QUERIES = {f.__name__: f for f in (fit_score, opportunity_top5, alignment_cards, match_rationales, sector_normalize)}
 ORACLE_SQL = {name: oracle(_ALL + sql, "commitment", "party") for name, sql in {
-    "fit_score": "SELECT tier, count(*) AS pairs, min(score) AS low, max(score) AS high FROM pairs GROUP BY 1",
+    "fit_score": """, demand AS (SELECT id, row_number() OVER (PARTITION BY sector, terms ORDER BY id) AS i FROM (SELECT w.id, any_value(w.sector) AS sector, list_sort(list(term) FILTER (term IS NOT NULL)) AS terms
+        FROM wanted w LEFT JOIN (SELECT id, term FROM asked JOIN freq USING (term)) a ON a.id = w.id GROUP BY w.id))
+        SELECT tier, sector_match, count(*) AS links, min(score) AS low, max(score) AS high FROM best JOIN demand USING (id) WHERE i = 1 GROUP BY 1, 2""",
     "opportunity_top5": "SELECT concat_ws('::', id, supplier_id) AS key, id, supplier_id, score, rank FROM best",
     "alignment_cards": "SELECT id, org_name, max(score) AS best, count(*) AS n, string_agg(supplier_id, ',' ORDER BY rank) AS suppliers FROM best GROUP BY 1, 2",
+    "match_rationales": """SELECT id, CASE WHEN sector_match THEN tier || ' supplier in ' || sector || ': matches this target''s sector. ' || ownership_pct || '% owned. Next: introduce them.' WHEN relevance >= 0.5
+        THEN tier || ' supplier whose capabilities overlap this target, across sectors. ' || ownership_pct || '% owned. Next: assess the fit.' ELSE tier || ' supplier available for this commitment. ' || ownership_pct || '% owned. Next: assess the fit.' END AS rationale FROM best WHERE rank = 1""",
 }.items()} | {
     "sector_normalize": "SELECT CASE " + " ".join(f"WHEN contains(lower(c_mktsegment), '{w}') THEN '{s}'" for w, s in SECTORS) + " ELSE 'other' END AS sector, count(*) AS n FROM customer GROUP BY 1",
 }

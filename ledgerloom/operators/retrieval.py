@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.views import table
 
 K1, B, RRF_K, TOP = 1.2, 0.75, 60, 10
-HEAD = 50
+HEAD, HEAD_SHARE = 200, 4
 MOST_SENT = 200_000
 
 
@@ -160,23 +160,46 @@ def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(_pairs(spark, sf_dir).select("query_id", "vec_id", hamming().alias("distance")), -F.col("distance"), "vec_id", TOP)
 
 
-def _two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = ranked(_pairs(spark, sf_dir).withColumn("distance", hamming()), -F.col("distance"), "vec_id", HEAD, "place")
-    return ranked(near.select("query_id", "vec_id", dot("q8", "qq").cast("long").alias("score")), F.col("score"), "vec_id", TOP)
+def two_stage(pairs: DataFrame, n_vectors: int, k: int = TOP, head: int | None = None) -> DataFrame:
+    """All vectors of each query in the order of their sign bits' distance, the nearest ``head`` of them reordered by 8-bit
+    dot product and the tail left after them; the first k.
+
+    With so few sign bits the nearest by bits must be many: a quarter of the vectors, HEAD at least.
+    """
+    head = head or max(HEAD, n_vectors // HEAD_SHARE)
+    placed = pairs.withColumn("distance", hamming()).select("query_id", "vec_id", "distance", dot("q8", "qq").cast("long").alias("score"))
+    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
+    inside = F.col("place") <= head
+    w = Window.partitionBy("query_id").orderBy(F.desc(inside), F.desc(F.when(inside, F.col("score"))), F.when(~inside, F.col("place")), "vec_id")
+    return placed.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def _two_stage(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
+    return two_stage(_pairs(spark, sf_dir), table(spark, sf_dir, "embeddings").count(), k)
 
 
 def two_stage_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest HEAD by sign bits, then by 8-bit dot product."""
-    return _two_stage(spark, sf_dir)
+    """The ten nearest by sign bits, then 8-bit dot product."""
+    return _two_stage(spark, sf_dir).select("query_id", "vec_id", "score", "rank")
 
 
 def quant_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall at 10 of the binary and of the two-stage lists against the exact one."""
-    exact = dense_exact_topk(spark, sf_dir).select("query_id", "vec_id")
-    found = lambda rows: rows.select("query_id", "vec_id").join(exact, ["query_id", "vec_id"], "left_semi").agg(F.count("*").alias("hits"))
-    total = exact.agg(F.count("*").alias("total"))
-    rows = found(hamming_topk(spark, sf_dir)).withColumn("method", F.lit("binary")).unionByName(found(_two_stage(spark, sf_dir)).withColumn("method", F.lit("two_stage")))
-    return rows.join(F.broadcast(total)).select("method", F.round(F.col("hits") / F.col("total"), 6).alias("recall"))  # total is one row
+    """Recall at 10 and 50 of the binary and of the two-stage lists against the exact one, and how many of the exact ten the
+    binary head holds."""
+    rows = _pairs(spark, sf_dir).withColumn("score", F.round(dot("v", "qv"), 6)).withColumn("distance", hamming())
+    n = table(spark, sf_dir, "embeddings").count()
+    lists = {
+        "binary": ranked(rows.select("query_id", "vec_id", "distance"), -F.col("distance"), "vec_id", max(HEAD, n // HEAD_SHARE)),
+        "two_stage": _two_stage(spark, sf_dir, 50),
+    }
+    exact = ranked(rows.select("query_id", "vec_id", "score"), F.col("score"), "vec_id", 50, "wanted").select("query_id", "vec_id", "wanted")
+    out = None
+    for name, found in lists.items():
+        both = exact.join(found.select("query_id", "vec_id", "rank"), ["query_id", "vec_id"], "left")
+        share = lambda k, r=F.col("rank"), w=F.col("wanted"): F.round(F.count_if((w <= k) & (r <= k)) / F.count_if(w <= k), 6).alias(f"recall{k}")
+        part = both.agg(share(10), share(50), F.round(F.count_if((F.col("wanted") <= 10) & F.col("rank").isNotNull()) / F.count_if(F.col("wanted") <= 10), 6).alias("coverage")).select(F.lit(name).alias("method"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def ndcg_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,8 +231,8 @@ list_transform(v, lambda x: CAST(greatest(-127, least(127, floor(x * 127 + 0.5))
 pairs AS (SELECT q.vec_id AS query_id, p.vec_id, round(list_sum(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2])), 6) AS score, bit_count(xor(p.w0, q.w0)) + bit_count(xor(p.w1, q.w1)) AS distance,
 CAST(list_sum(list_transform(list_zip(p.q8, q.q8), lambda z: z[1] * z[2])) AS BIGINT) AS small FROM packed p JOIN packed q ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
 exact AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 10),
-near AS (SELECT query_id, vec_id, CAST(distance AS BIGINT) AS distance, small, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM pairs QUALIFY place <= 50),
-two AS (SELECT query_id, vec_id, small AS score, row_number() OVER (PARTITION BY query_id ORDER BY small DESC, vec_id) AS rank FROM near QUALIFY rank <= 10) """
+near AS (SELECT query_id, vec_id, CAST(distance AS BIGINT) AS distance, small, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM pairs QUALIFY place <= greatest(200, (SELECT count(*) FROM embeddings) // 4)),
+two AS (SELECT query_id, vec_id, small AS score, row_number() OVER (PARTITION BY query_id ORDER BY small DESC, vec_id) AS rank FROM near QUALIFY rank <= 50) """
 QUERIES = {f.__name__: f for f in (
     tokenize, postings, bm25_topk, rrf_fusion, hybrid_case_rank, pool_candidates, bm25_pool_normalized, route_query, dense_exact_topk, sign_binarize, int8_quantize, hamming_topk, two_stage_dense, quant_fidelity, ndcg_by_label,
 )}
@@ -227,9 +250,10 @@ ORACLE_SQL = {
     "sign_binarize": _VECTORS + "SELECT vec_id, w0, w1 FROM packed",
     "int8_quantize": _VECTORS + "SELECT vec_id, array_to_string(q8, ',') AS q8 FROM packed",
     "hamming_topk": _VECTORS + "SELECT query_id, vec_id, distance, place AS rank FROM near WHERE place <= 10",
-    "two_stage_dense": _VECTORS + "SELECT * FROM two",
-    "quant_fidelity": _VECTORS + """SELECT method, round(count(e.vec_id) / CAST((SELECT count(*) FROM exact) AS DOUBLE), 6) AS recall FROM (SELECT 'binary' AS method, query_id, vec_id FROM near WHERE place <= 10
-        UNION ALL SELECT 'two_stage', query_id, vec_id FROM two) f LEFT JOIN exact e USING (query_id, vec_id) GROUP BY 1""",
+    "two_stage_dense": _VECTORS + "SELECT * FROM two WHERE rank <= 10",
+    "quant_fidelity": _VECTORS + """, wide AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS wanted FROM pairs QUALIFY wanted <= 50)
+        SELECT method, round(count(*) FILTER (wanted <= 10 AND rank <= 10) / CAST(count(*) FILTER (wanted <= 10) AS DOUBLE), 6) AS recall10, round(count(*) FILTER (rank <= 50) / CAST(count(*) AS DOUBLE), 6) AS recall50, round(count(rank) FILTER (wanted <= 10) / CAST(count(*) FILTER (wanted <= 10) AS DOUBLE), 6) AS coverage
+        FROM (SELECT 'binary' AS method, w.*, place AS rank FROM wide w LEFT JOIN near USING (query_id, vec_id) UNION ALL SELECT 'two_stage', w.*, rank FROM wide w LEFT JOIN two USING (query_id, vec_id)) GROUP BY 1""",
     "ndcg_by_label": _VECTORS + """, size AS (SELECT label, count(*) - 1 AS relevant FROM embeddings GROUP BY 1), ideal AS (SELECT label, relevant, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(10, greatest(1, relevant)) + 1) t(i)) AS idcg FROM size),
         per AS (SELECT query_id, q.label AS wanted, sum((p.label = q.label)::INT / log2(rank + 1)) AS dcg, sum((p.label = q.label)::INT) AS hits, coalesce(1 / CAST(min(CASE WHEN p.label = q.label THEN rank END) AS DOUBLE), 0) AS rr
         FROM exact JOIN vecs p USING (vec_id) JOIN vecs q ON q.vec_id = query_id GROUP BY 1, 2)

@@ -14,7 +14,8 @@ VIEWS = {
         ("supplier", "nation"),
         """SELECT s_suppkey AS supplier_id, s_name AS supplier_name, n_name AS region, s_suppkey % 4 <> 0 AS profile_public, 51 + s_suppkey % 50 AS ownership_pct,
         CASE s_suppkey % 3 WHEN 0 THEN 'nation_certified' WHEN 1 THEN 'ccib_certified' ELSE 'self_declared' END AS tier,
-        CASE WHEN s_suppkey % 3 = 2 THEN 'pending' ELSE 'verified' END AS verification, CASE WHEN s_suppkey % 7 = 0 THEN DATE '1999-12-31' END AS expires_on
+        CASE WHEN s_suppkey % 3 = 2 THEN 'pending' ELSE 'verified' END AS verification, CASE WHEN s_suppkey % 7 = 0 THEN DATE '1999-12-31' END AS expires_on,
+        CASE s_suppkey % 5 WHEN 0 THEN 'building' WHEN 1 THEN 'automobile' WHEN 2 THEN 'machinery' WHEN 3 THEN 'household' ELSE 'furniture' END AS sector
         FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     ),
     "line": (
