@@ -49,7 +49,7 @@ def quote_occurs(quote: Column, text: Column) -> Column:
 
 
 def amount(c: Column) -> Column:
-    """Number with a currency sign or a percent sign and a scale word; null without either sign."""
+    """Number after a dollar sign, times its scale word; null without the sign."""
     number = F.try_to_number(F.replace(F.regexp_extract(c, r"\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(","), F.lit("")), F.lit("99999999999999.9999")).cast("double")
     scale = F.regexp_extract(F.lower(c), r"\$\s?[0-9][0-9,.]*\s?(thousand|million|billion|bn|k|m|b)\b", 1)
     factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCALE.items() for x in kv]), scale), F.lit(1.0))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import iso_week, percent, round_up, slug
+from ledgerloom.functions.ranking import ranked_by_buckets
 from ledgerloom.sources.views import oracle, table
 
 STATUSES = ("committed", "in_progress", "reported", "confirmed", "stalled")
@@ -106,8 +107,7 @@ def org_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("org_id").alias("org_id"), F.array_join(F.array_sort(F.collect_set("sector")), ",").alias("sectors"), F.count("*").alias("total"), round_up(F.avg("progress")).alias("avg_progress"),
         percent(F.count_if(F.col("status") == "confirmed"), F.count("*")).alias("confirmed_pct"), F.count_if(F.col("risk") == "overdue").alias("overdue"), F.count_if(F.col("risk") == "at_risk").alias("at_risk"),
     )
-    w = Window.partitionBy("org_size").orderBy(F.desc("avg_progress"), F.desc("total"), "org_name")
-    return orgs.withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranked_by_buckets(orgs, ["org_size"], [(F.col("avg_progress"), True), (F.col("total"), True)], [F.col("org_name")])
 
 
 def org_scorecard(spark: SparkSession, sf_dir: str, name: str = "customer-000000007") -> DataFrame:

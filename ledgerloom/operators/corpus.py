@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.ranking import ranked_by_buckets
 from ledgerloom.sources.views import oracle, table
 
 #: The denominator of the coverage report, in its order.
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt")
 SIGNAL = r"(?i)\b(licensed|license|copyright|terms)\b"
+LENS_BUCKET = 100_000
 TOPIC = r"(?i)\b(under|rights|use)\b"
 
 
@@ -87,8 +89,9 @@ def lens_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable reorder of each language's records: emphasis first, then level, then original order."""
     emphasis = F.size(F.array_intersect(F.array("win_type", "tier"), F.array(F.lit("won"), F.lit("core"))))
     place = F.array_position(F.array(*map(F.lit, ("supreme", "appeal", "superior", "tribunal"))), F.col("level"))
-    w = Window.partitionBy("lang").orderBy(F.desc(emphasis), place, "doc_id")
-    return _records(spark, sf_dir).select("doc_id", "lang", F.row_number().over(w).cast("long").alias("rank"))
+    rows = _records(spark, sf_dir).select("doc_id", "lang", emphasis.alias("emphasis"), place.alias("place"))
+    buckets = [(F.col("emphasis"), True), (F.col("place"), False), (F.floor(F.col("doc_id") / LENS_BUCKET), False)]
+    return ranked_by_buckets(rows, ["lang"], buckets, [F.col("doc_id")]).select("doc_id", "lang", "rank")
 
 
 def situation_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import ratio, wilson
 from ledgerloom.sources.views import table
 
+EXACT_TRIALS = 10_000
+
 
 def raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gold (labelled quality) and predicted (long enough text), with language and a second flag."""
@@ -64,15 +66,34 @@ def select_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("leakage <= 0.2 AND unparsed <= 0.1").orderBy("refusal", "leakage", "config").limit(1)
 
 
+def sign_tail(a: Column, b: Column) -> Column:
+    """Two-sided p of a sign test with a wins and b losses: the binomial tail by one running sum of log terms; past EXACT_TRIALS
+    the normal tail with its continuity correction; null without trials."""
+    n, k = a + b, F.greatest(a, b)
+    # log of the number of ways to win k of n, then each next term from the one before
+    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), n - k)), F.lit(0.0), lambda s, j: s + F.when(j <= n - k, F.log((k + j).cast("double")) - F.log(j.cast("double"))).otherwise(0.0))
+    first = ways - n * F.log(F.lit(2.0))
+    start = F.struct(first.alias("t"), F.exp(first).alias("s"))
+
+    def further(so_far: Column, i: Column) -> Column:
+        t = so_far["t"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.when(i <= n, F.struct(t.alias("t"), (so_far["s"] + F.exp(t)).alias("s"))).otherwise(so_far)
+
+    tail = F.aggregate(F.sequence(k + 1, F.greatest(k + 1, n)), start, further)["s"]
+    z = (F.abs(a - b) - 1) / F.sqrt(n.cast("double"))
+    # the normal tail by a rational formula, right to seven digits
+    t = 1 / (1 + 0.3275911 * z / 2**0.5)
+    normal = (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-z * z / 2)
+    return F.when(n > 0, F.least(F.lit(1.0), F.when(n > EXACT_TRIALS, normal).otherwise(2 * tail)))
+
+
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided sign test of first against last order prices of customers' priorities; ties are left out."""
-    sides = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_custkey") % 40 == 1).alias("a"), F.count_if(F.col("o_custkey") % 40 == 2).alias("b"))
-    n, k = F.col("a") + F.col("b"), F.greatest("a", "b")
-    # log of the binomial coefficients, summed as logs so that large n don't overflow
-    log_fact = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), m.cast("int"))), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
-    terms = F.transform(F.sequence(k.cast("int"), n.cast("int")), lambda i: F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.log(F.lit(2.0))))
-    p = F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t))
-    return sides.select("o_orderpriority", "a", "b", F.when(n > 0, F.round(p, 6)).alias("p"))
+    """Two-sided sign test of customers' first against last order prices, by segment; ties are left out."""
+    at = F.struct("o_orderdate", "o_orderkey")
+    ends = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_totalprice", at).alias("first"), F.max_by("o_totalprice", at).alias("last"))
+    rows = ends.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sides = rows.groupBy("c_mktsegment").agg(F.count_if(F.col("last") > F.col("first")).alias("a"), F.count_if(F.col("last") < F.col("first")).alias("b"))
+    return sides.select("c_mktsegment", "a", "b", F.round(sign_tail(F.col("a"), F.col("b")), 6).alias("p"))
 
 
 def dev_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +139,9 @@ ORACLE_SQL = {
         SELECT {_LONG}, round(a, 6) AS false_alarm, round(f, 6) AS found, CASE WHEN a <= 0.05 AND f >= 0.8 THEN 'ship' WHEN a <= 0.05 THEN 'safe_but_weak' ELSE 'unusable' END AS decision FROM r""",
     "select_config": """SELECT * FROM (SELECT concat_ws('/', o_orderpriority, o_orderstatus) AS config, round(avg(CAST(o_orderkey % 7 = 0 AS DOUBLE)), 6) AS leakage, round(avg(CAST(o_orderkey % 11 = 0 AS DOUBLE)), 6) AS unparsed,
         round(avg(CAST(o_orderkey % 13 = 0 AS DOUBLE)), 6) AS refusal FROM orders GROUP BY 1) WHERE leakage <= 0.2 AND unparsed <= 0.1 ORDER BY refusal, leakage, config LIMIT 1""",
-    "sign_test": """WITH s AS (SELECT o_orderpriority, count(*) FILTER (o_custkey % 40 = 1) AS a, count(*) FILTER (o_custkey % 40 = 2) AS b FROM orders GROUP BY 1),
-        t AS (SELECT *, unnest(range(greatest(a, b), a + b + 1)) AS i FROM s)
-        SELECT o_orderpriority, a, b, round(least(CAST(1 AS DOUBLE), 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))), 6) AS p FROM t GROUP BY 1, 2, 3""",
+    "sign_test": """WITH e AS (SELECT o_custkey, min_by(o_totalprice, (o_orderdate, o_orderkey)) AS f, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS l FROM orders GROUP BY 1),
+        s AS (SELECT c_mktsegment, count(*) FILTER (l > f) AS a, count(*) FILTER (l < f) AS b FROM e JOIN customer ON o_custkey = c_custkey GROUP BY 1), t AS (SELECT *, unnest(range(greatest(a, b), a + b + 1)) AS i FROM s)
+        SELECT c_mktsegment, a, b, round(least(CAST(1 AS DOUBLE), 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))), 6) AS p FROM t GROUP BY 1, 2, 3""",
     "dev_test_split": "SELECT doc_id, CASE WHEN substr(md5(concat('split:', doc_id)), 1, 1) < '8' THEN 'dev' ELSE 'test' END AS side FROM labels",
     "theme_validation": f"""{_RATERS} SELECT theme, {_LONG}, {_PRF} FROM (SELECT theme, {_CELLS} FROM (SELECT 'quality' AS theme, gold, predicted FROM raters UNION ALL SELECT 'toxic', toxic, 1 - predicted FROM raters) GROUP BY 1)""",
     "answer_quality": """SELECT kind, attempted, answered, supported, round(1 - answered / CAST(attempted AS DOUBLE), 6) AS refusal_rate, round(coalesce(supported / CAST(nullif(answered, 0) AS DOUBLE), 0), 6) AS support_rate FROM (

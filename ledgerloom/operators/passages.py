@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.functions.rules import money
 from ledgerloom.functions.scalars import ratio
 from ledgerloom.sources.views import table
 
@@ -32,14 +33,14 @@ def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lang_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language with most function words; too little or too even evidence is unknown."""
+    """Language with most function words; under eight of all, or without a lead of 1.3 times over the next, unknown."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "  "), F.lit(" "))
     counts = {k: F.regexp_count("t", F.lit(" (?:" + "|".join(ws) + ") ")) for k, ws in FUNCTION_WORDS.items()}
     rows = _docs(spark, sf_dir).select("doc_id", words.alias("t")).select("doc_id", *[c.alias(k) for k, c in counts.items()])
     scores = F.sort_array(F.array(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("lang")) for k in counts]), asc=False)
     rows = rows.select("doc_id", scores.alias("s"))
     best, next_ = F.col("s")[0], F.col("s")[1]
-    return rows.select("doc_id", F.when((best["n"] >= 4) & (best["n"] >= 1.3 * next_["n"]), best["lang"]).otherwise("unknown").alias("lang"), best["n"].cast("long").alias("evidence"))
+    return rows.select("doc_id", F.when((F.aggregate("s", F.lit(0), lambda a, x: a + x["n"]) >= 8) & (best["n"] > 1.3 * next_["n"]), best["lang"]).otherwise("unknown").alias("lang"), best["n"].cast("long").alias("evidence"))
 
 
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,8 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amount_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _phrases(spark, sf_dir).select("id", T.amount(F.col("phrase")).alias("amount"), T.unit_of(F.col("phrase")).alias("unit"))
+    """The currency target, the recorded figure (a percentage too) and the unit of every phrase."""
+    return _phrases(spark, sf_dir).select("id", T.amount(F.col("phrase")).alias("amount"), money(F.col("phrase"))["amount"].alias("figure"), T.unit_of(F.col("phrase")).alias("unit"))
 
 
 def due_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +167,10 @@ def text_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a language's pages (texts) with 500 characters and more; low under 0.6."""
-    share = ratio(F.count_if(F.col("n_chars") >= 500), F.count("*"))
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.round(share, 6).alias("share"), (share < 0.6).alias("low"))
+    """A text's pages (lines here) with 50 characters and more; low where they are under 0.6 of all."""
+    pages = F.split("text", "\n")
+    rows = _docs(spark, sf_dir).select("doc_id", F.size(pages).cast("long").alias("pages"), F.size(F.filter(pages, lambda p: F.length(F.trim(p)) >= 50)).cast("long").alias("covered"))
+    return rows.withColumn("low", ratio(F.col("covered"), F.col("pages")) < 0.6)
 
 
 def disposition_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +190,7 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def business_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine digits that pass the Luhn sum, or the same with a programme code."""
+    """Nine digits that pass the Luhn sum."""
     number = F.lpad((F.col("o_orderkey") * 7919 % 1000000000).cast("string"), 9, "0")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), number.alias("bn"))
     return rows.select("id", F.expr("luhn_check(bn)").alias("valid"))
@@ -234,11 +237,12 @@ ORACLE_SQL = {
     "norm_text": f"""SELECT doc_id, sha256({_WS.format('text')}) AS ws, sha256(regexp_replace({_WS.format(_FOLD)}, ' ([,.;:!?])', '\\1', 'g')) AS fold, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS alnum FROM documents""",
     "lang_classify": "WITH c AS (SELECT doc_id, list_reverse_sort(["
     + ", ".join(f"{{'n': len(regexp_extract_all(t, ' (?:{'|'.join(ws)}) ')), 'lang': '{k}'}}" for k, ws in FUNCTION_WORDS.items())
-    + r"]) AS s FROM (SELECT doc_id, concat(' ', regexp_replace(lower(text), '[^\p{L}]+', '  ', 'g'), ' ') AS t FROM documents)) SELECT doc_id, CASE WHEN s[1].n >= 4 AND s[1].n >= 1.3 * s[2].n THEN s[1].lang ELSE 'unknown' END AS lang, s[1].n AS evidence FROM c",
+    + r"]) AS s FROM (SELECT doc_id, concat(' ', regexp_replace(lower(text), '[^\p{L}]+', '  ', 'g'), ' ') AS t FROM documents)) SELECT doc_id, CASE WHEN list_sum(list_transform(s, lambda x: x.n)) >= 8 AND s[1].n > CAST(1.3 AS DOUBLE) * s[2].n THEN s[1].lang ELSE 'unknown' END AS lang, s[1].n AS evidence FROM c",
     "chunk_paragraphs": r"""WITH lines AS (SELECT doc_id, i - 1 AS para, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(l[i]) <> ''),
         parts AS (SELECT doc_id, para, CASE WHEN strlen(line) > 2048 THEN string_split(regexp_replace(line, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)) ELSE [line] END AS p FROM lines)
         SELECT doc_id, para, j - 1 AS part, CAST(length(p[j]) AS BIGINT) AS chars FROM (SELECT *, unnest(range(1, len(p) + 1)) AS j FROM parts)""",
     "amount_parse": r"WITH " + _PHRASES + r""" SELECT id, CAST(replace(n, ',', '') AS DOUBLE) * CASE s WHEN 'k' THEN 1000 WHEN 'thousand' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'million' THEN 1000000 WHEN '' THEN 1 ELSE 1000000000 END AS amount,
+        CASE WHEN contains(phrase, '%') THEN CAST(regexp_extract(phrase, '([0-9]+)%', 1) AS DOUBLE) ELSE CAST(replace(n, ',', '') AS DOUBLE) * CASE s WHEN 'k' THEN 1000 WHEN 'million' THEN 1000000 WHEN '' THEN 1 ELSE 1000000000 END END AS figure,
         CASE WHEN contains(phrase, '$') THEN 'currency' WHEN contains(phrase, '%') THEN 'percent' WHEN regexp_matches(phrase, '[0-9]') THEN 'count' ELSE 'none' END AS unit
         FROM (SELECT *, nullif(regexp_extract(phrase, '\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)', 1), '') AS n, regexp_extract(lower(phrase), '\$\s?[0-9][0-9,.]*\s?(thousand|million|billion|bn|k|m|b)\b', 1) AS s FROM phrases)""",
     "due_date_parse": f"WITH {_PHRASES} SELECT id, due, recurring FROM dated",
@@ -246,7 +250,7 @@ ORACLE_SQL = {
     "is_clean": f"WITH {_PHRASES} SELECT count(*) AS clean FROM phrases WHERE id NOT IN (SELECT id FROM issues)",
     "text_damage": r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]')) AS BIGINT) AS damaged, round(coalesce(len(regexp_extract_all(text, '[^\x00-\x7f]')) / CAST(nullif(length(text), 0) AS DOUBLE), 0), 6) AS beyond,
         round(coalesce(length(text) / CAST(nullif(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')), 0) AS DOUBLE), 0), 6) AS per_line FROM documents""",
-    "page_coverage": "SELECT lang, round(avg(CAST(n_chars >= 500 AS DOUBLE)), 6) AS share, avg(CAST(n_chars >= 500 AS DOUBLE)) < 0.6 AS low FROM documents GROUP BY 1",
+    "page_coverage": "SELECT doc_id, len(p) AS pages, len(c) AS covered, len(c) < CAST(0.6 AS DOUBLE) * len(p) AS low FROM (SELECT doc_id, p, list_filter(p, lambda x: length(trim(x)) >= 50) AS c FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))",
     "disposition_window": """WITH lines AS (SELECT doc_id, i, length(l[i]) AS size FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
         run AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY i) <= 2000 OR sum(size) OVER (PARTITION BY doc_id ORDER BY i DESC) <= 4000 AS kept FROM lines)
         SELECT doc_id, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS omitted, CAST(coalesce(sum(size) FILTER (kept), 0) AS BIGINT) AS chars FROM run GROUP BY 1""",
