@@ -96,17 +96,18 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
 
 class Packer:
-    """Fills sequences of one range with pieces (doc_id, start, ids, doc_tokens)."""
+    """Fills sequences of one range with pieces (doc_id, start, ids, doc_tokens, row)."""
 
     def __init__(self, first: int, length: int = LENGTH) -> None:
-        self.sequence, self.length, self.held, self.fill = first, length, [], 0
+        self.sequence, self.length, self.held, self.fill, self.row = first, length, [], 0, first - 1
 
     def add(self, doc_id, ids: np.ndarray) -> list[tuple]:
         """Pieces of the sequences that are now full."""
         out, start, n = [], 0, len(ids)
+        self.row += 1
         while start < n:
             take = min(n - start, self.length - self.fill)
-            self.held.append((doc_id, start, ids[start : start + take], n))
+            self.held.append((doc_id, start, ids[start : start + take], n, self.row))
             start, self.fill = start + take, self.fill + take
             if self.fill == self.length:
                 out += self._close(self.held)
@@ -120,28 +121,31 @@ class Packer:
             room = 1 << (rest.bit_length() - 1)
             rest, part = rest - room, []
             while room:
-                doc_id, start, ids, n = held.pop()
-                part.append((doc_id, start, ids[:room], n))
+                doc_id, start, ids, n, row = held.pop()
+                part.append((doc_id, start, ids[:room], n, row))
                 if len(ids) > room:
-                    held.append((doc_id, start + room, ids[room:], n))
+                    held.append((doc_id, start + room, ids[room:], n, row))
                 room -= len(part[-1][2])
             out += self._close(part)
         return out
 
     def _close(self, pieces: list[tuple]) -> list[tuple]:
         out, offset = [], 0
-        for doc_id, start, ids, n in pieces:
-            out.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), n, self.sequence, offset))
+        for doc_id, start, ids, n, row in pieces:
+            out.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), n, self.sequence, offset, row))
             offset += len(ids)
         self.sequence += 1
         return out
 
 
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, document_row long"
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
-    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, document_row.
+
+    document_row tells the rows of docs apart, which may share a doc_id or have none.
+    """
     names = [c.split()[0] for c in PIECES.split(", ")]
     path = path or default_path()
     kind, rows = id_kind(path), settle(tokenised(docs, path))

@@ -204,6 +204,31 @@ def test_packing_gives_every_id_once(spark):
         assert mine["offset"].tolist() == [0, *mine["length"].cumsum().tolist()[:-1]] and n <= packing.LENGTH and n & (n - 1) == 0
 
 
+def test_packing_with_ids_beyond_two_bytes(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from ledgerloom.llm.tokens import default_path, id_kind
+
+    model = json.load(open(default_path()))
+    model["model"]["vocab"] = {piece: i + 65_536 for piece, i in model["model"]["vocab"].items()}
+    model["added_tokens"] = []
+    path = str(tmp_path / "wide.json")
+    json.dump(model, open(path, "w"))
+    assert id_kind(path) == "<u4" and id_kind(default_path()) == "<u2"
+    pieces = packing.pack(spark.createDataFrame([(1, "some words, and zebra 12 more")], "doc_id long, text string"), path).toPandas()
+    ids = Tokenizer.from_file(path).encode("some words, and zebra 12 more", add_special_tokens=False).ids
+    assert b"".join(pieces.sort_values("start")["ids"]) == packing.np.array([*ids, 2], "<u4").tobytes() and max(ids) > 65_535
+
+
+def test_packing_tells_rows_apart(spark):
+    docs = spark.createDataFrame([(7, "a b c"), (7, "a b c"), (None, "d e"), (None, None)], "doc_id long, text string")
+    pieces = packing.pack(docs).toPandas()
+    sizes = pieces.groupby("document_row").agg(n=("length", "sum"), whole=("doc_tokens", "max"))
+    assert len(sizes) == 4 and (sizes.n == sizes.whole).all()
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = packing.np.array([(a, b) for a in range(8) for b in range(8)])
     path = cells[packing.np.argsort(packing.hilbert_keys(cells, bits=3))]
