@@ -1,8 +1,9 @@
 """Streams over events, each with the batch that gives the same rows.
 
-The functions that take a frame work on a streaming one and on a batch alike. ``run_stream`` drives a real stream over
-the event files with the trigger AvailableNow; every micro-batch overwrites the result under the shared checkpoint
-folder, so a batch replayed after a failure leaves the same state.
+The functions that take a frame work on a streaming one and on a batch alike. ``upserted`` drives a real stream over
+files with the trigger AvailableNow in update mode: a micro-batch writes the rows that it has changed under its own
+number, so a batch replayed after a failure writes the same again, and the latest row of a key counts. State older than
+the watermark is dropped, and so are rows that come later than it.
 """
 
 from __future__ import annotations
@@ -14,32 +15,47 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ledgerloom.operators import alignment
 from ledgerloom.sources.views import table
 
 LATE = "1 day"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local session without the setting gets one of its own."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")
+    """The folder that the cluster shares; a session on one machine without the setting gets one of its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return folder or tempfile.mkdtemp(prefix="streams-")
+
+
+def file_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))  # what watermarks take
+    return file_stream(spark, sf_dir, "events", files).withColumn("ts", F.col("ts").cast("timestamp"))  # what watermarks take
 
 
-def run_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Run an aggregating stream to the end of its input (complete mode) and read what it left."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+def upserted(rows: DataFrame, keys: list[str], change=None, schema=None, mode: str = "update") -> DataFrame:
+    """Run a stream to the end of its input and read the latest rows of each key.
+
+    change(batch) may make the rows to write of a micro-batch (schema tells theirs); all rows of a key that one batch
+    writes count together, so a key's set of rows is replaced as a whole and a row of nulls leaves none.
+    """
+    spark = rows.sparkSession
+    base, schema = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", schema or rows.schema
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = rows.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+    written = spark.read.schema(schema if isinstance(schema, str) else schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(f"{base}/out")
+    last = written.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return written.join(last, [*keys, "batch"]).drop("batch")
 
 
 def tumbling(rows: DataFrame) -> DataFrame:
@@ -67,11 +83,49 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_stream(spark, tumbling(event_stream(spark, sf_dir))).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return upserted(tumbling(event_stream(spark, sf_dir)), ["day", "event_type"]).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
 
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_stream(spark, rollup(event_stream(spark, sf_dir))).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
+    return upserted(rollup(event_stream(spark, sf_dir)), ["user_id"]).select("user_id", "observations", F.col("last_at").cast("timestamp_ntz").alias("last_at"), "status")
+
+
+def stream_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of commitments as they are written: each one's set is computed anew and takes the place of the one before."""
+    names = "id long, supplier_id long, score double, rank long"
+
+    def matched(batch: DataFrame) -> DataFrame:
+        ids = batch.select(F.col("o_orderkey").alias("id")).distinct()
+        found = alignment.opportunities(spark, sf_dir).select("id", "supplier_id", "score", "rank")
+        return ids.join(found, "id", "left")  # a commitment without matches writes a row of nulls, which prunes old ones
+
+    return upserted(file_stream(spark, sf_dir, "orders"), ["id"], matched, f"{names}, batch long", "append").where("supplier_id IS NOT NULL")
+
+
+def refusals(rows: DataFrame, most: int = 3, seconds: int = 86_400) -> DataFrame:
+    """The limiter on a stream: per key, the events that are refused, by state of two numbers. A window opens at a key's first
+    event and lasts ``seconds``; events of one micro-batch are taken in time order."""
+
+    def scan(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        start, n = state.get if state.exists else (None, 0)
+        times = sorted(us for pdf in batches for us in pdf["us"].tolist())  # a key's events of one micro-batch
+        out = []
+        for at in times:
+            if start is None or at - start >= seconds * 1_000_000:
+                start, n = at, 0
+            n += 1
+            if n > most:
+                out.append(at)
+        state.update((start, n))
+        yield pd.DataFrame({"user_id": key[0], "us": out})
+
+    times = rows.where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", F.unix_micros("ts").alias("us"))
+    return times.groupBy("user_id").applyInPandasWithState(scan, "user_id long, us long", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused events of each user, counted over the stream's output."""
+    return upserted(refusals(event_stream(spark, sf_dir)), ["user_id", "us"], mode="append").groupBy("user_id").agg(F.count("*").alias("refused"))
 
 
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,9 +208,10 @@ def as_of_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DAY = "date_trunc('day', ts)"
 _TUMBLING = f"SELECT {_DAY} AS day, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE), 4) AS total FROM events GROUP BY 1, 2"
 _ROLLUP = "SELECT user_id, count(*) AS observations, max(ts) AS last_at, max_by(event_type, (ts, event_id)) AS status FROM events GROUP BY 1"
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_rollup, tumbling_counts, sliding_counts, session_users, daily_quota, dedupe_keys, job_state, stuck_jobs, failure_limiter, as_of_status)}
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_rollup, stream_opportunities, stream_refusals, tumbling_counts, sliding_counts, session_users, daily_quota, dedupe_keys, job_state, stuck_jobs, failure_limiter, as_of_status)}
 ORACLE_SQL = {
     "stream_tumbling": _TUMBLING,
+    "stream_opportunities": alignment.ORACLE_SQL["opportunity_top5"].replace("SELECT concat_ws('::', id, supplier_id) AS key, id,", "SELECT id,"),
     "tumbling_counts": _TUMBLING,
     "stream_rollup": _ROLLUP,
     "sliding_counts": f"SELECT day, event_type, count(*) AS n FROM (SELECT event_type, unnest([{_DAY}, {_DAY} - INTERVAL 1 DAY]) AS day FROM events) GROUP BY 1, 2",
