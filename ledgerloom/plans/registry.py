@@ -1,9 +1,9 @@
 """Queries of the library's own operators, with SQL where SQL can express them."""
 
-from ledgerloom.operators import alignment, commitments, corpus, evaluation, evidence, extraction, grounding, ledger, olap, passages, retrieval, rules, screening
+from ledgerloom.operators import alignment, commitments, corpus, evaluation, evidence, extraction, grounding, ledger, olap, panels, passages, retrieval, rules, screening
 from ledgerloom.sources import connectors
 from ledgerloom.streaming import flows
 
-_MODULES = (ledger, commitments, olap, corpus, retrieval, alignment, passages, evaluation, flows, screening, extraction, grounding, rules, evidence, connectors)
+_MODULES = (ledger, commitments, olap, corpus, retrieval, alignment, passages, evaluation, flows, screening, extraction, grounding, rules, evidence, panels, connectors)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
