@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import alnum
-from ledgerloom.operators.passages import quotes
+from ledgerloom.operators.passages import _QUOTES, quotes
 from ledgerloom.sources.views import oracle, table
 
 LABELS = ("building", "household", "machinery")
@@ -105,6 +105,10 @@ def measured_something(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALNUM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 QUERIES = {f.__name__: f for f in (elision_kinds, drop_cause, label_parse, citation_forms, registry_entity, elapsed, least_confidence, merge_parts, worklist, measured_something)}
 ORACLE_SQL = {
+    "elision_kinds": rf"""WITH {_QUOTES}, q AS (SELECT role, text, unnest([quote, array_to_string(list_reverse(string_split(quote, ' ... ')), ' ... ')]) AS quote FROM quoted),
+        f AS (SELECT role, list_filter(list_transform(string_split_regex(quote, '\.\.\.|…'), lambda x: {_ALNUM.format("x")}), lambda x: x <> '') AS fr, {_ALNUM.format("text")} AS t FROM q),
+        a AS (SELECT *, len(list_filter(fr, lambda x: NOT contains(t, x))) = 0 AS present FROM f)
+        SELECT role, CASE WHEN len(fr) <= 1 THEN CASE WHEN present THEN 'whole' ELSE 'missing' END WHEN present AND contains(substr(t, instr(t, fr[1]) + length(fr[1])), fr[2]) THEN 'in_order' WHEN present THEN 'out_of_order' ELSE 'missing' END AS kind, count(*) AS n FROM a GROUP BY 1, 2""",
     "drop_cause": f"""SELECT CASE WHEN length(c) < 15 THEN 'too_short' WHEN contains(text, c) THEN 'none' WHEN contains(lower(text), lower(c)) THEN 'other_case' WHEN contains({_ALNUM.format('text')}, {_ALNUM.format('c')}) THEN 'other_spacing' ELSE 'unseen' END AS cause, count(*) AS n
         FROM (SELECT text, CASE turn % 4 WHEN 0 THEN substr(text, 1, 8) WHEN 1 THEN translate(text, 'abcdefghijklm', 'ABCDEFGHIJKLM') WHEN 2 THEN replace(text, ' ', '  ') ELSE concat(text, ' and more') END AS c FROM conversations) GROUP BY 1""",
     "label_parse": "SELECT CASE WHEN lower(c_mktsegment) IN ('household', 'machinery') THEN concat('building,', lower(c_mktsegment)) ELSE 'building' END AS labels, count(*) AS n FROM customer GROUP BY 1",

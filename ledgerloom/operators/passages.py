@@ -211,6 +211,8 @@ regexp_matches(phrase, '(?i)\\b(annual|annually|yearly|quarterly|monthly|ongoing
 regexp_extract(phrase, '\\b[qQ]([1-4])\\b', 1) AS q, regexp_extract(phrase, '\\b((?:19|20)[0-9]{2})\\b', 1) AS y FROM phrases)),
 issues AS (SELECT id, unnest(list_filter([CASE WHEN (id * 37 % 100) / CAST(100 AS DOUBLE) < CAST(0.85 AS DOUBLE) THEN 'low_confidence' END, CASE WHEN id % 11 = 0 THEN 'missing_quote' END, CASE WHEN due IS NULL AND NOT recurring THEN 'no_date' END,
 CASE WHEN substr(due, 1, 4) > '2020' THEN 'after_period' END], lambda x: x IS NOT NULL)) AS rule FROM dated)""".replace("\\\\", "\\")
+_ALNUM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_QUOTES = r"""cuts AS (SELECT *, list_filter(string_split_regex(text, '[.!?]\s*'), lambda x: x <> '') AS cut FROM conversations), quoted AS (SELECT *, concat_ws(' ... ', cut[1], cut[-1]) AS quote FROM cuts WHERE len(cut) > 0)"""
 _BLOCK = "(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article)"
 
 
@@ -250,6 +252,10 @@ ORACLE_SQL = {
     "is_clean": f"WITH {_PHRASES} SELECT count(*) AS clean FROM phrases WHERE id NOT IN (SELECT id FROM issues)",
     "text_damage": r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]')) AS BIGINT) AS damaged, round(coalesce(len(regexp_extract_all(text, '[^\x00-\x7f]')) / CAST(nullif(length(text), 0) AS DOUBLE), 0), 6) AS beyond,
         round(coalesce(length(text) / CAST(nullif(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')), 0) AS DOUBLE), 0), 6) AS per_line FROM documents""",
+    "quote_grounding": rf"""WITH {_QUOTES}, w AS (SELECT role, quote, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS nxt FROM quoted),
+        f AS (SELECT role, list_filter(list_transform(string_split_regex(quote, '\.\.\.|…'), lambda x: {_ALNUM.format("x")}), lambda x: x <> '') AS fr, {_ALNUM.format("text")} AS t, {_ALNUM.format("nxt")} AS n FROM w)
+        SELECT role, CASE WHEN len(list_filter(fr, lambda x: NOT contains(t, x))) = 0 THEN 'own' WHEN n IS NOT NULL AND len(list_filter(fr, lambda x: NOT contains(n, x))) = 0 THEN 'next' ELSE 'none' END AS found, count(*) AS n FROM f GROUP BY 1, 2""",
+    "stable_ids": """SELECT c_custkey, lower(replace(c_name, '#', '-')) AS slug, h AS hash, lower(to_base(h, 36)) AS short, sha256(c_name) AS digest FROM (SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(lower(c_name), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM customer)""",
     "page_coverage": "SELECT doc_id, len(p) AS pages, len(c) AS covered, len(c) < CAST(0.6 AS DOUBLE) * len(p) AS low FROM (SELECT doc_id, p, list_filter(p, lambda x: length(trim(x)) >= 50) AS c FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))",
     "disposition_window": """WITH lines AS (SELECT doc_id, i, length(l[i]) AS size FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
         run AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY i) <= 2000 OR sum(size) OVER (PARTITION BY doc_id ORDER BY i DESC) <= 4000 AS kept FROM lines)
