@@ -27,8 +27,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -89,25 +87,19 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("c"))
 
 
-@lru_cache(maxsize=1)
-def _met(path: str) -> dict[bytes, bytes]:
-    """Ids of the words that this worker has met in any task."""
-    return {}
-
-
 def tokenised(train: DataFrame, path: str) -> DataFrame:
     """tie (a hash of the row) and ids (of 2 bytes where the vocabulary allows it, else of 4) of every document."""
     kind = id_kind(path)
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, known = word_ids(path), _met(path)
+        words, known = word_ids(path), {}
         for texts in batches:
             out = []
             for a, b in slices(texts.str.len().tolist()):
                 split = [words_of(t) for t in texts.iloc[a:b]]
                 if len(known) > _KNOWN:
-                    known.clear()
+                    known = {}
                 new = list(set().union(*split).difference(known))
                 known.update(zip(new, words.ids_of([w.decode() for w in new]), strict=True))
                 out += [np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4").astype(kind).tobytes() for s in split]
@@ -245,17 +237,6 @@ class Lexicon:
         return [np.fromiter(map(self.at.__getitem__, w), np.int64, len(w)) for w in words]
 
 
-_LEXICON: dict[str, Lexicon] = {}
-
-
-def _lexicon(run: str, *parts) -> Lexicon:
-    """This worker's lexicon of a run; one at a time."""
-    if run not in _LEXICON:
-        _LEXICON.clear()
-        _LEXICON[run] = Lexicon(*parts)
-    return _LEXICON[run]
-
-
 def mean_with_share(spelled: np.ndarray, share: np.ndarray) -> np.ndarray:
     """log10 of the mean of 10**spelled and share."""
     with np.errstate(divide="ignore"):
@@ -282,11 +263,9 @@ def score(docs: DataFrame, path: str | None = None, params: attention.Params | N
     send = docs.sparkSession.sparkContext.broadcast((classes, head, params))
     n_all = max(1, int(n_words))
 
-    run = uuid4().hex  # a worker's later tasks find the words of earlier ones
-
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes, head, params = send.value
-        lexicon, end = _lexicon(run, classes, path, head), np.array([END], np.uint16).tobytes()
+        lexicon, end = Lexicon(classes, path, head), np.array([END], np.uint16).tobytes()
         for pdf in batches:
             for a, b in slices(pdf["text"].str.len().tolist()):
                 some = pdf.iloc[a:b]
