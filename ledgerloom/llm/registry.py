@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from ledgerloom.llm import licenses, lm_scoring, mixing, packing, pii, quality_rules, quality_sql, simhash, toxicity, url_filters, winnowing
+from ledgerloom.llm import hard_negatives, licenses, lm_scoring, mixing, packing, pii, quality_rules, quality_sql, simhash, toxicity, url_filters, winnowing
 
 QUERIES = {
     "op1_pii_spans": pii.op1_pii_spans,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_url_rules": url_filters.op8_url_rules,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op3_license_sentences": licenses.OP3_SQL,
     "op4_quality_divergence": quality_sql.OP4_SQL,
     "op8_url_rules": url_filters.OP8_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
