@@ -66,5 +66,21 @@ def slices(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def groups(batches: Iterator, by: list[str]) -> Iterator:
+    """Whole groups (pandas frames) of a stream of frames whose rows are sorted by these columns; one is held at a time."""
+    import pandas as pd
+
+    parts, last = [], None
+    for pdf in batches:
+        for name, part in pdf.groupby(by, sort=False):
+            if parts and name != last:
+                yield pd.concat(parts)
+                parts = []
+            parts.append(part)
+            last = name
+    if parts:
+        yield pd.concat(parts)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

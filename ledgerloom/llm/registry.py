@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from ledgerloom.llm import hard_negatives, licenses, lm_scoring, mixing, packing, pii, quality_rules, quality_sql, simhash, toxicity, url_filters, winnowing
+from ledgerloom.llm import hard_negatives, licenses, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, quality_sql, simhash, spelling, toxicity, url_filters, winnowing
 
 QUERIES = {
     "op1_pii_spans": pii.op1_pii_spans,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_url_rules": url_filters.op8_url_rules,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
+    "op12_spelling": spelling.op12_spelling,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
