@@ -14,8 +14,8 @@ Spark's part.
 3. Prefix shingles are postings. A posting list isn't paired out: its member with the fewest shingles of its own is the
    hub, every member meets the hub, and pairs that pass the filters are verified on whole sets, whose links join
    components. Only members of one list that are still in different components are then paired, in blocks of bounded size,
-   each pair at its first common prefix shingle. So near copies cost a row each, however many there are, and no link
-   between different texts that could join two components is left out.
+   each pair at its first common prefix shingle, and only if their known overlaps with the hub leave room for a link. So
+   near copies cost a row each, however many there are, and no link that could join two components is left out.
 
 Whole sets are made again for nodes in a posting list of two or more only; their texts are found by a fixed-size bitmap of
 text hashes (2 MB), then exactly by a join.
@@ -250,13 +250,12 @@ def _whole_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFra
     return settle(found.select("node", shingled("text").alias("shingles")))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose prefixes overlap under the other orders and whose sets are alike enough."""
+def _overlaps(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose prefixes overlap under the other orders, with the size of the sets' overlap and whether they link."""
     for end in "uv":
         pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "p2", "p3", "shingles")]), end)
-    pairs = pairs.where(F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v"))
-    same = F.size(F.array_intersect("shingles_u", "shingles_v"))
-    return pairs.where((100 + LIKE) * same >= LIKE * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+    pairs = pairs.where(F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v")).withColumn("same", F.size(F.array_intersect("shingles_u", "shingles_v")))
+    return pairs.select("u", "v", "same", ((100 + LIKE) * F.col("same") >= LIKE * (F.col("n_u") + F.col("n_v"))).alias("linked"))
 
 
 def _long_enough(n, m):
@@ -264,21 +263,26 @@ def _long_enough(n, m):
 
 
 def _apart(postings: DataFrame, paired: int) -> DataFrame:
-    """Pairs (u, v) of members of one list in different components that share a prefix under every order."""
+    """Pairs (u, v) of members of one list in different components that share a prefix under every order and that their overlaps
+    with the list's hub don't rule out: two sets share at most the smaller of what each shares with the hub, and the smaller
+    of what each shares with other documents beyond the hub."""
     lists = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", F.ceil(F.col("members") / paired).cast("int").alias("blocks"))
     members = postings.join(lists, "key").withColumn("i", F.pmod(F.hash("node"), F.col("blocks")))
     dealt = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", "n", "p1", "p2", "p3")
+    dealt = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", "n", "with_hub", "beyond", "p1", "p2", "p3")
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches, ["key", "low", "high"]):
             key, low, high = (rows[c].iloc[0] for c in ("key", "low", "high"))
             node, root, n, i = (rows[c].to_numpy() for c in ("node", "root", "n", "i"))
+            with_hub, beyond = (rows[c].to_numpy(float) for c in ("with_hub", "beyond"))  # not a number where not measured
             first = [p[:k] for p, k in ((p.tolist(), p.tolist().index(key)) for p in rows["p1"])]  # what comes before this key
             before, p2, p3 = [set(p) for p in first], [set(p) for p in rows["p2"]], [set(p) for p in rows["p3"]]
             out = []
             for a in range(len(rows)):
                 fit = (root != root[a]) & (node > node[a]) & (100 * np.minimum(n, n[a]) >= LIKE * np.maximum(n, n[a]))
+                most = np.minimum(with_hub, with_hub[a]) + np.minimum(beyond, beyond[a])
+                fit &= ~((100 + LIKE) * most < LIKE * (n + n[a]))
                 if low != high:
                     fit &= i != i[a]
                 for b in np.flatnonzero(fit).tolist():
@@ -302,12 +306,14 @@ def joined(docs: DataFrame, block: int = BLOCK, paired: int = PAIRED) -> tuple[D
     able = members.select("node").distinct()
     nodes = settle(found.join(_whole_sets(docs, named, able), "node"))
     stars = members.where((F.col("node") != F.col("hub.node")) & _long_enough(F.col("n"), F.col("hub.n"))).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
-    links = settle(_verified(stars, nodes))
-    now = components(links)
-    rooted = members.select("key", "node", "n").join(now, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = settle(_overlaps(stars, nodes))
+    links = met.where("linked").select("u", "v")
+    rooted = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rest = rooted.join(several, "key", "left_semi").join(nodes.select("node", "p1", "p2", "p3"), "node")
-    more = settle(_verified(_apart(rest, paired), nodes))
+    with_hub = met.select(F.col("u").alias("node"), F.col("v").alias("hub_node"), "same")
+    rest = rooted.join(several, "key", "left_semi").select("key", "node", "n", "root", F.col("hub.node").alias("hub_node")).join(with_hub, ["node", "hub_node"], "left")
+    rest = rest.join(nodes.select("node", "own", "p1", "p2", "p3"), "node").withColumn("with_hub", F.when(F.col("node") == F.col("hub_node"), F.col("n")).otherwise(F.col("same")))
+    more = settle(_overlaps(_apart(rest.withColumn("beyond", F.col("n") - F.col("own") - F.col("with_hub")), paired), nodes).where("linked").select("u", "v"))
     return named, components(links.unionByName(more))
 
 
