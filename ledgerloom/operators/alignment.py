@@ -1,13 +1,19 @@
 """Matching commitments with verified suppliers: weighted fit of sector, capability terms, tier and ownership; best matches.
 
-Every verified supplier is a candidate for every procurement commitment, but no pair is made that can't matter. A fit
-depends on a commitment through its sector and its terms alone, so commitments with the same of both are one demand.
-Demands meet suppliers by shared terms (postings, BM25); for suppliers without a shared term only tier, ownership and
-sector count, so the best few of each sector and of all stand for the rest. The best of both are the exact best.
+Every verified supplier is a candidate for every procurement commitment, but few pairs are made. Commitments with the same
+sector and terms are one demand. Terms are told apart by how many suppliers have them. Rare ones (MOST_RARE suppliers at
+most) are looked up: few pairs each. Frequent ones make classes: suppliers with the same sector, length and frequent terms
+have the same relevance to all demands with the same sector and frequent terms (a signature), so signatures meet classes, of
+which only the best few members by tier and ownership can matter. Of these a signature keeps the suppliers that fewer than
+``top`` others beat in both relevance and the rest of the fit; whatever a demand's rare terms do to the scale of relevance,
+its best matches are among those and the suppliers with a rare term in common. So the pairs of a demand don't grow with the
+pool, and a stream can match new commitments against the pool's kept tables.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +24,7 @@ from ledgerloom.sources.views import oracle, table
 WEIGHTS = (0.45, 0.25, 0.2, 0.1)
 TIERS = {"nation_certified": 1.0, "ccib_certified": 0.9, "self_declared": 0.4}
 LEAST, TOP = 0.5, 5
+MOST_RARE = 16  # suppliers with a term that is looked up
 #: Keyword to sector, the first hit wins.
 SECTORS = (("auto", "transport"), ("build", "construction"), ("furni", "retail"), ("machin", "manufacturing"), ("house", "services"))
 
@@ -37,49 +44,104 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("supplier_id", "sector", F.concat_ws(" ", "supplier_name", "sector", "region", F.replace("tier", F.lit("_"), F.lit(" "))).alias("text"), (WEIGHTS[2] * tier + WEIGHTS[3] * own).alias("fixed"), "tier", "ownership_pct")
 
 
-def demands(rows: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Commitments (id, sector, text, ...) with the hash of their demand, and the demands (demand, sector, terms).
+class Pool(NamedTuple):
+    """Tables of verified suppliers that demands are matched with."""
 
-    Terms that no supplier has don't tell demands apart.
-    """
-    known = pool.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
-    terms = rows.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(known, "term").groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # a commitment's own words
-    rows = rows.join(terms, "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).withColumn("demand", F.xxhash64("sector", "terms"))
-    return rows.drop("terms"), rows.groupBy("demand").agg(F.min("sector").alias("sector"), F.min("terms").alias("terms"))
+    terms: DataFrame  # term, rare
+    rare: DataFrame  # term, supplier_id, part: the term's share of BM25
+    class_terms: DataFrame  # class, term, part
+    members: DataFrame  # supplier_id, class, sector, fixed
+    tops: DataFrame  # class, supplier_id, sector, fixed: the best few members
+    anyone: DataFrame  # supplier_id, sector, fixed: the best few of each sector and of all
 
 
-def relevance(wanted: DataFrame, pool: DataFrame) -> DataFrame:
-    """(demand, supplier_id, relevance): BM25 of every supplier with a common term over the best of the demand's."""
-    words = pool.select("supplier_id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+def pooled(pool: DataFrame, top: int = TOP, most_rare: int = MOST_RARE) -> Pool:
+    """pool (supplier_id, sector, text, fixed) -> its tables."""
+    words = pool.select("supplier_id", "sector", "fixed", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
     sizes = words.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     postings = words.select("supplier_id", "dl", F.explode("w").alias("term")).groupBy("supplier_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes)).select("term", idf.alias("idf"), "avgdl")
+    terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes)).select("term", (F.col("df") <= most_rare).alias("rare"), idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = wanted.select("demand", F.explode("terms").alias("term")).join(weights, "term").join(postings, "term").groupBy("demand", "supplier_id").agg(F.sum(part).alias("score"))
-    most = hits.groupBy("demand").agg(F.max("score").alias("most"))
-    return hits.join(most, "demand").select("demand", "supplier_id", F.round(F.col("score") / F.col("most"), 9).alias("relevance"))
-
-
-def scored(wanted: DataFrame, pool: DataFrame, top: int = TOP) -> DataFrame:
-    """(demand, supplier_id, sector_match, relevance, score) of all suppliers with a common term, and of the best others."""
-    near = relevance(wanted, pool)
-    best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("fixed"), "supplier_id")
-    own = pool.select("supplier_id", "sector", "fixed").withColumn("r", F.row_number().over(best("sector"))).where(F.col("r") <= top).drop("r")
-    overall = pool.select("supplier_id").join(pool.select("supplier_id", "fixed").orderBy(F.desc("fixed"), "supplier_id").limit(top), "supplier_id")
-    others = wanted.join(own, "sector").select("demand", "supplier_id").unionByName(wanted.select("demand").join(F.broadcast(overall.select("supplier_id"))))  # top rows
-    rows = others.distinct().join(near, ["demand", "supplier_id"], "full").join(wanted.select("demand", F.col("sector").alias("wants")), "demand").join(pool.select("supplier_id", "sector", "fixed"), "supplier_id")
-    match, found = F.col("sector") == F.col("wants"), F.coalesce("relevance", F.lit(0.0))
+    weighed = postings.join(terms, "term").select("supplier_id", "term", "tf", "dl", "rare", part.alias("part"))
+    common = F.array_sort(F.collect_list(F.when(~F.col("rare"), F.concat_ws(":", "term", "tf"))))  # a supplier's own words
+    shape = words.select("supplier_id", "sector", "fixed", "dl").join(weighed.groupBy("supplier_id").agg(common.alias("common")), "supplier_id", "left")
+    members = shape.select("supplier_id", F.xxhash64("sector", "dl", "common").alias("class"), "sector", "fixed")
+    class_terms = weighed.where("NOT rare").join(members.select("supplier_id", "class"), "supplier_id").groupBy("class", "term").agg(F.max("part").alias("part"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("fixed"), "supplier_id"))
+    tops = members.withColumn("r", first("class")).where(F.col("r") <= top).drop("r")
+    own = members.withColumn("r", first("sector")).where(F.col("r") <= top).drop("r", "class")
+    overall = members.drop("class").orderBy(F.desc("fixed"), "supplier_id").limit(top)
+    return Pool(terms.select("term", "rare"), weighed.where("rare").select("term", "supplier_id", "part"), class_terms, members, tops, own.unionByName(overall).distinct())
+
+
+def demands(rows: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Commitments (id, sector, text, ...) with the hash of their demand, and the demands (demand, sector, terms).
+
+    Terms that no supplier has don't tell demands apart.
+    """
+    known = rows.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(terms.select("term"), "term")
+    known = known.groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # a commitment's own words
+    rows = rows.join(known, "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).withColumn("demand", F.xxhash64("sector", "terms"))
+    return rows.drop("terms"), rows.groupBy("demand").agg(F.min("sector").alias("sector"), F.min("terms").alias("terms"))
+
+
+def unbeaten(rows: DataFrame, top: int = TOP) -> DataFrame:
+    """rows (sig, supplier_id, rest, part) -> those that fewer than top others beat in both; rests closer than what rounding may
+    turn round don't beat each other."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("less"), (-F.col("rest")).alias("lower"), "supplier_id", "rest", "part")))
+    start = F.struct(F.array().cast("array<double>").alias("best"), F.array().cast("array<struct<supplier_id:bigint,part:double>>").alias("kept"))
+
+    def step(acc, r):
+        held = (F.size(acc["best"]) < top) | (r["rest"] > F.element_at(acc["best"], -1) - 2e-6)
+        best = F.slice(F.sort_array(F.concat(acc["best"], F.array(r["rest"])), asc=False), 1, top)
+        kept = F.concat(acc["kept"], F.array(F.struct(r["supplier_id"].alias("supplier_id"), r["part"].alias("part"))))
+        return F.when(held, F.struct(best.alias("best"), kept.alias("kept"))).otherwise(acc)
+
+    kept = rows.groupBy("sig").agg(F.aggregate(ordered, start, step)["kept"].alias("kept"))  # a few members of each class
+    return kept.select("sig", F.explode("kept").alias("k")).select("sig", "k.supplier_id", "k.part")
+
+
+def scored(wanted: DataFrame, pool: Pool, top: int = TOP) -> DataFrame:
+    """demands -> (demand, supplier_id, sector_match, relevance, score) of the suppliers that can be among the best ``top``."""
+    asked = wanted.select("demand", "sector", F.explode_outer("terms").alias("term")).join(pool.terms, "term", "left")
+    signed = asked.groupBy("demand", "sector").agg(F.array_sort(F.collect_list(F.when(~F.col("rare"), F.col("term")))).alias("frequent")).withColumn("sig", F.xxhash64("sector", "frequent"))
+    sigs = signed.groupBy("sig").agg(F.min("sector").alias("wants"), F.min("frequent").alias("frequent"))
+    common = sigs.select("sig", F.explode("frequent").alias("term")).join(pool.class_terms, "term").groupBy("sig", "class").agg(F.sum("part").alias("part"))
+    members = common.join(pool.tops.select("class", "supplier_id"), "class").select("sig", "supplier_id", "part")
+    others = sigs.join(F.broadcast(pool.anyone), F.lit(True)).select("sig", "supplier_id", F.lit(0.0).alias("part"))  # top rows of each sector
+    able = members.unionByName(others).groupBy("sig", "supplier_id").agg(F.max("part").alias("part"))
+    facts = pool.members.select("supplier_id", F.col("sector").alias("has"), "fixed")
+    rest = WEIGHTS[0] * (F.col("has") == F.col("wants")).cast("double") + F.col("fixed")
+    kept = unbeaten(able.join(facts, "supplier_id").join(sigs.select("sig", "wants"), "sig").select("sig", "supplier_id", rest.alias("rest"), "part"), top)
+    of_sig = signed.select("demand", "sig").join(kept, "sig").select("demand", "supplier_id", "part", F.lit(0.0).alias("rare_part"))
+    looked_up = asked.where("rare").select("demand", "term").join(pool.rare, "term").groupBy("demand", "supplier_id").agg(F.sum("part").alias("rare_part"))
+    looked_up = looked_up.join(signed.select("demand", "sig"), "demand").join(pool.members.select("supplier_id", "class"), "supplier_id").join(common, ["sig", "class"], "left")
+    pairs = of_sig.unionByName(looked_up.select("demand", "supplier_id", F.coalesce("part", F.lit(0.0)).alias("part"), "rare_part"))
+    pairs = pairs.groupBy("demand", "supplier_id").agg((F.max("part") + F.max("rare_part")).alias("bm25"))
+    most = signed.select("demand", "sig", F.col("sector").alias("wants")).join(common.groupBy("sig").agg(F.max("part").alias("common")), "sig", "left").join(pairs.groupBy("demand").agg(F.max("bm25").alias("best")), "demand", "left")
+    most = most.select("demand", "wants", F.greatest(F.coalesce("common", F.lit(0.0)), F.coalesce("best", F.lit(0.0))).alias("most"))
+    rows = pairs.join(most, "demand").join(facts, "supplier_id")
+    match, found = F.col("has") == F.col("wants"), F.when(F.col("most") > 0, F.round(F.col("bm25") / F.col("most"), 9)).otherwise(0.0)
     score = WEIGHTS[0] * match.cast("double") + WEIGHTS[1] * found + F.col("fixed")
     return rows.select("demand", "supplier_id", match.alias("sector_match"), found.alias("relevance"), F.round(score, 6).alias("score"))
 
 
+def procurement(rows: DataFrame) -> DataFrame:
+    """Commitments that suppliers can answer, with the text that says what is asked."""
+    return rows.where("type = 'procurement'").select("id", "org_name", "sector", F.concat_ws(" ", "title", "sector", "region").alias("text"))
+
+
+def matched(rows: DataFrame, pool: Pool) -> tuple[DataFrame, DataFrame]:
+    """Commitments by demand, and scored candidates."""
+    rows, wanted = demands(rows, pool.terms)
+    return rows, scored(wanted, pool)
+
+
 def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Commitments by demand, scored candidates, suppliers."""
     pool = suppliers(spark, sf_dir)
-    rows = table(spark, sf_dir, "commitment").where("type = 'procurement'").select("id", "org_name", "sector", F.concat_ws(" ", "title", "sector", "region").alias("text"))
-    rows, wanted = demands(rows, pool)
-    return rows, scored(wanted, pool), pool
+    return *matched(procurement(table(spark, sf_dir, "commitment")), pooled(pool)), pool
 
 
 def best_matches(candidates: DataFrame, least: float = LEAST, top: int = TOP) -> DataFrame:

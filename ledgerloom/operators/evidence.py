@@ -26,7 +26,7 @@ def located(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     the first of two chunks in a row that do together; null if none. chunks: doc_id, para, text (normalised like quotes)."""
     after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("para"))
     held = chunks.select("doc_id", "para", "text", F.concat_ws(" ", "text", after).alias("pair"))
-    rows = quotes.join(held, "doc_id").where(F.contains("pair", "quote"))
+    rows = quotes.select("doc_id", "claim", "quote", "cited").join(held, "doc_id").where(F.contains("pair", "quote"))
     way = F.when(F.contains("text", "quote"), F.when(F.col("para") == F.col("cited"), 0).otherwise(1)).otherwise(2)
     found = rows.groupBy("doc_id", "claim").agg(F.min(F.struct(way.alias("way"), "para")).alias("best"))
     return quotes.join(found, ["doc_id", "claim"], "left").select(*quotes.columns, F.col("best.para").alias("para"), F.when(F.col("best.way") == 0, "cited").when(F.col("best.way") == 1, "any").when(F.col("best.way") == 2, "adjacent").alias("way"))

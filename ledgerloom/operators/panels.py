@@ -13,14 +13,11 @@ from ledgerloom.functions.ranking import ranked_by_buckets
 from ledgerloom.functions.rules import wilson_clamped
 from ledgerloom.functions.scalars import ratio
 from ledgerloom.operators.evaluation import sign_tail
-from ledgerloom.operators.retrieval import questions, tokens
+from ledgerloom.operators.retrieval import questions
+from ledgerloom.operators.search import GENERIC, routed
 from ledgerloom.sources.views import oracle, table
 
 VERDICTS, LABELS = ("supported", "overstated", "contradicted", "unrelated"), ("entailment", "neutral", "contradiction")
-#: Courts that citations name, and words that name no case.
-COURTS = "SCC SCR FCA FC BCCA BCSC ONCA ONSC NSCA NSSC ABCA ABQB SKCA MBCA QCCA QCCS YKCA NLCA PECA TCC CHRT".split()
-GENERIC = "canada the queen king r v c attorney general minister first nation nations band her his majesty of and re".split()
-MOST_NAME_WORDS = 5
 
 
 def confusion_cells(rows: DataFrame, *keys: str) -> DataFrame:
@@ -116,25 +113,12 @@ def record_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("supplier_id", "line_id", F.to_json(F.struct("line_id", "status", "withdrawn", "period")).alias("json"))
 
 
-def routed(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """queries (query_id, text) with reason and use_dense: citations, and words that stand in a row in a case's name (names: text),
-    need no vectors."""
-    cited = F.col("text").rlike(rf"(?i)\b\d{{4}}\s+(?:{'|'.join(COURTS)})\s+\d+\b|\[\d{{4}}\]\s+\d+\s+s\.?\s?c\.?\s?r\.?\s+\d+|\b\d{{4}}-[a-z]{{2,6}}-\d+\b")
-    w = tokens(F.col("text"))
-    asked = queries.select("query_id", cited.alias("cited"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("q"), (F.size(w).between(1, MOST_NAME_WORDS) & F.exists(w, lambda t: ~t.isin(GENERIC))).alias("short"))
-    known = names.select(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("name"), F.explode(F.array_distinct(w)).alias("word"))
-    hits = asked.where("short AND NOT cited").select("query_id", "q", F.split(F.trim("q"), " ")[0].alias("word")).join(known, "word").where(F.contains("name", "q")).select("query_id", F.lit(True).alias("named")).distinct()
-    rows = asked.join(hits, "query_id", "left")
-    reason = F.when(F.col("cited"), "citation").when(F.col("named"), "case_name").otherwise("semantic")
-    return rows.select("query_id", reason.alias("reason"), (reason == "semantic").alias("use_dense"))
-
-
 def query_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated queries of every kind against the opening words of all documents as names."""
+    """Stated queries of every kind against the first lines of all documents as names."""
     q = questions(spark, sf_dir)
-    first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    first, name = F.array_join(F.slice(F.split("text", " "), 1, 3), " "), F.split("text", "\n")[0].alias("text")
     text = F.when(F.col("query_id") % 4 == 0, F.concat(F.lit("see 2014 scc "), F.col("query_id").cast("string"))).when(F.col("query_id") % 4 == 1, first).when(F.col("query_id") % 4 == 2, "the of and").otherwise(F.col("text"))
-    return routed(q.select("query_id", text.alias("text")), table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 60).alias("text")).unionByName(table(spark, sf_dir, "documents").select(F.substring("text", 1, 60).alias("text"))))
+    return routed(q.select("query_id", text.alias("text")), table(spark, sf_dir, "benchmark").select(name).unionByName(table(spark, sf_dir, "documents").select(name)))
 
 
 QUERIES = {f.__name__: f for f in (probe_confusion, pair_adjudication, seeded_split, theme_panel, record_facets, any_of_filter, record_bundles, query_routes)}
@@ -159,7 +143,7 @@ ORACLE_SQL = {
     "any_of_filter": oracle("SELECT doc_id, level FROM record WHERE tier = 'core' AND (win_type = 'won' OR n_chars > 1000) AND (lang = 'en' OR source = 'en')", "record"),
     "record_bundles": oracle("SELECT supplier_id, line_id, printf('{\"line_id\":\"%s\",\"status\":\"%s\",\"withdrawn\":%s,\"period\":%d}', line_id, status, CASE WHEN withdrawn THEN 'true' ELSE 'false' END, period) AS json FROM line WHERE supplier_id % 5 = 0", "line"),
     "query_routes": f"""WITH q AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'see 2014 scc ' || item_id WHEN 1 THEN array_to_string(string_split(text, ' ')[:3], ' ') WHEN 2 THEN 'the of and' ELSE text END AS text FROM benchmark),
-        n AS (SELECT ' ' || {_W.format("substr(text, 1, 60)")} || ' ' AS name FROM benchmark UNION ALL SELECT ' ' || {_W.format("substr(text, 1, 60)")} || ' ' FROM documents), w AS (SELECT query_id, {_W.format("text")} AS w FROM q),
+        n AS (SELECT ' ' || {_W.format("string_split(text, chr(10))[1]")} || ' ' AS name FROM benchmark UNION ALL SELECT ' ' || {_W.format("string_split(text, chr(10))[1]")} || ' ' FROM documents), w AS (SELECT query_id, {_W.format("text")} AS w FROM q),
         r AS (SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'citation' WHEN w <> '' AND len(string_split(w, ' ')) <= 5 AND len(list_filter(string_split(w, ' '), lambda x: x NOT IN ({", ".join(f"'{g}'" for g in GENERIC)}))) > 0 AND EXISTS (SELECT 1 FROM n WHERE contains(name, ' ' || w || ' ')) THEN 'case_name' ELSE 'semantic' END AS reason FROM w)
         SELECT query_id, reason, reason = 'semantic' AS use_dense FROM r""",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.views import table
 
 K1, B, RRF_K, TOP = 1.2, 0.75, 60, 10
-HEAD, HEAD_SHARE = 200, 4
+HEAD = 200
 MOST_SENT = 200_000
 
 
@@ -160,26 +160,40 @@ def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(_pairs(spark, sf_dir).select("query_id", "vec_id", hamming().alias("distance")), -F.col("distance"), "vec_id", TOP)
 
 
-def two_stage(pairs: DataFrame, n_vectors: int, k: int = TOP, head: int | None = None) -> DataFrame:
-    """All vectors of each query in the order of their sign bits' distance, the nearest ``head`` of them reordered by 8-bit
-    dot product and the tail left after them; the first k.
+def two_stage(pairs: DataFrame, k: int = TOP, head: int = HEAD) -> DataFrame:
+    """The k best by 8-bit dot product of each query, looked for among the nearest by sign bits first.
 
-    With so few sign bits the nearest by bits must be many: a quarter of the vectors, HEAD at least.
+    Distances are small whole numbers, so a count of each (query, distance) tells the distance within which ``head`` vectors
+    lie; no vector is sorted. A vector further away disagrees with the query in more signs, and each disagreement costs a
+    product: its score is at most the longest vector's length times the root of the query's largest squares that are left.
+    Where the k-th best of the head isn't above that, the head wasn't enough and the query's other vectors are scored too.
     """
-    head = head or max(HEAD, n_vectors // HEAD_SHARE)
-    placed = pairs.withColumn("distance", hamming()).select("query_id", "vec_id", "distance", dot("q8", "qq").cast("long").alias("score"))
-    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
-    inside = F.col("place") <= head
-    w = Window.partitionBy("query_id").orderBy(F.desc(inside), F.desc(F.when(inside, F.col("score"))), F.when(~inside, F.col("place")), "vec_id")
-    return placed.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    near = pairs.withColumn("distance", hamming())
+    counted = near.groupBy("query_id", "distance").agg(F.count("*").alias("n"))
+    reached = F.sum("n").over(Window.partitionBy("query_id").orderBy("distance"))  # one row a distance
+    bound = counted.withColumn("reached", reached).groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("reached") >= head, F.col("distance"))), F.max("distance")).alias("bound"))
+    square = lambda c: F.transform(c, lambda x: (x * x).cast("long"))
+    longest = pairs.agg(F.max(F.aggregate(square("q8"), F.lit(0).cast("long"), lambda a, x: a + x)).alias("longest"))  # one row
+    score = dot("q8", "qq").cast("long").alias("score")
+    inside = near.join(bound, "query_id").where("distance <= bound").select("query_id", "vec_id", score)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    first = inside.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("found"))
+    left = F.aggregate(F.expr("slice(squares, cast(bound as int) + 2, 64)"), F.lit(0).cast("long"), lambda a, x: a + x)
+    asked = pairs.select("query_id", F.array_sort(square("qq")).alias("squares")).groupBy("query_id").agg(F.max("squares").alias("squares"))
+    most = asked.join(bound, "query_id").join(F.broadcast(longest)).select("query_id", "bound", F.sqrt(F.col("longest") * left).alias("most"))
+    unsure = most.join(kth, "query_id", "left").where(F.coalesce((F.col("kth") <= F.col("most")) | (F.col("found") < k), F.lit(True))).select("query_id", "bound")
+    outside = near.join(unsure, "query_id").where("distance > bound").select("query_id", "vec_id", score)
+    rows = first.select("query_id", "vec_id", "score").unionByName(outside)
+    return rows.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
 def _two_stage(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    return two_stage(_pairs(spark, sf_dir), table(spark, sf_dir, "embeddings").count(), k)
+    return two_stage(_pairs(spark, sf_dir), k)
 
 
 def two_stage_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest by sign bits, then 8-bit dot product."""
+    """The ten best by 8-bit dot product, by way of sign bits."""
     return _two_stage(spark, sf_dir).select("query_id", "vec_id", "score", "rank")
 
 
@@ -187,9 +201,8 @@ def quant_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 10 and 50 of the binary and of the two-stage lists against the exact one, and how many of the exact ten the
     binary head holds."""
     rows = _pairs(spark, sf_dir).withColumn("score", F.round(dot("v", "qv"), 6)).withColumn("distance", hamming())
-    n = table(spark, sf_dir, "embeddings").count()
     lists = {
-        "binary": ranked(rows.select("query_id", "vec_id", "distance"), -F.col("distance"), "vec_id", max(HEAD, n // HEAD_SHARE)),
+        "binary": ranked(rows.select("query_id", "vec_id", "distance"), -F.col("distance"), "vec_id", HEAD),
         "two_stage": _two_stage(spark, sf_dir, 50),
     }
     exact = ranked(rows.select("query_id", "vec_id", "score"), F.col("score"), "vec_id", 50, "wanted").select("query_id", "vec_id", "wanted")
@@ -231,8 +244,8 @@ list_transform(v, lambda x: CAST(greatest(-127, least(127, floor(x * 127 + 0.5))
 pairs AS (SELECT q.vec_id AS query_id, p.vec_id, round(list_sum(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2])), 6) AS score, bit_count(xor(p.w0, q.w0)) + bit_count(xor(p.w1, q.w1)) AS distance,
 CAST(list_sum(list_transform(list_zip(p.q8, q.q8), lambda z: z[1] * z[2])) AS BIGINT) AS small FROM packed p JOIN packed q ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
 exact AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 10),
-near AS (SELECT query_id, vec_id, CAST(distance AS BIGINT) AS distance, small, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM pairs QUALIFY place <= greatest(200, (SELECT count(*) FROM embeddings) // 4)),
-two AS (SELECT query_id, vec_id, small AS score, row_number() OVER (PARTITION BY query_id ORDER BY small DESC, vec_id) AS rank FROM near QUALIFY rank <= 50) """
+near AS (SELECT query_id, vec_id, CAST(distance AS BIGINT) AS distance, small, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM pairs QUALIFY place <= 200),
+two AS (SELECT query_id, vec_id, small AS score, row_number() OVER (PARTITION BY query_id ORDER BY small DESC, vec_id) AS rank FROM pairs QUALIFY rank <= 50) """
 QUERIES = {f.__name__: f for f in (
     tokenize, postings, bm25_topk, rrf_fusion, hybrid_case_rank, pool_candidates, bm25_pool_normalized, route_query, dense_exact_topk, sign_binarize, int8_quantize, hamming_topk, two_stage_dense, quant_fidelity, ndcg_by_label,
 )}

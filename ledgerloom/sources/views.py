@@ -59,12 +59,14 @@ VIEWS = {
 SOURCES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A source or domain table."""
+def table(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A source or domain table; given frames stand for the tables of their names (a stream's batch, say)."""
+    if name in given:
+        return given[name]
     if name in SOURCES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needs, select = VIEWS[name]
-    return spark.sql(" ".join(_named(select, needs)), **{n: table(spark, sf_dir, n) for n in needs})
+    return spark.sql(" ".join(_named(select, needs)), **{n: table(spark, sf_dir, n, **given) for n in needs})
 
 
 def _named(select: str, needs: tuple[str, ...]) -> list[str]:

@@ -90,16 +90,27 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted(rollup(event_stream(spark, sf_dir)), ["user_id"]).select("user_id", "observations", F.col("last_at").cast("timestamp_ntz").alias("last_at"), "status")
 
 
+def kept_pool(spark: SparkSession, sf_dir: str, folder: str) -> alignment.Pool:
+    """The suppliers' tables, written once in the shared folder and read by every micro-batch."""
+    tables = alignment.pooled(alignment.suppliers(spark, sf_dir))
+    for name, rows in tables._asdict().items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return alignment.Pool(*[spark.read.parquet(f"{folder}/{name}") for name in tables._fields])
+
+
+def matches_of(batch: DataFrame, pool: alignment.Pool, sf_dir: str) -> DataFrame:
+    """A batch of orders -> the best matches of its commitments: only theirs are made. One without matches has a row of nulls."""
+    commitments = table(batch.sparkSession, sf_dir, "commitment", orders=batch)
+    rows, candidates = alignment.matched(alignment.procurement(commitments), pool)
+    found = rows.select("id", "demand").join(alignment.best_matches(candidates), "demand").select("id", "supplier_id", "score", "rank")
+    return batch.select(F.col("o_orderkey").alias("id")).distinct().join(found, "id", "left")
+
+
 def stream_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of commitments as they are written: each one's set is computed anew and takes the place of the one before."""
     names = "id long, supplier_id long, score double, rank long"
-
-    def matched(batch: DataFrame) -> DataFrame:
-        ids = batch.select(F.col("o_orderkey").alias("id")).distinct()
-        found = alignment.opportunities(spark, sf_dir).select("id", "supplier_id", "score", "rank")
-        return ids.join(found, "id", "left")  # a commitment without matches writes a row of nulls, which prunes old ones
-
-    return upserted(file_stream(spark, sf_dir, "orders"), ["id"], matched, f"{names}, batch long", "append").where("supplier_id IS NOT NULL")
+    pool = kept_pool(spark, sf_dir, f"{shared_folder(spark)}/pool-{uuid.uuid4().hex}")
+    return upserted(file_stream(spark, sf_dir, "orders"), ["id"], lambda batch: matches_of(batch, pool, sf_dir), f"{names}, batch long", "append").where("supplier_id IS NOT NULL")
 
 
 def refusals(rows: DataFrame, most: int = 3, seconds: int = 86_400) -> DataFrame:
