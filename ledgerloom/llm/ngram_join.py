@@ -28,24 +28,33 @@ gives an empty result; texts of any length are taken whole. Shingles and sets ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import documents, groups, partitions, settle, slices, whole_text
 from ledgerloom.llm.components import components
+from ledgerloom.llm.simhash import BKTree
 
-WORDS, LIKE = 4, 85  # words a shingle; per cent of the union
 BLOCK, OFTEN, PAIRED = 1 << 20, 64, 1024  # shingles a block; documents of a block that make a shingle a count; members a block of pairs
 KEPT_WORDS = 1 << 20
 BITMAP = 1 << 24
 KEY_BITS = 48
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SCRAMBLES = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+class Rule(NamedTuple):
+    """What links: words a shingle, per cent of the union, and (if not none) the most bits in which SimHashes may differ."""
+
+    words: int = 4
+    like: int = 85
+    radius: int | None = None
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(_SCRAMBLES[0])
     x = (x ^ (x >> np.uint64(27))) * np.uint64(_SCRAMBLES[1])
@@ -55,8 +64,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts; remembers the hashes of words."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __init__(self, words: int) -> None:
+        self.known, self.size = {}, words
 
     def __call__(self, text: str) -> np.ndarray:
         import xxhash
@@ -67,10 +76,18 @@ class Shingler:
         new = set(words).difference(known)
         known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(h) < WORDS:
+        if len(h) < self.size:
             return _mixed((h * _ODD[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))) if len(h) else h
-        n = len(h) - WORDS + 1
-        return np.unique(_mixed(sum((h[i : i + n] * _ODD[i] for i in range(1, WORDS)), h[:n] * _ODD[0])))
+        n = len(h) - self.size + 1
+        return np.unique(_mixed(sum((h[i : i + n] * _ODD[i] for i in range(1, self.size)), h[:n] * _ODD[0])))
+
+
+def simhash(shingles: np.ndarray) -> int:
+    """The bits that over half of the shingles' hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 4096):  # bounded memory for very long texts
+        ones += np.unpackbits(shingles[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -79,19 +96,19 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (null for an empty set), n."""
+def sets(docs: DataFrame, words: int, *more: Column) -> DataFrame:
+    """doc_id, text_hash, node (null for an empty set), n; and more columns if asked for."""
 
     @F.pandas_udf("struct<node: long, n: long>")
     def judged(texts: pd.Series) -> pd.DataFrame:
-        shingler = Shingler()
+        shingler = Shingler(words)
         found = [shingler(t) for t in texts]
         nodes = np.array([_node(s) if len(s) else 0 for s in found], np.uint64).view(np.int64)
         n = np.array([len(s) for s in found], np.int64)
         return pd.DataFrame({"node": nodes, "n": n})
 
-    named = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), judged(whole_text()).alias("s"))
-    return named.select("doc_id", "text_hash", F.when(F.col("s.n") > 0, F.col("s.node")).alias("node"), F.col("s.n").alias("n"))
+    named = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), judged(whole_text()).alias("s"), *more)
+    return named.select("doc_id", "text_hash", F.when(F.col("s.n") > 0, F.col("s.node")).alias("node"), F.col("s.n").alias("n"), *[c for c in named.columns if c not in ("doc_id", "text_hash", "s")])
 
 
 # Packed blocks. A row is (part, block, keys, refs, often, counts): a sorted run of keys with the places of their documents
@@ -135,11 +152,11 @@ def _block_rows(block: int, found: list[np.ndarray], nodes: list[int], parts: in
     return pd.DataFrame(rows, columns=["part", "block", "keys", "refs", "often", "counts"])
 
 
-def _blocks(docs: DataFrame, parts: int, most: int) -> DataFrame:
+def _blocks(docs: DataFrame, parts: int, most: int, words: int) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        shingler, block = Shingler(), TaskContext.get().partitionId() << 24
+        shingler, block = Shingler(words), TaskContext.get().partitionId() << 24
         held: dict[int, np.ndarray] = {}
         total = 0
         for pdf in batches:
@@ -185,7 +202,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["part", "block", "keys", "refs", "often", "counts"])
 
 
-def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _prefixes(batches: Iterator[pd.DataFrame], like: int) -> Iterator[pd.DataFrame]:
     """Rows of one block each -> node, n, own (shingles of no other document) and three prefixes of its shared shingles."""
     for rows in groups(batches, ["block"]):
         own, rest = rows[rows["part"] < 0].iloc[0], rows[rows["part"] >= 0]
@@ -202,7 +219,7 @@ def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, refs = np.concatenate([keys, pairs]), np.concatenate([refs, np.frombuffer(own["counts"], np.uint16)])
             frequency = np.concatenate([frequency, often_of[order][np.searchsorted(often[order], pairs)]])
         shared = np.bincount(refs, minlength=len(nodes))
-        slots = shared - -(-LIKE * sizes // 100) + 1
+        slots = shared - -(-like * sizes // 100) + 1
         fits = slots[refs] > 0
         keys, refs, frequency = keys[fits], refs[fits], frequency[fits]
         if not len(keys):
@@ -217,16 +234,16 @@ def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": nodes[some], "n": sizes[some], "own": (sizes - shared)[some]} | {f"p{i}": p for i, p in enumerate(prefixes, 1)})
 
 
-def prefixes(docs: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
+def prefixes(docs: DataFrame, parts: int, block: int, rule: Rule) -> DataFrame:
     """node, n, own, p1, p2, p3 of every node that can have a link at all."""
-    ranges = _blocks(docs, parts, block).repartition("part").sortWithinPartitions("part")
+    ranges = _blocks(docs, parts, block, rule.words).repartition("part").sortWithinPartitions("part")
     back = ranges.mapInPandas(_shared, PACKED).repartition("block").sortWithinPartitions("block")
-    found = back.mapInPandas(_prefixes, "node long, n long, own long, p1 array<long>, p2 array<long>, p3 array<long>")
+    found = back.mapInPandas(lambda batches: _prefixes(batches, rule.like), "node long, n long, own long, p1 array<long>, p2 array<long>, p3 array<long>")
     return settle(found.dropDuplicates(["node"]))
 
 
-def _whole_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles of the wanted nodes, from one text each."""
+def _whole_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """node, shingles (and SimHash if the rule asks for it) of the wanted nodes, from one text each."""
     texts = settle(named.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(wanted, "node", "left_semi"))
     at = F.pmod("text_hash", F.lit(BITMAP))
     words = texts.select((at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
@@ -240,51 +257,66 @@ def _whole_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFra
         h = hashes.to_numpy() % BITMAP
         return pd.Series((bitmap.value[h // 64] >> (h % 64)) & 1 == 1)
 
-    @F.pandas_udf("array<long>")
-    def shingled(texts: pd.Series) -> pd.Series:
-        shingler = Shingler()
-        return pd.Series([shingler(t).view(np.int64) for t in texts])
+    @F.pandas_udf("struct<shingles: array<long>, simhash: long>")
+    def shingled(texts: pd.Series) -> pd.DataFrame:
+        shingler = Shingler(rule.words)
+        found = [shingler(t) for t in texts]
+        prints = np.array([0 if rule.radius is None else simhash(s) for s in found], np.uint64).view(np.int64)
+        return pd.DataFrame({"shingles": [s.view(np.int64) for s in found], "simhash": prints})
 
     found = docs.select(whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_hash")).where(may("text_hash"))
     found = found.join(texts, "text_hash").dropDuplicates(["node"])
-    return settle(found.select("node", shingled("text").alias("shingles")))
+    return found.select("node", shingled("text").alias("s")).select("node", "s.*")
 
 
-def _overlaps(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose prefixes overlap under the other orders, with the size of the sets' overlap and whether they link."""
+def _overlaps(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (u, v) whose prefixes overlap under the other orders (and whose SimHashes are near if the rule asks for it), with the
+    size of the sets' overlap and whether they link."""
     for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "p2", "p3", "shingles")]), end)
-    pairs = pairs.where(F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v")).withColumn("same", F.size(F.array_intersect("shingles_u", "shingles_v")))
-    return pairs.select("u", "v", "same", ((100 + LIKE) * F.col("same") >= LIKE * (F.col("n_u") + F.col("n_v"))).alias("linked"))
-
-
-def _long_enough(n, m):
-    return 100 * F.least(n, m) >= LIKE * F.greatest(n, m)
-
-
-def _apart(postings: DataFrame, paired: int) -> DataFrame:
-    """Pairs (u, v) of members of one list in different components that share a prefix under every order and that their overlaps
-    with the list's hub don't rule out: two sets share at most the smaller of what each shares with the hub, and the smaller
-    of what each shares with other documents beyond the hub."""
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "p2", "p3", "shingles", "simhash")]), end)
+    pairs = pairs.where(F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v"))
+    if rule.radius is not None:
+        pairs = pairs.where(F.bit_count(F.col("simhash_u").bitwiseXOR(F.col("simhash_v"))) <= rule.radius)
+    pairs = pairs.withColumn("same", F.size(F.array_intersect("shingles_u", "shingles_v")))
+    return pairs.select("u", "v", "same", ((100 + rule.like) * F.col("same") >= rule.like * (F.col("n_u") + F.col("n_v"))).alias("linked"))
+
+
+def _apart(postings: DataFrame, paired: int, rule: Rule) -> DataFrame:
+    """Pairs (u, v) of members of one list with different roots that share a prefix under every order and that their overlaps with
+    the list's hub don't rule out: two sets share at most the smaller of what each shares with the hub, and the smaller of
+    what each shares with other documents beyond the hub. With a radius, a block's SimHashes are a BK-tree, and a member's
+    partners are those that the tree finds."""
     lists = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", F.ceil(F.col("members") / paired).cast("int").alias("blocks"))
     members = postings.join(lists, "key").withColumn("i", F.pmod(F.hash("node"), F.col("blocks")))
     dealt = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", "n", "with_hub", "beyond", "p1", "p2", "p3")
+    dealt = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", "n", "with_hub", "beyond", "simhash", "p1", "p2", "p3")
+    like = rule.like
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches, ["key", "low", "high"]):
             key, low, high = (rows[c].iloc[0] for c in ("key", "low", "high"))
             node, root, n, i = (rows[c].to_numpy() for c in ("node", "root", "n", "i"))
             with_hub, beyond = (rows[c].to_numpy(float) for c in ("with_hub", "beyond"))  # not a number where not measured
-            first = [p[:k] for p, k in ((p.tolist(), p.tolist().index(key)) for p in rows["p1"])]  # what comes before this key
-            before, p2, p3 = [set(p) for p in first], [set(p) for p in rows["p2"]], [set(p) for p in rows["p3"]]
+            before = [set(p[: p.index(key)]) for p in (p.tolist() for p in rows["p1"])]
+            p2, p3 = [set(p) for p in rows["p2"]], [set(p) for p in rows["p3"]]
+            tree, prints, alike = BKTree(), rows["simhash"].to_numpy(np.int64).view(np.uint64).tolist(), {}
+            for at, x in enumerate(prints if rule.radius is not None else ()):
+                if x not in alike:
+                    tree.add(x, at)
+                alike.setdefault(x, []).append(at)
             out = []
             for a in range(len(rows)):
-                fit = (root != root[a]) & (node > node[a]) & (100 * np.minimum(n, n[a]) >= LIKE * np.maximum(n, n[a]))
+                fit = (root != root[a]) & (node > node[a]) & (100 * np.minimum(n, n[a]) >= like * np.maximum(n, n[a]))
                 most = np.minimum(with_hub, with_hub[a]) + np.minimum(beyond, beyond[a])
-                fit &= ~((100 + LIKE) * most < LIKE * (n + n[a]))
+                fit &= ~((100 + like) * most < like * (n + n[a]))
                 if low != high:
                     fit &= i != i[a]
+                if not fit.any():
+                    continue
+                if rule.radius is not None:
+                    near = np.zeros(len(rows), bool)
+                    near[[at for first in tree.near(prints[a], rule.radius) for at in alike[prints[first]]]] = True
+                    fit &= near
                 for b in np.flatnonzero(fit).tolist():
                     if before[a].isdisjoint(before[b]) and not p2[a].isdisjoint(p2[b]) and not p3[a].isdisjoint(p3[b]):
                         out.append((node[a], node[b]))
@@ -295,26 +327,43 @@ def _apart(postings: DataFrame, paired: int) -> DataFrame:
     return placed.mapInPandas(pairs, "u long, v long")
 
 
-def joined(docs: DataFrame, block: int = BLOCK, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, node, n of every document; node, root of every node with a link but the roots)."""
-    named = settle(sets(docs))
-    found = prefixes(docs, 4 * partitions(docs.sparkSession), block)
+class Met(NamedTuple):
+    """Posting lists of two nodes and more, and what their members share with the lists' hubs."""
+
+    members: DataFrame  # key, node, n, hub
+    nodes: DataFrame  # node, n, own, p1, p2, p3, shingles, simhash
+    met: DataFrame  # u, v (the hub), same, linked
+
+
+def met_hubs(docs: DataFrame, named: DataFrame, rule: Rule, block: int = BLOCK) -> Met:
+    found = prefixes(docs, 4 * partitions(docs.sparkSession), block, rule)
     postings = found.select(F.explode("p1").alias("key"), "node", "n", "own")
     hub = F.min(F.struct("own", "node", "n")).alias("hub")
     lists = settle(postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), hub).where("a <> b").select("key", "hub"))
     members = settle(postings.join(lists, "key").select("key", "node", "n", "hub"))
-    able = members.select("node").distinct()
-    nodes = settle(found.join(_whole_sets(docs, named, able), "node"))
-    stars = members.where((F.col("node") != F.col("hub.node")) & _long_enough(F.col("n"), F.col("hub.n"))).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
-    met = settle(_overlaps(stars, nodes))
-    links = met.where("linked").select("u", "v")
-    rooted = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = settle(found.join(_whole_sets(docs, named, members.select("node").distinct(), rule), "node"))
+    long_enough = 100 * F.least(F.col("n"), F.col("hub.n")) >= rule.like * F.greatest(F.col("n"), F.col("hub.n"))
+    stars = members.where((F.col("node") != F.col("hub.node")) & long_enough).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
+    return Met(members, nodes, settle(_overlaps(stars, nodes, rule)))
+
+
+def links_apart(rooted: DataFrame, hubs: Met, rule: Rule, paired: int = PAIRED) -> DataFrame:
+    """Members with roots -> links (u, v) between members of one list with different roots."""
     several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    with_hub = met.select(F.col("u").alias("node"), F.col("v").alias("hub_node"), "same")
+    with_hub = hubs.met.select(F.col("u").alias("node"), F.col("v").alias("hub_node"), "same")
     rest = rooted.join(several, "key", "left_semi").select("key", "node", "n", "root", F.col("hub.node").alias("hub_node")).join(with_hub, ["node", "hub_node"], "left")
-    rest = rest.join(nodes.select("node", "own", "p1", "p2", "p3"), "node").withColumn("with_hub", F.when(F.col("node") == F.col("hub_node"), F.col("n")).otherwise(F.col("same")))
-    more = settle(_overlaps(_apart(rest.withColumn("beyond", F.col("n") - F.col("own") - F.col("with_hub")), paired), nodes).where("linked").select("u", "v"))
-    return named, components(links.unionByName(more))
+    rest = rest.join(hubs.nodes.select("node", "own", "simhash", "p1", "p2", "p3"), "node").withColumn("with_hub", F.when(F.col("node") == F.col("hub_node"), F.col("n")).otherwise(F.col("same")))
+    apart = _apart(rest.withColumn("beyond", F.col("n") - F.col("own") - F.col("with_hub")), paired, rule)
+    return settle(_overlaps(apart, hubs.nodes, rule).where("linked").select("u", "v"))
+
+
+def joined(docs: DataFrame, block: int = BLOCK, paired: int = PAIRED, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node, n of every document; node, root of every node with a link but the roots)."""
+    named = settle(sets(docs, rule.words))
+    hubs = met_hubs(docs, named, rule, block)
+    links = hubs.met.where("linked").select("u", "v")
+    rooted = hubs.members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return named, components(links.unionByName(links_apart(rooted, hubs, rule, paired)))
 
 
 def near_groups(docs: DataFrame, block: int = BLOCK, paired: int = PAIRED) -> DataFrame:
