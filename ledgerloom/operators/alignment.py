@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,11 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("supplier_id", "sector", F.concat_ws(" ", "supplier_name", "sector", "region", F.replace("tier", F.lit("_"), F.lit(" "))).alias("text"), (WEIGHTS[2] * tier + WEIGHTS[3] * own).alias("fixed"), "tier", "ownership_pct")
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """Small tables that a plan reads several times: held (on disk where memory is short) once computed, made again if lost."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 class Pool(NamedTuple):
     """Tables of verified suppliers that demands are matched with."""
 
@@ -63,16 +69,16 @@ def pooled(pool: DataFrame, top: int = TOP, most_rare: int = MOST_RARE) -> Pool:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes)).select("term", (F.col("df") <= most_rare).alias("rare"), idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = postings.join(terms, "term").select("supplier_id", "term", "tf", "dl", "rare", part.alias("part"))
+    weighed = once(postings.join(terms, "term").select("supplier_id", "term", "tf", "dl", "rare", part.alias("part")))
     common = F.array_sort(F.collect_list(F.when(~F.col("rare"), F.concat_ws(":", "term", "tf"))))  # a supplier's own words
     shape = words.select("supplier_id", "sector", "fixed", "dl").join(weighed.groupBy("supplier_id").agg(common.alias("common")), "supplier_id", "left")
-    members = shape.select("supplier_id", F.xxhash64("sector", "dl", "common").alias("class"), "sector", "fixed")
+    members = once(shape.select("supplier_id", F.xxhash64("sector", "dl", "common").alias("class"), "sector", "fixed"))
     class_terms = weighed.where("NOT rare").join(members.select("supplier_id", "class"), "supplier_id").groupBy("class", "term").agg(F.max("part").alias("part"))
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("fixed"), "supplier_id"))
     tops = members.withColumn("r", first("class")).where(F.col("r") <= top).drop("r")
     own = members.withColumn("r", first("sector")).where(F.col("r") <= top).drop("r", "class")
     overall = members.drop("class").orderBy(F.desc("fixed"), "supplier_id").limit(top)
-    return Pool(terms.select("term", "rare"), weighed.where("rare").select("term", "supplier_id", "part"), class_terms, members, tops, own.unionByName(overall).distinct())
+    return Pool(weighed.select("term", "rare").distinct(), weighed.where("rare").select("term", "supplier_id", "part"), class_terms, members, tops, own.unionByName(overall).distinct())
 
 
 def demands(rows: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +88,7 @@ def demands(rows: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     known = rows.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(terms.select("term"), "term")
     known = known.groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # a commitment's own words
-    rows = rows.join(known, "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).withColumn("demand", F.xxhash64("sector", "terms"))
+    rows = once(rows.join(known, "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).withColumn("demand", F.xxhash64("sector", "terms")))
     return rows.drop("terms"), rows.groupBy("demand").agg(F.min("sector").alias("sector"), F.min("terms").alias("terms"))
 
 
@@ -104,10 +110,12 @@ def unbeaten(rows: DataFrame, top: int = TOP) -> DataFrame:
 
 def scored(wanted: DataFrame, pool: Pool, top: int = TOP) -> DataFrame:
     """demands -> (demand, supplier_id, sector_match, relevance, score) of the suppliers that can be among the best ``top``."""
-    asked = wanted.select("demand", "sector", F.explode_outer("terms").alias("term")).join(pool.terms, "term", "left")
+    asked = once(wanted.select("demand", "sector", F.explode_outer("terms").alias("term")).join(pool.terms, "term", "left"))
     signed = asked.groupBy("demand", "sector").agg(F.array_sort(F.collect_list(F.when(~F.col("rare"), F.col("term")))).alias("frequent")).withColumn("sig", F.xxhash64("sector", "frequent"))
+    signed = once(signed)
     sigs = signed.groupBy("sig").agg(F.min("sector").alias("wants"), F.min("frequent").alias("frequent"))
     common = sigs.select("sig", F.explode("frequent").alias("term")).join(pool.class_terms, "term").groupBy("sig", "class").agg(F.sum("part").alias("part"))
+    common = once(common)
     members = common.join(pool.tops.select("class", "supplier_id"), "class").select("sig", "supplier_id", "part")
     others = sigs.join(F.broadcast(pool.anyone), F.lit(True)).select("sig", "supplier_id", F.lit(0.0).alias("part"))  # top rows of each sector
     able = members.unionByName(others).groupBy("sig", "supplier_id").agg(F.max("part").alias("part"))
@@ -118,7 +126,7 @@ def scored(wanted: DataFrame, pool: Pool, top: int = TOP) -> DataFrame:
     looked_up = asked.where("rare").select("demand", "term").join(pool.rare, "term").groupBy("demand", "supplier_id").agg(F.sum("part").alias("rare_part"))
     looked_up = looked_up.join(signed.select("demand", "sig"), "demand").join(pool.members.select("supplier_id", "class"), "supplier_id").join(common, ["sig", "class"], "left")
     pairs = of_sig.unionByName(looked_up.select("demand", "supplier_id", F.coalesce("part", F.lit(0.0)).alias("part"), "rare_part"))
-    pairs = pairs.groupBy("demand", "supplier_id").agg((F.max("part") + F.max("rare_part")).alias("bm25"))
+    pairs = once(pairs.groupBy("demand", "supplier_id").agg((F.max("part") + F.max("rare_part")).alias("bm25")))
     most = signed.select("demand", "sig", F.col("sector").alias("wants")).join(common.groupBy("sig").agg(F.max("part").alias("common")), "sig", "left").join(pairs.groupBy("demand").agg(F.max("bm25").alias("best")), "demand", "left")
     most = most.select("demand", "wants", F.greatest(F.coalesce("common", F.lit(0.0)), F.coalesce("best", F.lit(0.0))).alias("most"))
     rows = pairs.join(most, "demand").join(facts, "supplier_id")

@@ -13,8 +13,11 @@ set is stated; its vectors meet all passages' vectors once.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ YEAR, GAP, NUMBER = "[0-9]{4}", "[ \\t\\n\\x0B\\f\\r]+", "[0-9]+"
 REPORTER = "[.]?[ \\t\\n\\x0B\\f\\r]?".join("scr") + "[.]?"
 CITATIONS = (rf"\b{YEAR}{GAP}(?:{'|'.join(COURTS)}){GAP}{NUMBER}\b", rf"\[{YEAR}\]{GAP}{NUMBER}{GAP}{REPORTER}{GAP}{NUMBER}", rf"\b{YEAR}-[a-z]{{2,6}}-{NUMBER}\b")
 POSTING_PARTS = 64
+MOST_SENT = 4096  # queries whose vectors go to every task
 
 
 class Searcher(Protocol):
@@ -58,11 +62,28 @@ def _weighed(asked: DataFrame, postings: DataFrame, frequency: DataFrame, length
 
 
 def _dotted(asked: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Dot products of vectors of the index's dimension; others, and null ones, are left out."""
+    """Dot products of vectors of the index's dimension; others, and null ones, are left out.
+
+    The stated queries go to every task as one matrix if they are few enough (counted up to the bound only); a larger set
+    meets the vectors in a join of blocks.
+    """
     sound = lambda c: F.col(c).isNotNull() & (F.size(c) == dim)
-    rows = vectors.where(sound("vector")).select("unit_id", "vector").join(asked.where(sound("vector")).select("query_id", F.col("vector").alias("q")), F.lit(True))
-    dot = F.aggregate(F.zip_with("vector", "q", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    return rows.select("query_id", "unit_id", F.round(dot, 6).alias("score"))
+    rows, queries = vectors.where(sound("vector")).select("unit_id", "vector"), asked.where(sound("vector")).select("query_id", "vector")
+    first = queries.limit(MOST_SENT + 1).collect()
+    if len(first) > MOST_SENT:
+        dot = F.aggregate(F.zip_with("vector", "q", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+        return rows.join(queries.withColumnRenamed("vector", "q"), F.lit(True)).select("query_id", "unit_id", F.round(dot, 6).alias("score"))
+    ids, matrix = np.array([r["query_id"] for r in first], np.int64), np.array([r["vector"] for r in first], float).reshape(len(first), dim)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, (1 << 18) // max(1, len(ids)))
+        for pdf in batches:
+            for at in range(0, len(pdf) if len(ids) else 0, step):
+                part = pdf.iloc[at : at + step]
+                scores = np.stack(part["vector"].to_list()).astype(float) @ matrix.T
+                yield pd.DataFrame({"query_id": np.tile(ids, len(part)), "unit_id": np.repeat(part["unit_id"].to_numpy(), len(ids)), "score": scores.round(6).ravel() + 0.0})
+
+    return rows.mapInPandas(scored, "query_id long, unit_id string, score double")
 
 
 class Passages:
