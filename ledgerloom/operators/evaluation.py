@@ -5,13 +5,14 @@ Each is a count of a few cells by one grouped aggregation, then expressions over
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import ratio, wilson
 from ledgerloom.sources.views import table
 
-EXACT_TRIALS = 10_000
 
 
 def raters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,25 +67,29 @@ def select_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("leakage <= 0.2 AND unparsed <= 0.1").orderBy("refusal", "leakage", "config").limit(1)
 
 
+def log_factorial(m: Column) -> Column:
+    """Logarithm of m!, by Stirling's series taken twenty further on, where it is right to the last digits of a double."""
+    x = (m + 20).cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    for j in range(1, 21):
+        series = series - F.log((m + j).cast("double"))
+    return series
+
+
 def sign_tail(a: Column, b: Column) -> Column:
-    """Two-sided p of a sign test with a wins and b losses: the binomial tail by one running sum of log terms; past EXACT_TRIALS
-    the normal tail with its continuity correction; null without trials."""
+    """Two-sided p of a sign test with a wins and b losses: the binomial tail by one running sum of terms, each made from the log
+    of the one before; null without trials. The sum's length grows with the root of the trials."""
     n, k = a + b, F.greatest(a, b)
-    # log of the number of ways to win k of n, then each next term from the one before
-    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), n - k)), F.lit(0.0), lambda s, j: s + F.when(j <= n - k, F.log((k + j).cast("double")) - F.log(j.cast("double"))).otherwise(0.0))
-    first = ways - n * F.log(F.lit(2.0))
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * F.log(F.lit(2.0))
     start = F.struct(first.alias("t"), F.exp(first).alias("s"))
 
     def further(so_far: Column, i: Column) -> Column:
         t = so_far["t"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
         return F.when(i <= n, F.struct(t.alias("t"), (so_far["s"] + F.exp(t)).alias("s"))).otherwise(so_far)
 
-    tail = F.aggregate(F.sequence(k + 1, F.greatest(k + 1, n)), start, further)["s"]
-    z = (F.abs(a - b) - 1) / F.sqrt(n.cast("double"))
-    # the normal tail by a rational formula, right to seven digits
-    t = 1 / (1 + 0.3275911 * z / 2**0.5)
-    normal = (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-z * z / 2)
-    return F.when(n > 0, F.least(F.lit(1.0), F.when(n > EXACT_TRIALS, normal).otherwise(2 * tail)))
+    last = F.least(n, k + 64 + F.ceil(12 * F.sqrt(n.cast("double"))))  # terms from twelve deviations on are nothing to a double
+    tail = F.aggregate(F.sequence(k + 1, F.greatest(k + 1, last)), start, further)["s"]
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:

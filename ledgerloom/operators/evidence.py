@@ -144,12 +144,17 @@ def answer_outcome(has_text: Column, first: Column, second: Column, near: float
 def seeded_pairs(rows: DataFrame, key: str, seed: str) -> DataFrame:
     """Each row's key beside another's, drawn by a seeded order in which no row is drawn twice and none gets itself.
 
-    For a stated query set: the order is one window over it.
+    The order is cut into ranges of the digest; within a range the next row is drawn, and a range's last row draws the first
+    of the next range that has rows (4,096 ranges at most), the very last one the first of all.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    w = Window.orderBy(order, key)
-    placed = rows.select(key, F.lead(key).over(w).alias("drawn"), F.first(key).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("start"))
-    return placed.select(key, F.coalesce("drawn", "start").alias("drawn")).where(F.col(key) != F.col("drawn"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    placed = rows.select(key, digest.alias("digest")).withColumn("range", F.substring("digest", 1, 3))
+    firsts = placed.groupBy("range").agg(F.min(F.struct("digest", key)).alias("f")).select("range", F.col(f"f.{key}").alias("first"))
+    order = Window.orderBy("range")
+    firsts = firsts.select("range", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("next"))
+    within = Window.partitionBy("range").orderBy("digest", key)
+    drawn = placed.withColumn("lead", F.lead(key).over(within)).join(firsts, "range")
+    return drawn.select(key, F.coalesce("lead", "next").alias("drawn")).where(F.col(key) != F.col("drawn"))
 
 
 def batched_items(heads: DataFrame, parts: DataFrame, size: int = 25) -> DataFrame:
@@ -184,7 +189,7 @@ def figures_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dates_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ISO dates found in the texts by their other spellings."""
-    chunks = _chunks(spark, sf_dir).where("para < 4").select("doc_id", (F.col("para") + 1).alias("page"), F.lit(0).alias("para"), "text")
+    chunks = _chunks(spark, sf_dir).select("doc_id", (F.col("para") + 1).alias("page"), F.lit(0).alias("para"), "text")
     value = F.concat(F.lit("2025-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))))
     fields = table(spark, sf_dir, "documents").select("doc_id", F.lit("date").alias("field"), value.alias("value"), F.lit(2).alias("page"))
     return located_values(fields, chunks).select("doc_id", "page", F.length("quote").alias("size"))
@@ -276,9 +281,9 @@ ORACLE_SQL = {
         (SELECT min(para) FROM held h WHERE h.doc_id = c.doc_id AND contains(h.pair, quote)) AS two FROM c)
         SELECT doc_id, claim, coalesce(exact, other, two) AS para, CASE WHEN exact IS NOT NULL THEN 'cited' WHEN other IS NOT NULL THEN 'any' ELSE 'adjacent' END AS way FROM f WHERE two IS NOT NULL""",
     "figures_checked": "SELECT doc_id, 0 AS claim, CAST(doc_id * 10 * 1000000 AS DOUBLE) AS amount, 'money' AS unit, 'CAD' AS currency, 0 AS para, 'any' AS way FROM documents WHERE doc_id % 3 = 0",
-    "dates_located": f"""WITH {_CHUNKS}, p AS (SELECT doc_id, para + 1 AS page, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS plain FROM chunks WHERE para < 4),
+    "dates_located": f"""WITH {_CHUNKS}, p AS (SELECT doc_id, para + 1 AS page, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS plain FROM chunks),
         t AS (SELECT doc_id, lower([{_MONTHS}][doc_id % 12 + 1]) AS m, doc_id % 28 + 1 AS d, doc_id % 5 <> 0 AS dated FROM documents)
-        SELECT p.doc_id, arg_min(page, page + CASE WHEN page = 2 THEN 0 ELSE 100 END) AS page, arg_min(least(length(trim(text)), 1 + length(rtrim(substr(trim(text), 1, 240)))), page + CASE WHEN page = 2 THEN 0 ELSE 100 END) AS size
+        SELECT p.doc_id, arg_min(page, page + CASE WHEN page = 2 THEN 0 ELSE 100000 END) AS page, arg_min(least(length(trim(text)), 1 + length(rtrim(substr(trim(text), 1, 240)))), page + CASE WHEN page = 2 THEN 0 ELSE 100000 END) AS size
         FROM p JOIN t ON p.doc_id = t.doc_id AND dated AND (contains(plain, m || ' ' || d || ' 2025') OR contains(plain, d || ' ' || m || ' 2025') OR contains(plain, m[:3] || ' ' || d || ' 2025')) GROUP BY 1""",
     "column_pages": """WITH p AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_quantity < 25) AS e, min(CASE WHEN l_quantity < 25 THEN 20 ELSE 60 END + l_linenumber) AS lo, max(CASE WHEN l_quantity < 25 THEN 20 ELSE 60 END + l_linenumber) AS hi FROM lineitem GROUP BY 1),
         s AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (en) AS e, count(*) FILTER (lft) AS l, count(*) FILTER (lft AND en) AS le, any_value(hi - lo) AS gap FROM (SELECT i.l_orderkey, l_quantity < 25 AS en, CASE WHEN l_quantity < 25 THEN 20 ELSE 60 END + l_linenumber < (lo + hi) / 2 AS lft, lo, hi FROM lineitem i JOIN p USING (l_orderkey)) GROUP BY 1),

@@ -53,7 +53,7 @@ def adjudicated(pairs: DataFrame, *keys: str) -> DataFrame:
 def pair_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey") + F.col("l_suppkey")
     side = lambda m: F.when(k % m == 0, "abstain").when(k % 3 == 0, "b").otherwise("a")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 6").select("l_shipdate", side(11).alias("forward"), F.when(k % 5 == 0, "b").otherwise(side(13)).alias("backward"))
+    rows = table(spark, sf_dir, "lineitem").select("l_shipdate", side(11).alias("forward"), F.when(k % 5 == 0, "b").otherwise(side(13)).alias("backward"))
     return adjudicated(rows.withColumn("year", F.year("l_shipdate").cast("long")), "year")
 
 
@@ -109,7 +109,7 @@ def any_of_filter(spark: SparkSession, sf_dir: str, themes: tuple[str, ...] = ("
 
 def record_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A party's lines, withdrawn ones too, as one JSON text a line, for writing as a bundle."""
-    rows = table(spark, sf_dir, "line").where("supplier_id % 5 = 0")
+    rows = table(spark, sf_dir, "line")
     return rows.select("supplier_id", "line_id", F.to_json(F.struct("line_id", "status", "withdrawn", "period")).alias("json"))
 
 
@@ -130,7 +130,7 @@ ORACLE_SQL = {
     + ", ".join(f"count(*) FILTER (v = '{v}' AND l = '{lb}') AS {v}_{lb}" for v in VERDICTS for lb in LABELS)
     + """, count(*) FILTER (v = 'supported' AND l = 'contradiction') / CAST(nullif(count(*) FILTER (v = 'supported'), 0) AS DOUBLE) AS fa, count(*) FILTER (v = 'contradicted' AND l = 'contradiction') / CAST(nullif(count(*) FILTER (v = 'contradicted'), 0) AS DOUBLE) AS rc FROM e GROUP BY 1)
     SELECT * EXCLUDE (fa, rc), round(coalesce(fa, 0), 6) AS false_alarm, round(coalesce(rc, 0), 6) AS recall, CASE WHEN fa > 0.05 THEN 'unusable' WHEN rc >= 0.8 THEN 'ship' ELSE 'safe-but-weak' END AS decision FROM c""",
-    "pair_adjudication": """WITH k AS (SELECT year(l_shipdate) AS year, l_partkey + l_suppkey AS k FROM lineitem WHERE l_linenumber = 6), p AS (SELECT year, CASE WHEN k % 11 = 0 THEN 'abstain' WHEN k % 3 = 0 THEN 'b' ELSE 'a' END AS f, CASE WHEN k % 5 = 0 THEN 'b' WHEN k % 13 = 0 THEN 'abstain' WHEN k % 3 = 0 THEN 'b' ELSE 'a' END AS g FROM k),
+    "pair_adjudication": """WITH k AS (SELECT year(l_shipdate) AS year, l_partkey + l_suppkey AS k FROM lineitem), p AS (SELECT year, CASE WHEN k % 11 = 0 THEN 'abstain' WHEN k % 3 = 0 THEN 'b' ELSE 'a' END AS f, CASE WHEN k % 5 = 0 THEN 'b' WHEN k % 13 = 0 THEN 'abstain' WHEN k % 3 = 0 THEN 'b' ELSE 'a' END AS g FROM k),
         c AS (SELECT year, count(*) AS n, count(*) FILTER ('abstain' IN (f, g)) AS abstained, count(*) FILTER ('abstain' NOT IN (f, g) AND f <> g) AS flipped, count(*) FILTER (f = 'a' AND g = 'a') AS a, count(*) FILTER (f = 'b' AND g = 'b') AS b FROM p GROUP BY 1), t AS (SELECT *, unnest(range(greatest(a, b), a + b + 1)) AS i FROM c)
         SELECT year, n, abstained, flipped, a, b, round(flipped / CAST(flipped + a + b AS DOUBLE), 6) AS flip_rate, round((a + b) / CAST(flipped + a + b AS DOUBLE), 6) AS agreement, round(least(CAST(1 AS DOUBLE), 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))), 6) AS p FROM t GROUP BY ALL""",
     "seeded_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('half:' || doc_id), doc_id) <= ceil((SELECT count(*) FROM labels) / 2) THEN 'dev' ELSE 'test' END AS side FROM labels",
@@ -141,7 +141,7 @@ ORACLE_SQL = {
         round(greatest(0, (o + z * z / (2 * n) - z * sqrt(o * (1 - o) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS off_low, round(least(1, (o + z * z / (2 * n) + z * sqrt(o * (1 - o) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS off_high FROM q""",
     "record_facets": oracle(f"WITH {_THEMED} SELECT facet, value, count(*) AS n FROM (SELECT 'themes' AS facet, unnest(list_distinct(themes)) AS value FROM themed WHERE tier = 'core' UNION ALL SELECT 'places', unnest(list_distinct(places)) FROM themed WHERE tier = 'core') GROUP BY 1, 2", "record"),
     "any_of_filter": oracle("SELECT doc_id, level FROM record WHERE tier = 'core' AND (win_type = 'won' OR n_chars > 1000) AND (lang = 'en' OR source = 'en')", "record"),
-    "record_bundles": oracle("SELECT supplier_id, line_id, printf('{\"line_id\":\"%s\",\"status\":\"%s\",\"withdrawn\":%s,\"period\":%d}', line_id, status, CASE WHEN withdrawn THEN 'true' ELSE 'false' END, period) AS json FROM line WHERE supplier_id % 5 = 0", "line"),
+    "record_bundles": oracle("SELECT supplier_id, line_id, printf('{\"line_id\":\"%s\",\"status\":\"%s\",\"withdrawn\":%s,\"period\":%d}', line_id, status, CASE WHEN withdrawn THEN 'true' ELSE 'false' END, period) AS json FROM line", "line"),
     "query_routes": f"""WITH q AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'see 2014 scc ' || item_id WHEN 1 THEN array_to_string(string_split(text, ' ')[:3], ' ') WHEN 2 THEN 'the of and' ELSE text END AS text FROM benchmark),
         n AS (SELECT ' ' || {_W.format("string_split(text, chr(10))[1]")} || ' ' AS name FROM benchmark UNION ALL SELECT ' ' || {_W.format("string_split(text, chr(10))[1]")} || ' ' FROM documents), w AS (SELECT query_id, {_W.format("text")} AS w FROM q),
         r AS (SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'citation' WHEN w <> '' AND len(string_split(w, ' ')) <= 5 AND len(list_filter(string_split(w, ' '), lambda x: x NOT IN ({", ".join(f"'{g}'" for g in GENERIC)}))) > 0 AND EXISTS (SELECT 1 FROM n WHERE contains(name, ' ' || w || ' ')) THEN 'case_name' ELSE 'semantic' END AS reason FROM w)

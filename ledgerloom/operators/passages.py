@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.functions.rules import money
 from ledgerloom.functions.scalars import ratio
+from ledgerloom.operators.nearness import shared_run
 from ledgerloom.sources.views import table
 
 #: Function words that tell languages apart.
@@ -90,30 +90,14 @@ def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("role", found.alias("found")).agg(F.count("*").alias("n"))
 
 
-def longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring (a row of the table at a time, vectorised)."""
-    if not a or not b:
-        return 0
-    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
-    row, best = np.zeros(len(y) + 1, np.int32), 0
-    for c in x:
-        row[1:] = np.where(y == c, row[:-1] + 1, 0)
-        best = max(best, int(row.max()))
-    return best
-
-
 def near_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest common substring of successive turns of a role, as a share of the shorter; exact containment never gets there."""
 
-    @F.pandas_udf("long")
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([longest_common(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
-
     w = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
     rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).where("before IS NOT NULL")
     exact = rows.where(F.contains(F.col("text"), F.col("before"))).select("conv_id", "turn", F.length("before").cast("long").alias("shared"), F.lit(True).alias("contained"))
     missed = rows.where(~F.contains(F.col("text"), F.col("before")))
-    return exact.unionByName(missed.select("conv_id", "turn", shared("text", "before").alias("shared"), F.lit(False).alias("contained")))
+    return exact.unionByName(missed.select("conv_id", "turn", shared_run(F.col("before"), F.col("text"))["length"].alias("shared"), F.lit(False).alias("contained")))
 
 
 def _phrase() -> Column:

@@ -1,5 +1,8 @@
 """Places of quotes, spellings of dates, layout and rankings on small rows."""
 
+import math
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +56,18 @@ def test_sign_tail(spark):
     p = [r[0] for r in rows.select(evaluation.sign_tail(F.col("a"), F.col("b"))).collect()]
     assert p[:2] == pytest.approx([0.109375, 0.001953125]) and p[2] is None and p[3] == 1
     assert p[4] == pytest.approx(0.1594, abs=2e-3) and p[5] == pytest.approx(0.3734, abs=2e-3)
+
+
+def test_sign_tail_of_many_trials(spark):
+    """Against exact sums of whole numbers, and at a size that no sum of all terms would bear."""
+    pairs = [(a, n - a) for n in (1, 2, 7, 60, 1_001, 30_000) for a in {n, n // 2 + n // 97, (n + 1) // 2}]
+    rows = spark.createDataFrame([*pairs, (5_000_050_000, 4_999_950_000)], "a long, b long")
+    got = {(r["a"], r["b"]): r["p"] for r in rows.select("a", "b", evaluation.sign_tail(F.col("a"), F.col("b")).alias("p")).collect()}
+    for a, b in pairs:
+        n, k = a + b, max(a, b)
+        term, total = math.comb(n, k), 0
+        for i in range(k, n + 1):
+            total += term
+            term = term * (n - i) // (i + 1)
+        assert got[a, b] == pytest.approx(float(min(Fraction(1), Fraction(2 * total, 2**n))), rel=1e-8, abs=1e-300)
+    assert got[5_000_050_000, 4_999_950_000] == pytest.approx(0.3173, abs=1e-3)  # one deviation

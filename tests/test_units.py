@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
 from ledgerloom.functions import text as T
-from ledgerloom.operators import evaluation, passages, retrieval
+from ledgerloom.operators import evaluation, nearness, passages, retrieval
 from ledgerloom.streaming import flows
 
 
@@ -58,7 +58,7 @@ def test_due_dates(spark):
 def test_longest_common_substring():
     brute = lambda a, b: max((j - i for i in range(len(a)) for j in range(i, len(a) + 1) if a[i:j] in b), default=0)
     for a, b in (("abcde", "xbcdx"), ("", "a"), ("aaa", "aa"), ("éa", "aé")):
-        assert passages.longest_common(a, b) == brute(a, b)
+        assert nearness.longest_run(a, b)[0] == brute(a, b)
 
 
 def test_packed_chunks_lose_nothing(spark):
