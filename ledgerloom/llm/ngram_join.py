@@ -8,7 +8,7 @@ must share a prefix shingle under every order before its whole sets are compared
 
 Spark's part.
 1. Texts become hashed sets in Arrow batches (no shuffle). Equal sets are one node from here on.
-2. Exact document frequencies: blocks of about a million shingles are sorted and sent packed (some six bytes a shingle)
+2. Exact document frequencies: blocks of about half a million shingles are sorted and sent packed (some six bytes a shingle)
    to ranges of the hash space; a shingle that a block holds often is sent as one count. Ranges give back, block by
    block, only the shingles of two documents or more. Blocks name the prefixes of their documents.
 3. Prefix shingles are postings. A posting list isn't paired out: its member with the fewest shingles of its own is the
@@ -39,8 +39,8 @@ from ledgerloom.llm.common import documents, groups, partitions, settle, slices,
 from ledgerloom.llm.components import components
 from ledgerloom.llm.simhash import BKTree
 
-BLOCK, OFTEN, PAIRED = 1 << 20, 64, 1024  # shingles a block; documents of a block that make a shingle a count; members a block of pairs
-KEPT_WORDS = 1 << 20
+BLOCK, OFTEN, PAIRED = 1 << 19, 64, 1024  # shingles a block; documents of a block that make a shingle a count; members a block of pairs
+KEPT_WORDS = 1 << 18
 BITMAP = 1 << 24
 KEY_BITS = 48
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
