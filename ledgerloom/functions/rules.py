@@ -18,24 +18,42 @@ def clamp(c: Column, low: float = 0, high: float = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+#: What the word after a number begins with, and its factor, in targets and in recorded figures.
+TARGET_SCALES = {"b": 1e9, "m": 1e6, "k": 1e3, "thousand": 1e3}
+FIGURE_SCALES = {"billion": 1e9, "bn": 1e9, "m": 1e6, "thousand": 1e3, "k": 1e3}
+CURRENCY = ("\\$", "\\bCAD\\b", "\\bUSD\\b", "dollar")
+_NUMBER = "[0-9][0-9,]*(?:[.][0-9]+)?"
+
+
+def amounts(c: Column) -> Column:
+    """Every number of a text in order, as (value, word): its digits without commas, and the sign or letters that come after it."""
+    said = F.regexp_extract_all(c, F.lit(f"{_NUMBER}\\s*(?:%|[A-Za-z]*)"), F.lit(0))
+    digits = lambda x: F.replace(F.regexp_extract(x, f"^{_NUMBER}", 0), F.lit(","), F.lit(""))
+    return F.transform(said, lambda x: F.struct(digits(x).cast("double").alias("value"), F.lower(F.regexp_extract(x, "(%|[A-Za-z]*)$", 1)).alias("word")))
+
+
+def scaled(amount: Column, scales: dict[str, float]) -> Column:
+    """An amount's value times the factor that its word begins with."""
+    factor = F.lit(1.0)
+    for beginning, times in scales.items():
+        factor = F.when(amount["word"].startswith(beginning), times).otherwise(factor)
+    return amount["value"] * factor
+
+
 def target_value(c: Column) -> Column:
-    """The first number times its scale letter (b, m, k, thousand); a percentage is its number; null without a number."""
-    plain = F.replace(c, F.lit(","), F.lit(""))
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*(b|m|k|thousand)?"
-    number, scale = F.regexp_extract(plain, pattern, 1), F.lower(F.regexp_extract(plain, pattern, 2))
-    factor = F.when(scale == "b", 1e9).when(scale == "m", 1e6).when(scale.isin("k", "thousand"), 1e3).otherwise(1.0)
-    return F.when(number != "", number.cast("double") * factor)
+    """The first number of a target in full; a percentage is its number; null without a number."""
+    return scaled(F.try_element_at(amounts(F.replace(c, F.lit(","), F.lit(""))), F.lit(1)), TARGET_SCALES)
 
 
 def money(c: Column) -> Column:
-    """(amount, unit) of a recorded figure: a percentage, or a number with a currency marker and a scale word; else nulls."""
-    percent = F.replace(F.regexp_extract(c, r"(\d[\d,]*(?:\.\d+)?)\s*%", 1), F.lit(","), F.lit(""))
-    pattern = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(billion|million|thousand|bn|m|k)?"
-    number, scale = F.replace(F.regexp_extract(c, pattern, 1), F.lit(","), F.lit("")), F.lower(F.regexp_extract(c, pattern, 2))
-    factor = F.when(scale.isin("billion", "bn"), 1e9).when(scale.isin("million", "m"), 1e6).when(scale.isin("thousand", "k"), 1e3).otherwise(1.0)
-    marked = c.rlike(r"(?i)\$|\bCAD\b|\bUSD\b|dollar") & (number != "")
-    amount = F.when(percent != "", percent.cast("double")).when(marked, number.cast("double") * factor)
-    return F.struct(amount.alias("amount"), F.when(percent != "", "percent").when(marked, "money").alias("unit"))
+    """(amount, unit) of a recorded figure: its first percentage, else its first number if a currency is named; else nulls."""
+    all_ = amounts(c)
+    percent = F.try_element_at(F.filter(all_, lambda a: a["word"] == "%"), F.lit(1))["value"]
+    named = F.lit(False)
+    for sign in CURRENCY:
+        named = named | c.rlike(f"(?i){sign}")
+    value = F.when(named, scaled(F.try_element_at(all_, F.lit(1)), FIGURE_SCALES))
+    return F.struct(F.coalesce(percent, value).alias("amount"), F.when(percent.isNotNull(), "percent").when(value.isNotNull(), "money").alias("unit"))
 
 
 def business_number(c: Column) -> Column:

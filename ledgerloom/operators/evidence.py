@@ -48,17 +48,31 @@ def verified_figures(raws: DataFrame, chunks: DataFrame, most: int = 12) -> Data
     return kept.where(F.col("r") <= most).select("doc_id", "claim", F.col("m.amount").alias("amount"), F.col("m.unit").alias("unit"), currency.alias("currency"), "para", "way")
 
 
+#: Spellings of a date with its day and without: full and short month, September's other short form, day, year.
+WITH_DAY = ("{month} {day}, {year}", "{day} {month} {year}", "{short} {day}, {year}", "{sept} {day}, {year}")
+WITHOUT_DAY = ("{month} {year}", "{short} {year}", "{sept} {year}")
+
+
 def search_terms(c: Column) -> Column:
     """What to look for: the value itself, and for a date its other spellings; nothing for a bare year."""
-    v = F.trim(c)
-    year, month, day = (F.regexp_extract(v, r"^(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?$", i) for i in (1, 2, 3))
-    number = F.try_to_number(month, F.lit("99")).cast("int")
-    full = F.try_element_at(F.array(*map(F.lit, MONTHS)), F.when(number.between(1, 12), number))
-    plain, abbr = F.try_to_number(day, F.lit("99")).cast("int").cast("string"), F.substring(full, 1, 3)
-    with_day = F.array(v, F.concat(full, F.lit(" "), plain, F.lit(", "), year), F.concat(plain, F.lit(" "), full, F.lit(" "), year), F.concat(abbr, F.lit(" "), plain, F.lit(", "), year))
-    without = F.array(v, F.concat(full, F.lit(" "), year), F.concat(abbr, F.lit(" "), year))
-    sept = F.when(full == "September", F.array(F.when(day != "", F.concat(F.lit("Sept "), plain, F.lit(", "), year)).otherwise(F.concat(F.lit("Sept "), year)))).otherwise(F.array().cast("array<string>"))
-    return F.when(year == "", F.array(v)).when(month == "", F.array().cast("array<string>")).when(full.isNull(), F.array(v)).otherwise(F.array_distinct(F.concat(F.when(day != "", with_day).otherwise(without), sept)))
+    value = F.trim(c)
+    parts = F.transform(F.split(value, "-"), lambda x: x.cast("string"))
+    part = lambda i: F.get(parts, F.lit(i))
+    dated = value.rlike(r"^[0-9]{4}(-[0-9]{2}){0,2}$")
+    month = F.get(F.array(*map(F.lit, MONTHS)), F.when(dated, part(1)).try_cast("int") - 1)
+    held = {"month": month, "short": F.substring(month, 1, 3), "sept": F.when(month == "September", F.lit("Sept")), "day": F.when(dated, part(2)).try_cast("int").cast("string"), "year": part(0)}
+
+    def spelled(form: str) -> Column:  # null where the date lacks what the form asks for
+        text = F.lit(form)
+        for name, known in held.items():
+            if f"{{{name}}}" in form:
+                text = F.replace(text, F.lit(f"{{{name}}}"), known)
+        return text
+
+    forms = F.when(part(2).isNull(), F.array(*map(spelled, WITHOUT_DAY))).otherwise(F.array(*map(spelled, WITH_DAY)))
+    others = F.when(dated & month.isNotNull(), F.array_compact(forms)).otherwise(F.array().cast("array<string>"))
+    bare = dated & part(1).isNull()
+    return F.when(bare, F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(value), others)))
 
 
 def located_values(fields: DataFrame, pages: DataFrame, longest: int = 240) -> DataFrame:
@@ -97,13 +111,19 @@ def english_columns(pages: DataFrame) -> DataFrame:
 
 def cleaned_pdf(c: Column, header: str = "COURT OF RECORD") -> Column:
     """Text of a page file: ligatures as letters, words joined at a hyphen and line end, running headers and page numbers gone,
-    lines of a paragraph in one."""
-    c = F.regexp_replace(c, "\r\n?", "\n")
+    lines of a paragraph in one.
+
+    Each line is one of three kinds: furniture says nothing, an empty line ends a paragraph (a line end stands for it), and
+    text follows the line before after a blank, or at once where a word was divided between them.
+    """
+    lines = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n")
+    divided = lambda i: F.coalesce(F.get(lines, i - 1).rlike("[A-Za-z]-$") & F.get(lines, i).rlike("^[A-Za-z]"), F.lit(False))
+    furniture = lambda x: F.trim(x).rlike(rf"^(?:{header}|[0-9]{{1,3}})$")
+    told = F.transform(lines, lambda x, i: F.when(x == "", "\n").when(furniture(x), "").otherwise(F.concat(F.when(divided(i), "").otherwise(" "), x)))
+    text = F.array_join(told, "")
     for sign, letters in LIGATURES.items():
-        c = F.replace(c, F.lit(sign), F.lit(letters))
-    c = F.regexp_replace(c, r"([A-Za-z])-\n([A-Za-z])", "$1-$2")
-    lines = F.filter(F.split(c, "\n"), lambda x: ~(x.rlike(rf"^\s*{header}\s*$") | x.rlike(r"^\s*\d{1,3}\s*$")))
-    paragraphs = F.transform(F.split(F.array_join(lines, "\n"), r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+        text = F.replace(text, F.lit(sign), F.lit(letters))
+    paragraphs = F.transform(F.split(text, "\n+"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
 
 

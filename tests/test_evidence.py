@@ -71,3 +71,21 @@ def test_sign_tail_of_many_trials(spark):
             term = term * (n - i) // (i + 1)
         assert got[a, b] == pytest.approx(float(min(Fraction(1), Fraction(2 * total, 2**n))), rel=1e-8, abs=1e-300)
     assert got[5_000_050_000, 4_999_950_000] == pytest.approx(0.3173, abs=1e-3)  # one deviation
+
+
+def test_search_terms(spark):
+    values = {
+        "2025-09-05": ["2025-09-05", "September 5, 2025", "5 September 2025", "Sep 5, 2025", "Sept 5, 2025"], "2025-05": ["2025-05", "May 2025"], "2025-09": ["2025-09", "September 2025", "Sep 2025", "Sept 2025"],
+        "2025": [], "2025-13": ["2025-13"], "2025-02-31": ["2025-02-31", "February 31, 2025", "31 February 2025", "Feb 31, 2025"], " 12 % ": ["12 %"], "a-b-c": ["a-b-c"], "2025-9": ["2025-9"],
+    }
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", evidence.search_terms(F.col("v")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in rows} == dict(enumerate(values.values()))
+
+
+def test_cleaned_pages(spark):
+    pages = {
+        "COURT OF RECORD\r\n12\r\nThe ﬁrst line\nand self-\ndetermination.\n\n\n7\nNext  page": "The first line and self-determination.\n\nNext page",
+        "a\n12\nb": "a b", "self-\n12\ndet": "self- det", "Act,\n1982": "Act, 1982", "a\n \nb": "a b", "": "", "\n\n": "", "x-\n5": "x-", "ﬅ\rﬆ": "ft st",
+    }
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, v string").select("i", evidence.cleaned_pdf(F.col("v")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in rows} == dict(enumerate(pages.values()))

@@ -17,6 +17,12 @@ def test_target_values(spark):
     assert of(spark, texts, R.target_value) == [1.8e9, 855e6, 5, 212, 1.25e9, 3000, None, None, 503e6]
 
 
+def test_odd_phrases(spark):
+    texts = ["$5 million (12 %)", "section 12: $5", "5 mm", "5 boats", "1,2,3 k", "C$ 1.5bn", "US dollars 3 b", "% 5", "12 %, then $5"]
+    assert [(m["amount"], m["unit"]) for m in of(spark, texts, R.money)] == [(12, "percent"), (12, "money"), (None, None), (None, None), (None, None), (1.5e9, "money"), (3, "money"), (None, None), (12, "percent")]
+    assert of(spark, texts, R.target_value) == [5e6, 12, 5e6, 5e9, 123e3, 1.5e9, 3e9, 5, 12]
+
+
 def test_money_needs_a_marker(spark):
     texts = ["49%", "$10 million", "CAD 1,500", "12 dollars", "section 35", "$2bn", None]
     assert [(m["amount"], m["unit"]) for m in of(spark, texts, R.money)] == [(49, "percent"), (1e7, "money"), (1500, "money"), (12, "money"), (None, None), (2e9, "money"), (None, None)]
