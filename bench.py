@@ -15,8 +15,8 @@ from pathlib import Path
 HERE = Path(__file__).resolve().parent
 HEADLINE = (
     "index_by_flow coverage_by_company index_by_tier coverage_rollup org_leaderboard progress_over_time facts_build cube_currency facets citation_graph_1hop bm25_topk hybrid_case_rank dense_exact_topk two_stage_dense opportunity_top5 "
-    "page_text norm_text chunk_paragraphs cohen_kappa tumbling_counts session_users "
-    "op1_pii_spans op2_mix_sources op3_license_sentences op4_quality_divergence op5_simhash_groups op6_packing op7_attention_lm op8_url_rules op9_winnowing op10_toxicity"
+    "page_text norm_text chunk_paragraphs case_chunks page_gutters cohen_kappa tumbling_counts session_users "
+    "op1_pii_spans op2_mix_sources op3_license_sentences op4_quality_divergence op5_simhash_groups op6_packing op7_attention_lm op8_url_rules op9_winnowing op10_toxicity op11_ngram_join op12_spelling op13_hard_negatives"
 ).split()
 
 
