@@ -82,5 +82,20 @@ def groups(batches: Iterator, by: list[str]) -> Iterator:
         yield pd.concat(parts)
 
 
+def given_back(rows: Iterator) -> Iterator:
+    """The rows of a task; at their end, memory that the worker no longer uses goes back to the system, since workers are reused."""
+    import ctypes
+    import ctypes.util
+
+    import pyarrow as pa
+
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents, groups, partitions, settle, slices, whole_text
+from ledgerloom.llm.common import documents, given_back, groups, partitions, settle, slices, whole_text
 from ledgerloom.llm.components import components
 from ledgerloom.llm.simhash import BKTree
 
@@ -173,7 +173,7 @@ def _blocks(docs: DataFrame, parts: int, most: int, words: int) -> DataFrame:
         if held:
             yield _block_rows(block, list(held.values()), list(held), parts)
 
-    return docs.select(whole_text().alias("text")).mapInPandas(pack, PACKED)
+    return docs.select(whole_text().alias("text")).mapInPandas(lambda batches: given_back(pack(batches)), PACKED)
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,8 +237,8 @@ def _prefixes(batches: Iterator[pd.DataFrame], like: int) -> Iterator[pd.DataFra
 def prefixes(docs: DataFrame, parts: int, block: int, rule: Rule) -> DataFrame:
     """node, n, own, p1, p2, p3 of every node that can have a link at all."""
     ranges = _blocks(docs, parts, block, rule.words).repartition("part").sortWithinPartitions("part")
-    back = ranges.mapInPandas(_shared, PACKED).repartition("block").sortWithinPartitions("block")
-    found = back.mapInPandas(lambda batches: _prefixes(batches, rule.like), "node long, n long, own long, p1 array<long>, p2 array<long>, p3 array<long>")
+    back = ranges.mapInPandas(lambda batches: given_back(_shared(batches)), PACKED).repartition("block").sortWithinPartitions("block")
+    found = back.mapInPandas(lambda batches: given_back(_prefixes(batches, rule.like)), "node long, n long, own long, p1 array<long>, p2 array<long>, p3 array<long>")
     return settle(found.dropDuplicates(["node"]))
 
 
@@ -324,7 +324,7 @@ def _apart(postings: DataFrame, paired: int, rule: Rule) -> DataFrame:
                 yield pd.DataFrame(out, columns=["u", "v"])
 
     placed = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return placed.mapInPandas(pairs, "u long, v long")
+    return placed.mapInPandas(lambda batches: given_back(pairs(batches)), "u long, v long")
 
 
 class Met(NamedTuple):
