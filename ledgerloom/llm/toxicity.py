@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents, settle, whole_text
+from ledgerloom.llm.common import documents, given_back, settle, whole_text
 
 MAX_TOXIC, MAX_CLEAN = 2000, 3000
 LANDMARKS = 96
@@ -41,7 +41,7 @@ SPAN, DECAY = 7, 0.5
 CLOSE = 0.5
 POWER = 8
 LONGEST = 16
-CACHE = 500_000
+CACHE = 1 << 17
 _LEET = str.maketrans("01345789", "oieastbg") | {ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("ø"): "o"}
 _LEET |= {c: plain for c in range(0xE0, 0x250) if (plain := unicodedata.normalize("NFD", chr(c))[0]) in "abcdefghijklmnopqrstuvwxyz"}
 _SIGNS = re.compile(r"[^\w\n]+|_+")
@@ -279,12 +279,15 @@ def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFrame
     """The kept columns, score (0 to 1) and predicted (1 from a score of 0.5)."""
     words, rest = model.landmarks.words, (model.weights, model.bias, model.slope, model.shift)
 
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = _landmarks(tuple(words))  # built in the worker from the words alone
         own, make = Model(tables, *rest), Features(tables)
         for texts in batches:
             yield pd.Series(np.concatenate([own.scores(make(texts.iloc[a : a + 500].tolist())) for a in range(0, len(texts), 500)]) if len(texts) else [], dtype="float64")
 
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return given_back(scores(batches))
+
     scored = F.pandas_udf(toxic, "double")
     return docs.select(*keep, scored(whole_text()).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
