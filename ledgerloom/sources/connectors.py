@@ -32,6 +32,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def append_manifest(rows: DataFrame, path: str) -> None:
+    """More lines of a manifest; what it holds is never rewritten."""
+    rows.write.mode("append").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All lines of a manifest by this schema. One that isn't there is empty; a blank line is none; a line that isn't a JSON
+    object fails the read by the name of its file, however the rows are used: what is damaged must not pass for empty."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
+    parsed = lines.withColumn("row", F.from_json("value", f"{schema}, _damaged string", {"columnNameOfCorruptRecord": "_damaged"}))
+    told = F.concat(F.col("file"), F.lit(": the manifest is damaged, not empty; this line is not a JSON object: "), F.substring("value", 1, 80))
+    damaged = F.col("row").isNull() | F.col("row._damaged").isNotNull()
+    return parsed.where(F.when(damaged, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).select("row.*").drop("_damaged")
+
+
 def write_artifact(tables: dict[str, DataFrame], path: str, build_id: str) -> None:
     """Tables of one build; the row of _meta is written last, so an unfinished build can't be read."""
     for name, rows in tables.items():
@@ -67,6 +85,15 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_jsonl(spark, path, "item_id long, text string")
 
 
+def manifest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a manifest in two runs, read back and counted by run and kind."""
+    path = place(spark, "manifest")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("run"))
+    for run in ("even", "odd"):
+        append_manifest(rows.where(F.col("run") == run), path)
+    return read_manifest(spark, path, "event_id long, event_type string, run string").groupBy("run", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 def artifact_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors and labels written as one build, read back: by the right build id whole, by a wrong one not at all."""
     path = place(spark, "artifact")
@@ -123,10 +150,11 @@ def packed_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "packed", (F.array_max(back) <= 0.5 / 127 + 1e-6).alias("close"))
 
 
-QUERIES = {f.__name__: f for f in (csv_export, jsonl_roundtrip, artifact_vectors, copy_parity, date_windows, page_links, open_hosts, snowball, packed_floats)}
+QUERIES = {f.__name__: f for f in (csv_export, jsonl_roundtrip, manifest_runs, artifact_vectors, copy_parity, date_windows, page_links, open_hosts, snowball, packed_floats)}
 ORACLE_SQL = {
     "csv_export": oracle("""SELECT id, concat('say "', title, '", ok') AS title, target_year FROM commitment WHERE sector = 'building'""", "commitment"),
     "jsonl_roundtrip": "SELECT item_id, text FROM benchmark",
+    "manifest_runs": "SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1, 2",
     "artifact_vectors": "SELECT count(*) AS right_build, CAST(0 AS BIGINT) AS wrong_build FROM embeddings",
     "copy_parity": "SELECT count(*) AS source_rows, count(*) AS target_rows, CAST(0 AS BIGINT) AS missing, true AS equal FROM customer",
     "date_windows": "SELECT CAST(y AS BIGINT) AS first, CAST(least(y + 1, b) AS BIGINT) AS last FROM (SELECT b, unnest(range(a, b + 1, 2)) AS y FROM (SELECT min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders))",
