@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import ratio
+from ledgerloom.functions.scalars import held, ratio
 from ledgerloom.functions.text import norm_ws
 
 #: Dollars a page and a token.
@@ -135,21 +135,26 @@ def halves(text: Column) -> Column:
 def verified_names(names: Column, *record: Column, most: int = 5, least: int = 3) -> Column:
     """Names that stand in the record as written, case aside; of those that differ by case the first, most of them at most."""
     hay = F.lower(norm_ws(F.concat_ws(" ", *record)))
-    kept = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: (F.length(n) >= least) & F.contains(hay, F.lower(norm_ws(n))))
-    first = F.filter(kept, lambda n, i: F.array_position(F.transform(kept, F.lower), F.lower(n)) == i + 1)
-    return F.slice(first, 1, most)
+    there = lambda h: F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: (F.length(n) >= least) & F.contains(h, F.lower(norm_ws(n))))
+    first = lambda kept: held(F.transform(kept, F.lower), lambda low: F.filter(kept, lambda n, i: F.array_position(low, F.lower(n)) == i + 1))
+    return F.slice(held(held(hay, there), first), 1, most)
 
 
 def verified_briefing(precedents: Column, principles: Column, retrieved: Column) -> Column:
     """Precedents (case_id, establishes, relevance) that were retrieved and say something, each case once, six at most; then
     principles (text, case_ids) that cite one of those, four at most. Null under two precedents."""
-    told = F.filter(precedents, lambda p: F.array_contains(retrieved, p["case_id"]) & (F.trim(p["establishes"]) != "") & (F.trim(p["relevance"]) != ""))
-    ids = F.transform(told, lambda p: p["case_id"])
-    cases = F.slice(F.filter(ids, lambda c, i: F.array_position(ids, c) == i + 1), 1, 6)
-    cited = F.transform(principles, lambda p: F.struct(F.trim(p["text"]).alias("text"), F.array_intersect(p["case_ids"], cases).alias("case_ids")))
-    kept = F.slice(F.filter(cited, lambda p: (p["text"] != "") & (F.size(p["case_ids"]) > 0)), 1, 4)
-    dropped = F.size(precedents) - F.size(cases) + F.size(principles) - F.size(kept)
-    return F.when(F.size(cases) >= 2, F.struct(cases.alias("cases"), kept.alias("principles"), dropped.alias("dropped")))
+
+    def briefing(got: Column) -> Column:
+        told = F.filter(precedents, lambda p: F.array_contains(got, p["case_id"]) & (F.trim(p["establishes"]) != "") & (F.trim(p["relevance"]) != ""))
+        once = lambda ids: F.slice(F.filter(ids, lambda c, i: F.array_position(ids, c) == i + 1), 1, 6)
+        return held(held(F.transform(told, lambda p: p["case_id"]), once), cited_by)
+
+    def cited_by(cases: Column) -> Column:
+        cited = F.transform(principles, lambda p: F.struct(F.trim(p["text"]).alias("text"), F.array_intersect(p["case_ids"], cases).alias("case_ids")))
+        kept = F.slice(F.filter(cited, lambda p: (p["text"] != "") & (F.size(p["case_ids"]) > 0)), 1, 4)
+        return held(kept, lambda k: F.when(F.size(cases) >= 2, F.struct(cases.alias("cases"), k.alias("principles"), (F.size(precedents) - F.size(cases) + F.size(principles) - F.size(k)).alias("dropped"))))
+
+    return held(retrieved, briefing)
 
 
 def has_text_layer(text: Column, pages: Column, least: int = 200, per_page: int = 50) -> Column:
