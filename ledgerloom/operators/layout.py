@@ -22,6 +22,7 @@ from ledgerloom.sources.views import table
 #: must fill and word characters that its lines must have on average.
 GUTTER_SHARE, LEAST_ROWS, MOST_COLUMNS, COLUMN_SHARE, LEAST_BAND, ALIGNED = 0.12, 3, 3, 0.15, 1.0, 1
 FILL_SHARE, LINE_CHARS = 0.57, 10
+DEALT = 1 << 11  # documents a part
 
 
 def _right() -> Column:
@@ -30,37 +31,39 @@ def _right() -> Column:
 
 def measured(runs: DataFrame) -> DataFrame:
     """Printable runs of pages whose geometry is known, with the page's left edge and width of text."""
-    page = Window.partitionBy("page")
     sound = (F.col("width") >= 0) & (F.col("width") < float("inf")) & F.col("x").isNotNull()
-    rows = runs.where("trim(text) <> ''").withColumn("sound", F.min(F.coalesce(sound, F.lit(False))).over(page)).where("sound").drop("sound")
-    return rows.withColumn("left", F.min("x").over(page)).withColumn("span", F.max(_right()).over(page) - F.col("left")).where("span > 0")
+    rows = runs.where("trim(text) <> ''")
+    pages = rows.groupBy("page").agg(F.min(F.coalesce(sound, F.lit(False))).alias("sound"), F.min("x").alias("left"), F.max(_right()).alias("end"))
+    pages = pages.where("sound").select("page", "left", (F.col("end") - F.col("left")).alias("span")).where("span > 0")
+    return rows.join(pages, "page")
 
 
 def guesses(rows: DataFrame) -> DataFrame:
-    """measured runs -> (page, g, guess, until, left, span): places that enough gaps straddle, from left to right."""
+    """measured runs -> (page, g, of, guess, until, left, span): of a page's guesses, places that enough gaps straddle, from left to right."""
     line = Window.partitionBy("page", "line").orderBy("x", "width", "text")
     reach = F.max(_right()).over(line.rowsBetween(Window.unboundedPreceding, -1))
     gaps = rows.withColumn("lo", reach).where(F.col("x") - F.col("lo") > GUTTER_SHARE * F.col("span")).select("page", "left", "span", "lo", F.col("x").alias("hi"))
+    gaps = gaps.groupBy("page", "left", "span", "lo", "hi").agg(F.count("*").alias("n"))  # lines of a page have few different gaps
     # A sweep along the page: a gap counts from its start to its end; at equal places ends come first and starts last.
-    events = gaps.select("page", "left", "span", ((F.col("lo") + F.col("hi")) / 2).alias("mid"), F.explode(F.array(F.struct(F.col("hi").alias("at"), F.lit(0).alias("kind")), F.struct(((F.col("lo") + F.col("hi")) / 2).alias("at"), F.lit(1).alias("kind")), F.struct(F.col("lo").alias("at"), F.lit(2).alias("kind")))).alias("e"))
+    events = gaps.select("page", "left", "span", "n", ((F.col("lo") + F.col("hi")) / 2).alias("mid"), F.explode(F.array(F.struct(F.col("hi").alias("at"), F.lit(0).alias("kind")), F.struct(((F.col("lo") + F.col("hi")) / 2).alias("at"), F.lit(1).alias("kind")), F.struct(F.col("lo").alias("at"), F.lit(2).alias("kind")))).alias("e"))
     along = Window.partitionBy("page").orderBy("e.at", "e.kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    votes = events.withColumn("votes", F.sum(F.when(F.col("e.kind") == 2, 1).when(F.col("e.kind") == 0, -1).otherwise(0)).over(along)).where((F.col("e.kind") == 1) & (F.col("votes") >= LEAST_ROWS))
+    votes = events.withColumn("votes", F.sum(F.when(F.col("e.kind") == 2, F.col("n")).when(F.col("e.kind") == 0, -F.col("n")).otherwise(0)).over(along)).where((F.col("e.kind") == 1) & (F.col("votes") >= LEAST_ROWS))
     pages = votes.groupBy("page", "left", "span").agg(F.array_sort(F.collect_set(F.struct((-F.col("votes")).alias("less"), "mid"))).alias("best"))
     apart = lambda kept, m: F.forall(kept, lambda k: F.abs(k - m["mid"]) >= GUTTER_SHARE * F.col("span"))
     chosen = F.aggregate("best", F.array().cast("array<double>"), lambda kept, m: F.when((F.size(kept) < MOST_COLUMNS) & apart(kept, m), F.concat(kept, F.array(m["mid"]))).otherwise(kept))
     pages = pages.select("page", "left", "span", F.array_sort(chosen).alias("c")).where(F.size("c") < MOST_COLUMNS)
-    return pages.select("page", "left", "span", F.posexplode("c").alias("g", "guess"), "c").select("page", "left", "span", "g", "guess", F.coalesce(F.get("c", F.col("g") + 1), F.col("left") + F.col("span")).alias("until"))
+    return pages.select("page", "left", "span", F.posexplode("c").alias("g", "guess"), "c").select("page", "left", "span", "g", F.size("c").alias("of"), "guess", F.coalesce(F.get("c", F.col("g") + 1), F.col("left") + F.col("span")).alias("until"))
 
 
 def column_gutters(runs: DataFrame) -> DataFrame:
     """runs (page, line, x, width, text) -> (page, g, lo, hi): the bands between columns, by geometry alone."""
     rows = measured(runs)
     rough = guesses(rows)
-    edges = rows.select("page", "x").join(rough, "page").where((F.col("x") > F.col("guess")) & (F.col("x") < F.col("until")))
+    edges = rows.groupBy("page", "x").agg(F.count("*").alias("n")).join(rough, "page").where((F.col("x") > F.col("guess")) & (F.col("x") < F.col("until")))
     near = Window.partitionBy("page", "g").orderBy("x").rangeBetween(-ALIGNED, ALIGNED)
-    right = edges.withColumn("same", F.count("*").over(near)).where(F.col("same") >= LEAST_ROWS).groupBy("page", "g").agg(F.min("x").alias("hi"))
-    ends = rows.select("page", _right().alias("end")).join(right, "page").where("end <= hi").groupBy("page", "g", "hi").agg(F.max("end").alias("lo"))
-    bands = rough.join(ends, ["page", "g"], "left")
+    keys = ["page", "g", "of", "left", "span"]
+    right = edges.withColumn("same", F.sum("n").over(near)).where(F.col("same") >= LEAST_ROWS).groupBy(*keys).agg(F.min("x").alias("hi"))
+    bands = rows.select("page", _right().alias("end")).distinct().join(right, "page").where("end <= hi").groupBy(*keys, "hi").agg(F.max("end").alias("lo"))
     page = Window.partitionBy("page")
     order = page.orderBy("g")
     middle = (F.col("lo") + F.col("hi")) / 2
@@ -68,50 +71,56 @@ def column_gutters(runs: DataFrame) -> DataFrame:
     after = F.coalesce(F.lead(middle).over(order), F.col("left") + F.col("span"))
     least = COLUMN_SHARE * F.col("span")
     fits = F.coalesce((F.col("hi") - F.col("lo") >= LEAST_BAND) & (F.col("lo") > F.coalesce(F.lag("hi").over(order), F.lit(float("-inf")))) & (middle - before >= least) & (after - middle >= least), F.lit(False))
-    return bands.withColumn("fits", fits).withColumn("all", F.min("fits").over(page)).where("all").select("page", "g", "lo", "hi")
+    return bands.withColumn("fits", fits).withColumn("good", F.count_if("fits").over(page)).where("good = of").select("page", "g", "lo", "hi")
 
 
-def _placed(runs: DataFrame, gutters: DataFrame) -> DataFrame:
-    """measured runs of pages with gutters: their column, whether their line spans a gutter, and the column's edges."""
-    bands = gutters.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("g", "lo", "hi"))).alias("bands"))
-    rows = measured(runs).join(bands, "page")
-    crosses = F.exists("bands", lambda b: (F.col("x") < b["hi"]) & (_right() > b["lo"]))
-    middle = lambda i: (F.get("bands", i)["lo"] + F.get("bands", i)["hi"]) / 2
-    rows = rows.withColumn("spans", F.max(crosses).over(Window.partitionBy("page", "line"))).withColumn("column", F.size(F.filter("bands", lambda b: F.col("x") >= b["hi"])))
-    start, end = F.coalesce(F.when(F.col("column") > 0, middle(F.col("column") - 1)), F.col("left")), F.coalesce(middle(F.col("column")), F.col("left") + F.col("span"))
-    return rows.withColumn("room", end - start).withColumn("columns", F.size("bands") + 1)
+def _bands(gutters: DataFrame) -> DataFrame:
+    return gutters.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("g", "lo", "hi"))).alias("bands"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """runs with their page's bands (null: none): their column, and whether their line spans a gutter."""
+    crosses = F.coalesce(F.exists("bands", lambda b: (F.col("x") < b["hi"]) & (_right() > b["lo"])), F.lit(False))
+    column = F.when(F.col("bands").isNull(), 0).otherwise(F.size(F.filter("bands", lambda b: F.col("x") >= b["hi"])))
+    return rows.withColumn("spans", F.max(crosses).over(Window.partitionBy("page", "line"))).withColumn("column", column)
 
 
 def prose_columns(runs: DataFrame, gutters: DataFrame) -> DataFrame:
     """The gutters with prose: whether every column of the page fills its place and has lines of words; lines across a gutter
     don't count."""
-    rows = _placed(runs, gutters).where("NOT spans")
-    lines = rows.groupBy("page", "columns", "column", "room", "line").agg(F.min("x").alias("from"), F.max(_right()).alias("to"), F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))).alias("chars"))
-    columns = lines.groupBy("page", "columns", "column", "room").agg((F.max("to") - F.min("from")).alias("filled"), F.avg("chars").alias("chars"))
+    rows = _placed(measured(runs).join(_bands(gutters), "page"))
+    middle = lambda i: (F.get("bands", i)["lo"] + F.get("bands", i)["hi"]) / 2
+    start, end = F.coalesce(F.when(F.col("column") > 0, middle(F.col("column") - 1)), F.col("left")), F.coalesce(middle(F.col("column")), F.col("left") + F.col("span"))
+    rows = rows.withColumn("room", end - start)
+    lines = rows.groupBy("page", "bands", "column", "room", "line", "spans").agg(F.min("x").alias("from"), F.max(_right()).alias("to"), F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))).alias("chars"))
+    inside = lambda c: F.when(~F.col("spans"), F.col(c))
+    columns = lines.groupBy("page", "bands", "column", "room").agg((F.max(inside("to")) - F.min(inside("from"))).alias("filled"), F.avg(inside("chars")).alias("chars"))
     good = F.count_if((F.col("room") > 0) & (F.col("filled") >= FILL_SHARE * F.col("room")) & (F.col("chars") >= LINE_CHARS))
-    judged = columns.groupBy("page", "columns").agg(good.alias("good")).select("page", (F.col("good") == F.col("columns")).alias("prose"))
-    return gutters.join(judged, "page", "left").withColumn("prose", F.coalesce("prose", F.lit(False)))
+    judged = columns.groupBy("page", "bands").agg((good == F.size("bands") + 1).alias("prose"))
+    return judged.select("page", F.inline("bands"), "prose")
 
 
 def reading_lines(runs: DataFrame) -> DataFrame:
     """runs -> (page, section, column, line, text): lines in reading order. A line across a gutter is a section of its own kind;
     between such lines each column is read to its end before the next. Pages without columns are one section."""
     runs = runs.where("trim(text) <> ''")
-    gutters = prose_columns(runs, column_gutters(runs)).where("prose")
-    split = _placed(runs, gutters).select("page", "line", "x", "width", "text", "spans", "column")
-    whole = runs.join(gutters.select("page").distinct(), "page", "left_anti").select("page", "line", "x", "width", "text", F.lit(False).alias("spans"), F.lit(0).alias("column"))
-    rows = split.unionByName(whole).withColumn("column", F.when(F.col("spans"), 0).otherwise(F.col("column")))
-    turn = Window.partitionBy("page").orderBy("line")
-    lines = rows.select("page", "line", "spans").distinct().withColumn("new", (F.col("spans") != F.coalesce(F.lag("spans").over(turn), ~F.col("spans"))).cast("int")).withColumn("section", F.sum("new").over(turn).cast("long"))
+    bands = _bands(prose_columns(runs, column_gutters(runs)).where("prose"))
+    rows = _placed(runs.join(bands, "page", "left")).withColumn("column", F.when(F.col("spans"), 0).otherwise(F.col("column")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "width", "text"))), lambda r: r["text"]), " ")
-    told = rows.groupBy("page", "line", "column").agg(text.alias("text"))
-    return told.join(lines.select("page", "line", "section"), ["page", "line"]).select("page", "section", F.col("column").cast("long").alias("column"), "line", "text")
+    told = rows.groupBy("page", "line", "spans", "column").agg(text.alias("text"))
+    turn = Window.partitionBy("page").orderBy("line", "column")  # the rows of a line are all of one kind
+    new = (F.col("spans") != F.coalesce(F.lag("spans").over(turn), ~F.col("spans"))).cast("int")
+    lines = told.withColumn("new", new).withColumn("section", F.sum("new").over(turn).cast("long"))
+    return lines.select("page", "section", F.col("column").cast("long").alias("column"), "line", "text")
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of documents' words: a page a document, seven words a line in two columns of uneven ends (three on some pages,
-    narrow cells on others), every ninth line straight across."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", r"\s+")).alias("i", "text")).where("text <> ''")
+    narrow cells on others), every ninth line straight across. Texts are dealt by page before their words are rows: all that groups
+    by page stays there, so texts move, once, and words don't."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DEALT))
+    words = docs.repartition(parts, "doc_id").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", r"\s+")).alias("i", "text")).where("text <> ''")
     at, n = F.col("i") % 7, F.col("page") % 4
     line = F.floor(F.col("i") / 7).cast("long")
     across = line % 9 == 8

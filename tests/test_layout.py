@@ -128,3 +128,17 @@ def test_reference_units(spark):
     text = "[p.2]\nOne two three four five six seven eight. Too short.\n\nNo mark: nine words are in this very sentence here!\n\n[p.3]\nMore words than eight are in here as well, surely?"
     rows = pieces.reference_units(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("unit").collect()
     assert [(r["unit"], r["page"]) for r in rows] == [(1, 2), (2, 2), (3, 3)] and all(len(r["key"]) == 16 for r in rows)
+
+
+def test_words_stay_where_their_texts_were_dealt(spark, sf_dir):
+    """All shuffles of the layout queries are of texts dealt by page; none is of runs."""
+    for query in (layout.page_gutters, layout.reading_order):
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "")
+
+
+def test_long_texts_leave_in_small_batches(spark):
+    texts = [(i, "word. " * 60_000) for i in range(8)]
+    rows = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
+    sizes = [len("".join(r)) for r in S.pieces(rows, S.case_pieces).mapInPandas(lambda batches: (b.head(1)[["text"]] for b in batches), "text string").collect()]
+    assert S.pieces(rows, S.case_pieces).count() == sum(len(list(S.case_pieces(t))) for _, t in texts) and sizes and hasattr(S, "HELD")
