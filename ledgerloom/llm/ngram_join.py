@@ -269,14 +269,42 @@ def _whole_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, rule: Rule
     return found.select("node", shingled("text").alias("s")).select("node", "s.*")
 
 
+class Prints:
+    """SimHashes of a block of a shard as a BK-tree; members with equal ones share its node."""
+
+    def __init__(self, simhashes: np.ndarray) -> None:
+        self.each, self.tree, self.alike = simhashes.astype(np.int64).view(np.uint64).tolist(), BKTree(), {}
+        for at, x in enumerate(self.each):
+            if x not in self.alike:
+                self.tree.add(x, at)
+            self.alike.setdefault(x, []).append(at)
+
+    def near(self, x: int, radius: int) -> list[int]:
+        """Places of the members within the radius."""
+        return [at for first in self.tree.near(x, radius) for at in self.alike[self.each[first]]]
+
+
+def near_hubs(stars: DataFrame, prints: DataFrame, radius: int, paired: int = PAIRED) -> DataFrame:
+    """Pairs (u, v) of a member and its hub -> those within the radius, by node's simhash. The members of a hub are a shard, dealt
+    into blocks of bounded size; each block is a BK-tree, in which the hub is looked up."""
+    hubs = stars.groupBy("v").agg(F.ceil(F.count("*") / paired).cast("int").alias("blocks")).join(prints.select(F.col("node").alias("v"), F.col("simhash").alias("sought")), "v")
+    shards = stars.join(hubs, "v").join(prints.select(F.col("node").alias("u"), "simhash"), "u")
+    placed = shards.select("v", F.pmod(F.hash("u"), F.col("blocks")).alias("block"), "u", "simhash", "sought").repartition("v", "block").sortWithinPartitions("v", "block")
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in groups(batches, ["v", "block"]):
+            found = Prints(rows["simhash"].to_numpy()).near(int(rows["sought"].iloc[0]) % 2**64, radius)
+            if found:
+                yield rows[["u", "v"]].iloc[found]
+
+    return placed.mapInPandas(lambda batches: given_back(look_up(batches)), "u long, v long")
+
+
 def _overlaps(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (u, v) whose prefixes overlap under the other orders (and whose SimHashes are near if the rule asks for it), with the
-    size of the sets' overlap and whether they link."""
+    """Pairs (u, v) whose prefixes overlap under the other orders, with the size of the sets' overlap and whether they link."""
     for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "p2", "p3", "shingles", "simhash")]), end)
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "p2", "p3", "shingles")]), end)
     pairs = pairs.where(F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v"))
-    if rule.radius is not None:
-        pairs = pairs.where(F.bit_count(F.col("simhash_u").bitwiseXOR(F.col("simhash_v"))) <= rule.radius)
     pairs = pairs.withColumn("same", F.size(F.array_intersect("shingles_u", "shingles_v")))
     return pairs.select("u", "v", "same", ((100 + rule.like) * F.col("same") >= rule.like * (F.col("n_u") + F.col("n_v"))).alias("linked"))
 
@@ -299,11 +327,7 @@ def _apart(postings: DataFrame, paired: int, rule: Rule) -> DataFrame:
             with_hub, beyond = (rows[c].to_numpy(float) for c in ("with_hub", "beyond"))  # not a number where not measured
             before = [set(p[: p.index(key)]) for p in (p.tolist() for p in rows["p1"])]
             p2, p3 = [set(p) for p in rows["p2"]], [set(p) for p in rows["p3"]]
-            tree, prints, alike = BKTree(), rows["simhash"].to_numpy(np.int64).view(np.uint64).tolist(), {}
-            for at, x in enumerate(prints if rule.radius is not None else ()):
-                if x not in alike:
-                    tree.add(x, at)
-                alike.setdefault(x, []).append(at)
+            prints = None if rule.radius is None else Prints(rows["simhash"].to_numpy())
             out = []
             for a in range(len(rows)):
                 fit = (root != root[a]) & (node > node[a]) & (100 * np.minimum(n, n[a]) >= like * np.maximum(n, n[a]))
@@ -313,9 +337,9 @@ def _apart(postings: DataFrame, paired: int, rule: Rule) -> DataFrame:
                     fit &= i != i[a]
                 if not fit.any():
                     continue
-                if rule.radius is not None:
+                if prints is not None:
                     near = np.zeros(len(rows), bool)
-                    near[[at for first in tree.near(prints[a], rule.radius) for at in alike[prints[first]]]] = True
+                    near[prints.near(prints.each[a], rule.radius)] = True
                     fit &= near
                 for b in np.flatnonzero(fit).tolist():
                     if before[a].isdisjoint(before[b]) and not p2[a].isdisjoint(p2[b]) and not p3[a].isdisjoint(p3[b]):
@@ -335,7 +359,8 @@ class Met(NamedTuple):
     met: DataFrame  # u, v (the hub), same, linked
 
 
-def met_hubs(docs: DataFrame, named: DataFrame, rule: Rule, block: int = BLOCK) -> Met:
+def met_hubs(docs: DataFrame, named: DataFrame, rule: Rule, block: int = BLOCK, paired: int = PAIRED) -> Met:
+    """With a radius, what meets a hub is what a BK-tree finds for it."""
     found = prefixes(docs, 4 * partitions(docs.sparkSession), block, rule)
     postings = found.select(F.explode("p1").alias("key"), "node", "n", "own")
     hub = F.min(F.struct("own", "node", "n")).alias("hub")
@@ -344,6 +369,8 @@ def met_hubs(docs: DataFrame, named: DataFrame, rule: Rule, block: int = BLOCK)
     nodes = settle(found.join(_whole_sets(docs, named, members.select("node").distinct(), rule), "node"))
     long_enough = 100 * F.least(F.col("n"), F.col("hub.n")) >= rule.like * F.greatest(F.col("n"), F.col("hub.n"))
     stars = members.where((F.col("node") != F.col("hub.node")) & long_enough).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
+    if rule.radius is not None:
+        stars = near_hubs(stars, nodes.select("node", "simhash"), rule.radius, paired)
     return Met(members, nodes, settle(_overlaps(stars, nodes, rule)))
 
 
@@ -360,7 +387,7 @@ def links_apart(rooted: DataFrame, hubs: Met, rule: Rule, paired: int = PAIRED)
 def joined(docs: DataFrame, block: int = BLOCK, paired: int = PAIRED, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, node, n of every document; node, root of every node with a link but the roots)."""
     named = settle(sets(docs, rule.words))
-    hubs = met_hubs(docs, named, rule, block)
+    hubs = met_hubs(docs, named, rule, block, paired)
     links = hubs.met.where("linked").select("u", "v")
     rooted = hubs.members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named, components(links.unionByName(links_apart(rooted, hubs, rule, paired)))
