@@ -135,3 +135,23 @@ def test_held_out_score_is_above_the_base_score(spark, sf_dir):
 def test_mean_with_share_is_the_mean_of_both():
     spelled, share = np.array([-2.0, -400.0, -3.0]), np.array([0.5, 0.25, 0.0])
     assert np.allclose(lm_scoring.mean_with_share(spelled, share), np.log10([(0.01 + 0.5) / 2, 0.125, 0.0005]))
+
+
+def test_places_and_counts_of_words(spark):
+    met = lm_scoring.Places()
+    for texts, places, new in (([[b"a", b"b", b"a"], []], [0, 1, 0], [b"a", b"b"]), ([[b"b"], [b"d", b"c", b"a", b"c"]], [1, 2, 3, 0, 3], [b"d", b"c"]), ([[b"c"]], [3], []), ([], [], [])):
+        at, words = met.of(texts)
+        assert at.tolist() == places and words == new
+    docs = spark.createDataFrame([("a B a",), ("",), ("b c",)], "text string").repartition(2)
+    found = {r["hash"]: r["c"] for r in lm_scoring.word_counts(docs).collect()}
+    assert found == dict(zip(lm_scoring.hashes([b"a", b"b", b"c"]).tolist(), (2, 2, 1), strict=True))
+
+
+def test_sums_by_key_with_few_and_many_rows():
+    rng = np.random.default_rng(7)
+    for kinds, n in ((1, 300), (40, 900), (5000, 900), (3, 1)):
+        keys, rows = rng.integers(0, min(kinds, CLASSES), n), rng.standard_normal((n, EXPERTS)).astype(np.float32)
+        found, sums = attention._summed(keys, rows)
+        expected = np.zeros((CLASSES, EXPERTS))
+        np.add.at(expected, keys, rows)
+        assert found.tolist() == np.unique(keys).tolist() and np.allclose(sums, expected[found], atol=1e-4)
