@@ -287,15 +287,18 @@ class Prints:
 def near_hubs(stars: DataFrame, prints: DataFrame, radius: int, paired: int = PAIRED) -> DataFrame:
     """Pairs (u, v) of a member and its hub -> those within the radius, by node's simhash. The members of a hub are a shard, dealt
     into blocks of bounded size; each block is a BK-tree, in which the hub is looked up."""
-    hubs = stars.groupBy("v").agg(F.ceil(F.count("*") / paired).cast("int").alias("blocks")).join(prints.select(F.col("node").alias("v"), F.col("simhash").alias("sought")), "v")
-    shards = stars.join(hubs, "v").join(prints.select(F.col("node").alias("u"), "simhash"), "u")
-    placed = shards.select("v", F.pmod(F.hash("u"), F.col("blocks")).alias("block"), "u", "simhash", "sought").repartition("v", "block").sortWithinPartitions("v", "block")
+    blocks = stars.groupBy("v").agg(F.ceil(F.count("*") / paired).cast("int").alias("blocks")).where("blocks > 1")  # at most a row for so many pairs
+    dealt = stars.join(F.broadcast(blocks), "v", "left").select("v", "u", F.pmod(F.hash("u"), F.coalesce("blocks", F.lit(1))).alias("block"))
+    dealt = dealt.unionByName(dealt.select("v", F.col("v").alias("u"), "block").distinct())  # the hub goes to each of its blocks
+    placed = dealt.join(prints.withColumnRenamed("node", "u"), "u").repartition("v", "block").sortWithinPartitions("v", "block")
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches, ["v", "block"]):
-            found = Prints(rows["simhash"].to_numpy()).near(int(rows["sought"].iloc[0]) % 2**64, radius)
+            is_hub = rows["u"] == rows["v"]
+            others = rows[~is_hub]
+            found = Prints(others["simhash"].to_numpy()).near(int(rows["simhash"][is_hub].iloc[0]) % 2**64, radius)
             if found:
-                yield rows[["u", "v"]].iloc[found]
+                yield others[["u", "v"]].iloc[found]
 
     return placed.mapInPandas(lambda batches: given_back(look_up(batches)), "u long, v long")
 
@@ -354,7 +357,7 @@ def _apart(postings: DataFrame, paired: int, rule: Rule) -> DataFrame:
 class Met(NamedTuple):
     """Posting lists of two nodes and more, and what their members share with the lists' hubs."""
 
-    members: DataFrame  # key, node, n, hub
+    members: DataFrame  # key, node, n, hub, hub_n
     nodes: DataFrame  # node, n, own, p1, p2, p3, shingles, simhash
     met: DataFrame  # u, v (the hub), same, linked
 
@@ -364,11 +367,11 @@ def met_hubs(docs: DataFrame, named: DataFrame, rule: Rule, block: int = BLOCK,
     found = prefixes(docs, 4 * partitions(docs.sparkSession), block, rule)
     postings = found.select(F.explode("p1").alias("key"), "node", "n", "own")
     hub = F.min(F.struct("own", "node", "n")).alias("hub")
-    lists = settle(postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), hub).where("a <> b").select("key", "hub"))
-    members = settle(postings.join(lists, "key").select("key", "node", "n", "hub"))
+    lists = settle(postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), hub).where("a <> b").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+    members = settle(postings.select("key", "node", "n").join(lists, "key"))
     nodes = settle(found.join(_whole_sets(docs, named, members.select("node").distinct(), rule), "node"))
-    long_enough = 100 * F.least(F.col("n"), F.col("hub.n")) >= rule.like * F.greatest(F.col("n"), F.col("hub.n"))
-    stars = members.where((F.col("node") != F.col("hub.node")) & long_enough).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
+    long_enough = 100 * F.least("n", "hub_n") >= rule.like * F.greatest("n", "hub_n")
+    stars = members.where((F.col("node") != F.col("hub")) & long_enough).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     if rule.radius is not None:
         stars = near_hubs(stars, nodes.select("node", "simhash"), rule.radius, paired)
     return Met(members, nodes, settle(_overlaps(stars, nodes, rule)))
@@ -378,7 +381,7 @@ def links_apart(rooted: DataFrame, hubs: Met, rule: Rule, paired: int = PAIRED)
     """Members with roots -> links (u, v) between members of one list with different roots."""
     several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     with_hub = hubs.met.select(F.col("u").alias("node"), F.col("v").alias("hub_node"), "same")
-    rest = rooted.join(several, "key", "left_semi").select("key", "node", "n", "root", F.col("hub.node").alias("hub_node")).join(with_hub, ["node", "hub_node"], "left")
+    rest = rooted.join(several, "key", "left_semi").select("key", "node", "n", "root", F.col("hub").alias("hub_node")).join(with_hub, ["node", "hub_node"], "left")
     rest = rest.join(hubs.nodes.select("node", "own", "simhash", "p1", "p2", "p3"), "node").withColumn("with_hub", F.when(F.col("node") == F.col("hub_node"), F.col("n")).otherwise(F.col("same")))
     apart = _apart(rest.withColumn("beyond", F.col("n") - F.col("own") - F.col("with_hub")), paired, rule)
     return settle(_overlaps(apart, hubs.nodes, rule).where("linked").select("u", "v"))
