@@ -155,3 +155,35 @@ def test_sums_by_key_with_few_and_many_rows():
         expected = np.zeros((CLASSES, EXPERTS))
         np.add.at(expected, keys, rows)
         assert found.tolist() == np.unique(keys).tolist() and np.allclose(sums, expected[found], atol=1e-4)
+
+
+def test_chunks_hold_every_word_of_every_text_and_count_those_learned_from(spark):
+    path = lm_scoring.default_path()
+    texts = [" A b\x0b\u00c9a. ", "", "b\x85c  b\n", "\t", "a b", "x1\x1cy a"]
+    docs = spark.createDataFrame([(i if i != 4 else None, t, i == 4) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean").coalesce(1)
+    (chunk,) = lm_scoring.chunks_of(lm_scoring.tokenised(docs, path).toArrow().to_batches(), lm_scoring.id_kind(path))
+    assert chunk.doc_id.to_pylist() == [0, 1, 2, 3, None, 5] and chunk.n.tolist() == [len(t.encode().split()) for t in texts]
+    for i, text in enumerate(texts):
+        at = chunk.places(np.array([i]))
+        assert chunk.hash[at].tolist() == lm_scoring.hashes(text.encode().lower().split()).tolist()
+        ids = lm_scoring.word_ids(path).encode(text.encode().lower().decode(), add_special_tokens=False).ids if i != 5 else None
+        assert ids is None or chunk.ids[lm_scoring.ranges(chunk.first[at], chunk.size[at])].tolist() == ids
+    counts = dict(zip(chunk.hash.tolist(), chunk.counts().tolist(), strict=True))
+    assert [counts[h] for h in lm_scoring.hashes([b"a", b"b", b"\xc3\x89a."]).tolist()] == [2, 2, 1]
+
+
+def test_classes_by_depth_in_their_runs():
+    starts, lengths = np.array([0, 2, 3, 9]), np.array([2, 1, 6, 1])
+    depths = attention.Depths(starts, lengths)
+    rows = np.arange(10, dtype=np.float32)[:, None]
+    assert sorted(depths.places.tolist()) == list(range(10))
+    assert dict(zip(depths.order.tolist(), depths.sums(rows[depths.places])[:, 0].tolist(), strict=True)) == {0: 1, 1: 2, 2: 33, 3: 9}
+    assert (starts[depths.order][depths.runs()] <= depths.places).all()
+
+
+def test_ranks_of_pairs_are_those_of_the_merge_table():
+    merges = lm_scoring.word_ids(lm_scoring.default_path()).merges
+    held = merges.keys[merges.keys >= 0]
+    a, b = held >> 32, held & 0xFFFFFFFF
+    assert sorted(merges._ranks(a, b).tolist()) == list(range(merges.never)) == list(range(len(held)))
+    assert set(merges._ranks(a, b + (1 << 20)).tolist()) == {merges.never}
