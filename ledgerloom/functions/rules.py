@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import held, ratio
-from ledgerloom.functions.text import norm_ws
+from ledgerloom.functions.text import BLANKS, lowered, norm_ws, plain_signs
 
 #: Dollars a page and a token.
 PAGE_COST = {"forms": 0.04, "ocr": 0.004}
@@ -133,11 +133,13 @@ def halves(text: Column) -> Column:
 
 
 def verified_names(names: Column, *record: Column, most: int = 5, least: int = 3) -> Column:
-    """Names that stand in the record as written, case aside; of those that differ by case the first, most of them at most."""
-    hay = F.lower(norm_ws(F.concat_ws(" ", *record)))
-    there = lambda h: F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: (F.length(n) >= least) & F.contains(h, F.lower(norm_ws(n))))
-    first = lambda kept: held(F.transform(kept, F.lower), lambda low: F.filter(kept, lambda n, i: F.array_position(low, F.lower(n)) == i + 1))
-    return F.slice(held(held(hay, there), first), 1, most)
+    """Names that stand in the record as written, case aside; of those that differ by case the first, most of them at most.
+    Case and blanks are SQL's: letters change one for one, and a vertical tab is no blank."""
+    trimmed = lambda c: F.btrim(c, F.lit(BLANKS))
+    spelled = lambda c: lowered(trimmed(F.regexp_replace(plain_signs(c), r"[ \t\n\f\r]+", " ")))
+    there = lambda h: F.filter(F.transform(names, trimmed), lambda n: (F.length(n) >= least) & F.contains(h, spelled(n)))
+    first = lambda kept: held(F.transform(kept, lowered), lambda low: F.filter(kept, lambda n, i: F.array_position(low, lowered(n)) == i + 1))
+    return F.slice(held(held(spelled(F.concat_ws(" ", *record)), there), first), 1, most)
 
 
 def verified_briefing(precedents: Column, principles: Column, retrieved: Column) -> Column:
