@@ -41,6 +41,7 @@ from ledgerloom.llm.simhash import BKTree
 
 BLOCK, OFTEN, PAIRED = 1 << 19, 64, 1024  # shingles a block; documents of a block that make a shingle a count; members a block of pairs
 KEPT_WORDS = 1 << 18
+FEW = 1 << 16  # pairs whose nodes' ids go to every task
 BITMAP = 1 << 24
 KEY_BITS = 48
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -48,7 +49,8 @@ _SCRAMBLES = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 class Rule(NamedTuple):
-    """What links: words a shingle, per cent of the union, and (if not none) the most bits in which SimHashes may differ."""
+    """What links: words a shingle, per cent of the union; and (if not none) the bits in which SimHashes may differ where BK-trees
+    look hubs up first."""
 
     words: int = 4
     like: int = 85
@@ -312,15 +314,21 @@ def _overlaps(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("u", "v", "same", ((100 + rule.like) * F.col("same") >= rule.like * (F.col("n_u") + F.col("n_v"))).alias("linked"))
 
 
+def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of pairs, if these are few enough to go to every task; else all nodes."""
+    if pairs.count() > FEW:
+        return nodes
+    return settle(nodes.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "node"))
+
+
 def _apart(postings: DataFrame, paired: int, rule: Rule) -> DataFrame:
     """Pairs (u, v) of members of one list with different roots that share a prefix under every order and that their overlaps with
     the list's hub don't rule out: two sets share at most the smaller of what each shares with the hub, and the smaller of
-    what each shares with other documents beyond the hub. With a radius, a block's SimHashes are a BK-tree, and a member's
-    partners are those that the tree finds."""
+    what each shares with other documents beyond the hub."""
     lists = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", F.ceil(F.col("members") / paired).cast("int").alias("blocks"))
     members = postings.join(lists, "key").withColumn("i", F.pmod(F.hash("node"), F.col("blocks")))
     dealt = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", "n", "with_hub", "beyond", "simhash", "p1", "p2", "p3")
+    dealt = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", "n", "with_hub", "beyond", "p1", "p2", "p3")
     like = rule.like
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,7 +338,6 @@ def _apart(postings: DataFrame, paired: int, rule: Rule) -> DataFrame:
             with_hub, beyond = (rows[c].to_numpy(float) for c in ("with_hub", "beyond"))  # not a number where not measured
             before = [set(p[: p.index(key)]) for p in (p.tolist() for p in rows["p1"])]
             p2, p3 = [set(p) for p in rows["p2"]], [set(p) for p in rows["p3"]]
-            prints = None if rule.radius is None else Prints(rows["simhash"].to_numpy())
             out = []
             for a in range(len(rows)):
                 fit = (root != root[a]) & (node > node[a]) & (100 * np.minimum(n, n[a]) >= like * np.maximum(n, n[a]))
@@ -338,12 +345,6 @@ def _apart(postings: DataFrame, paired: int, rule: Rule) -> DataFrame:
                 fit &= ~((100 + like) * most < like * (n + n[a]))
                 if low != high:
                     fit &= i != i[a]
-                if not fit.any():
-                    continue
-                if prints is not None:
-                    near = np.zeros(len(rows), bool)
-                    near[prints.near(prints.each[a], rule.radius)] = True
-                    fit &= near
                 for b in np.flatnonzero(fit).tolist():
                     if before[a].isdisjoint(before[b]) and not p2[a].isdisjoint(p2[b]) and not p3[a].isdisjoint(p3[b]):
                         out.append((node[a], node[b]))
@@ -363,7 +364,8 @@ class Met(NamedTuple):
 
 
 def met_hubs(docs: DataFrame, named: DataFrame, rule: Rule, block: int = BLOCK, paired: int = PAIRED) -> Met:
-    """With a radius, what meets a hub is what a BK-tree finds for it."""
+    """With a radius, a hub first meets what a BK-tree finds for it; then members that have no link with a hub yet meet the hubs for
+    which no tree found them, so nothing is left out."""
     found = prefixes(docs, 4 * partitions(docs.sparkSession), block, rule)
     postings = found.select(F.explode("p1").alias("key"), "node", "n", "own")
     hub = F.min(F.struct("own", "node", "n")).alias("hub")
@@ -372,9 +374,13 @@ def met_hubs(docs: DataFrame, named: DataFrame, rule: Rule, block: int = BLOCK,
     nodes = settle(found.join(_whole_sets(docs, named, members.select("node").distinct(), rule), "node"))
     long_enough = 100 * F.least("n", "hub_n") >= rule.like * F.greatest("n", "hub_n")
     stars = members.where((F.col("node") != F.col("hub")) & long_enough).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    if rule.radius is not None:
-        stars = near_hubs(stars, nodes.select("node", "simhash"), rule.radius, paired)
-    return Met(members, nodes, settle(_overlaps(stars, nodes, rule)))
+    if rule.radius is None:
+        return Met(members, nodes, settle(_overlaps(stars, nodes, rule)))
+    stars = settle(stars)
+    near = settle(near_hubs(stars, nodes.select("node", "simhash"), rule.radius, paired))
+    met = settle(_overlaps(near, nodes, rule))
+    rest = settle(stars.join(near, ["u", "v"], "left_anti").join(met.where("linked").select("u"), "u", "left_anti"))
+    return Met(members, nodes, met.unionByName(settle(_overlaps(rest, _ends(rest, nodes), rule))))
 
 
 def links_apart(rooted: DataFrame, hubs: Met, rule: Rule, paired: int = PAIRED) -> DataFrame:
@@ -382,7 +388,7 @@ def links_apart(rooted: DataFrame, hubs: Met, rule: Rule, paired: int = PAIRED)
     several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     with_hub = hubs.met.select(F.col("u").alias("node"), F.col("v").alias("hub_node"), "same")
     rest = rooted.join(several, "key", "left_semi").select("key", "node", "n", "root", F.col("hub").alias("hub_node")).join(with_hub, ["node", "hub_node"], "left")
-    rest = rest.join(hubs.nodes.select("node", "own", "simhash", "p1", "p2", "p3"), "node").withColumn("with_hub", F.when(F.col("node") == F.col("hub_node"), F.col("n")).otherwise(F.col("same")))
+    rest = rest.join(hubs.nodes.select("node", "own", "p1", "p2", "p3"), "node").withColumn("with_hub", F.when(F.col("node") == F.col("hub_node"), F.col("n")).otherwise(F.col("same")))
     apart = _apart(rest.withColumn("beyond", F.col("n") - F.col("own") - F.col("with_hub")), paired, rule)
     return settle(_overlaps(apart, hubs.nodes, rule).where("linked").select("u", "v"))
 
